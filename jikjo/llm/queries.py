@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jikjo.llm import neardup
+from jikjo.llm import contamination, mojibake, neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,9 +28,36 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_classes(table(spark, d, "raw_text"), "raw_text", "row_id", "text")
 
 
+def test_items(spark: SparkSession, d: str) -> list[tuple[str, int, str]]:
+    """The evaluation items: two fixed tables, whatever the size of the corpus."""
+    one = table(spark, d, "lambada").select(F.lit("lambada").alias("bench"), "item_id", F.coalesce("text", "context").alias("text"))
+    two = table(spark, d, "hellaswag").where("split in ('validation', 'test')").select(F.lit("hellaswag"), "item_id", "paragraph")
+    return [tuple(r) for r in one.union(two).where("text is not null").distinct().collect()]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_leaks(spark, d).select("bench", "item_id", "row_id")
+
+
+def p5_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "raw_text"), "row_id", "text", test_items(spark, d), share=0.45)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_restored(spark, d).select("doc_id", "case_kind")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p5_found": p5_found,
+    "p5_leaks": p5_leaks,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 SQL: dict[str, str] = {}
