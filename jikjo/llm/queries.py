@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jikjo.llm import contamination, mojibake, neardup
+from jikjo.llm import contamination, mojibake, neardup, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    wiki = table(spark, d, "raw_text").where("source_name = 'wiki_ko'")
+    news = table(spark, d, "naver_news").where("split = 'train'")
+    return sentences.sentences(wiki, "raw_text", "row_id", "text").union(sentences.sentences(news, "naver_news", "article_id", "document"))
+
+
+def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of every raw text and every article; those of a list of paragraphs count their positions in the joined text."""
+    news = table(spark, d, "naver_news").withColumn("whole", F.coalesce("document", F.array_join("document_list", "\n")))
+    raw = sentences.sentences(table(spark, d, "raw_text"), "raw_text", "row_id", "text")
+    return raw.union(sentences.sentences(news, "naver_news", "article_id", "whole"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = [
         neardup.near_pairs(table(spark, d, name), name, key, text, threshold=0.6, width=5, least=200, words=False)
@@ -52,6 +65,8 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_sentences": p2_sentences,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p5_found": p5_found,
