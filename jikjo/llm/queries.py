@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jikjo.llm import contamination, mojibake, neardup, sentences
+from jikjo.llm import contamination, mojibake, neardup, quality, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,23 @@ def p5_leaks(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "raw_text"), "row_id", "text", test_items(spark, d), share=0.45)
 
 
+def _typed(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
+    return [
+        ("documents", table(spark, d, "documents"), "doc_id", "text"),
+        ("raw_text", table(spark, d, "raw_text"), "row_id", "text"),
+        ("naver_news", table(spark, d, "naver_news").withColumn("whole", F.coalesce("document", F.array_join("document_list", "\n"))), "article_id", "whole"),
+    ]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = quality.text_types(_typed(spark, d), with_statistics=False).where("text_type is not null and prose_share < 0.5")
+    return found.select("rec_table", "rec_id").distinct()
+
+
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(_typed(spark, d)).dropDuplicates(["rec_table", "rec_id"])
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_restored(spark, d).select("doc_id", "case_kind")
 
@@ -71,6 +88,8 @@ QUERIES: dict[str, Query] = {
     "p3_classes": p3_classes,
     "p5_found": p5_found,
     "p5_leaks": p5_leaks,
+    "p6_found": p6_found,
+    "p6_statistics": p6_statistics,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
