@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jikjo.llm import contamination, mojibake, neardup, quality, sentences
+from jikjo.llm import contamination, mixing, mojibake, neardup, packing, quality, sampling, sentences, splitting, tokens
+from jikjo.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,29 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Where the texts are that problem 1 splits.
+LONG = (("raw_text", "row_id", "text"), ("qa_context", "row_id", "context"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """A record that the operator had to cut is oversized; its boundary table has the longest stretch without a pause."""
+    found = None
+    for name, key, text in LONG:
+        cut = splitting.oversized_pieces(table(spark, d, name), key, text, limit=2_000).where("piece_no = 0")
+        kinds = F.array(F.lit("oversized"), F.when(F.col("longest_stretch") > 2_000, F.lit("no_boundary")))
+        one = cut.select(F.lit(name).alias("rec_table"), "rec_id", F.explode(F.array_compact(kinds)).alias("case_kind"))
+        found = one if found is None else found.union(one)
+    return found
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    found = None
+    for name, key, text in LONG:
+        one = splitting.oversized_pieces(table(spark, d, name), key, text).select(F.lit(name).alias("rec_table"), "*")
+        found = one if found is None else found.union(one)
+    return found
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     wiki = table(spark, d, "raw_text").where("source_name = 'wiki_ko'")
     news = table(spark, d, "naver_news").where("split = 'train'")
@@ -41,6 +65,28 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_classes(table(spark, d, "raw_text"), "raw_text", "row_id", "text")
 
 
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    streams = table(spark, d, "dataset_source").where("is_streaming").select(F.col("name").alias("source_name"))
+    rows = table(spark, d, "raw_text").join(F.broadcast(streams), "source_name", "left_semi")
+    got = sampling.sample(rows, "row_id", k=SAMPLE, earliest=["arrived_at", "piece_no"])
+    return got.select("row_id", "source_name", "text")
+
+
+#: Records in the sample of p4_sample.
+SAMPLE = 2_000
+
+P4_SQL = f"""
+with streams as (select name from dataset_source where is_streaming),
+     picked as (
+       select distinct row_id, md5('42:' || cast(row_id as varchar)) as h
+       from raw_text where source_name in (select name from streams) and row_id is not null
+       order by h limit {SAMPLE})
+select distinct r.row_id, r.source_name, r.text
+from raw_text r join picked p on r.row_id = p.row_id
+where r.source_name in (select name from streams)
+"""
+
+
 def test_items(spark: SparkSession, d: str) -> list[tuple[str, int, str]]:
     """The evaluation items: two fixed tables, whatever the size of the corpus."""
     one = table(spark, d, "lambada").select(F.lit("lambada").alias("bench"), "item_id", F.coalesce("text", "context").alias("text"))
@@ -73,6 +119,28 @@ def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(_typed(spark, d)).dropDuplicates(["rec_table", "rec_id"])
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    sized = tokens.sizes(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(stored(sized, "pack-sizes"), "doc_id", table(spark, d, "seq_budgets"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_pack(spark, d))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = tokens.sizes(table(spark, d, "documents"), "doc_id", "text", keep=["source"])
+    return mixing.mix(sized, "doc_id", table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_restored(spark, d).select("doc_id", "case_kind")
 
@@ -82,16 +150,23 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_sentences": p2_sentences,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p4_sample": p4_sample,
     "p5_found": p5_found,
     "p5_leaks": p5_leaks,
     "p6_found": p6_found,
     "p6_statistics": p6_statistics,
+    "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p4_sample": P4_SQL}
