@@ -91,5 +91,5 @@ def mix(sized: DataFrame, key: str, targets: DataFrame, total: int | None = None
     )
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     report = sizes.join(used, "source", "left").fillna(0, ["tokens", "most_copies"])
-    report = report.withColumn("actual_share", F.coalesce(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), F.lit(0.0)))
+    report = report.withColumn("actual_share", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy())), F.lit(0.0)))
     return mixture, report
