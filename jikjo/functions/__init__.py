@@ -1 +1 @@
-
+"""Column functions and word lists."""

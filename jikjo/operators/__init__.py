@@ -1 +1 @@
-
+"""Operators on DataFrames: each takes and gives frames and leaves the plan to Catalyst."""

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from jikjo.plans import corpus  # noqa: F401
+from jikjo.plans.registry import QUERIES, SQL
 
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
 FLAGSHIP = "g1_quality_by_source"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
