@@ -48,7 +48,7 @@ MONTHS = "Jan|Feb|Mär|Mar|Apr|Mai|May|Jun|Jul|Aug|Sep|Okt|Oct|Nov|Dez|Dec"
 # -----------------------------------------------------------------------------------
 
 _CLOSERS = "".join(dict.fromkeys(PAIRS.values())).replace("“", "")
-_LINE = r"[\n\r\v\f\x1c-\x1e\x85  ]"
+_LINE = r"[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]"
 _LEX = re.compile(
     rf"(?P<nl>{_LINE}+)"
     r"|(?P<end>[.!?。！？…।॥｡]+)"
@@ -58,7 +58,7 @@ _LEX = re.compile(
     rf"|(?P<ko>(?<=[가-힣])(?:{'|'.join(KOREAN_ENDINGS)})(?:[~♡♥^]+|[ ]?[ㅋㅎㅠㅜ]{{2,}}|[ ]?[\U0001F300-\U0001FAFF])*(?=\s))"
     r"|(?P<th>(?<=[฀-๿])[^\S\n\r]+)"
 )
-_SPACES = re.compile(r"[^\S\n\r\v\f\x1c-\x1e\x85  ]*")
+_SPACES = re.compile(r"[^\S\n\r\v\f\x1c-\x1e\x85\u2028\u2029]*")
 _PARTICLE = re.compile(r"(?:이?라(?:고|는|며|던|면|니)|(?:고|며|은|는|이|가|을|를|에|에서|의|와|과|도|로|으로|란|하고|하며)(?=\s))")
 _DATE_BEFORE = re.compile(r"(?:^|\D)\d{4}\.\s?\d{1,2}(?:\.\s?\d{1,2})?$")
 _DATE_AFTER = re.compile(r"\s?\d{1,2}\.")
@@ -174,7 +174,7 @@ def events(x: str, lo: int, hi: int) -> Iterator[tuple[Symbol, int, int]]:
         if a >= hi:
             break
         if a > at and (gap := x[at:a]) and not gap.isspace():
-            yield _TEXT, at + len(gap) - len(gap.lstrip()), a
+            yield _TEXT, at + len(gap) - len(gap.lstrip()), at + len(gap.rstrip())
         what = m.lastgroup
         at = b
         if what == "nl":
@@ -200,7 +200,7 @@ def events(x: str, lo: int, hi: int) -> Iterator[tuple[Symbol, int, int]]:
         else:
             yield _SOFT, a, a
     if at < hi and (gap := x[at:hi]) and not gap.isspace():
-        yield _TEXT, at + len(gap) - len(gap.lstrip()), hi
+        yield _TEXT, at + len(gap) - len(gap.lstrip()), at + len(gap.rstrip())
 
 
 def run(x: str, lo: int = 0, hi: int | None = None, state: int = 0, start: int = -1, seen: int = 0, last: bool = True, base: int = 0) -> list[tuple[int, int]]:
@@ -222,8 +222,7 @@ def run(x: str, lo: int = 0, hi: int | None = None, state: int = 0, start: int =
             start = -1
         state = after
     if last and state != 0 and seen > start >= 0:
-        e = len(x[:hi].rstrip()) + base
-        out.append((start, max(e, seen) if e > start else seen))
+        out.append((start, seen))
     return out
 
 

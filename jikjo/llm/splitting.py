@@ -46,7 +46,7 @@ RANGE = 1_000_000
 PAUSE = r"[\s.!?。！？…।]"
 KINDS = [
     re.compile(r"\n[^\S\n]*\n\s*|\r\n[^\S\n]*\r\n\s*"),
-    re.compile(r"[\n\r\v\f\x85  ]+"),
+    re.compile(r"[\n\r\v\f\x85\u2028\u2029]+"),
     re.compile(r"(?:[.!?]+[\"'”’)」』»]*(?=\s)|[。！？…।]+[\"'”’)」』»]*)\s*"),
     re.compile(r"[,;:、，；]\s*"),
     re.compile(r"\s+"),
@@ -57,7 +57,7 @@ _PAUSE = re.compile(PAUSE)
 def _whole(x: str, e: int) -> int:
     """``e``, or the last place before it that isn't inside a combined character."""
     for k in range(e, max(0, e - 32), -1):
-        if k >= len(x) or not (unicodedata.combining(x[k]) or x[k] in "‍️" or x[k - 1] == "‍" or "\U0001F3FB" <= x[k] <= "\U0001F3FF"):
+        if k >= len(x) or not (unicodedata.combining(x[k]) or x[k] in "\u200d\ufe0f" or x[k - 1] == "\u200d" or "\U0001F3FB" <= x[k] <= "\U0001F3FF"):
             return k
     return e
 

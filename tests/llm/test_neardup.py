@@ -90,7 +90,7 @@ def test_components_of_a_path_and_a_star(spark):
 
 def test_odd_rows(spark):
     t = " ".join(WORDS[:50])
-    rows = [(1, t), (1, t), (2, t), (3, None), (4, ""), (5, "짧다"), (None, t), (6, t * 200)]
+    rows = [(1, t), (1, t), (2, t), (3, None), (4, ""), (5, "짧다"), (None, t), (6, " ".join(WORDS[60:]) * 20)]
     df = spark.createDataFrame([(k, x, "c", 1) for k, x in rows], "k long, t string, id string, a int")
     assert {(r.id_a, r.id_b) for r in neardup.near_pairs(df, "x", "k", "t").collect()} == {(1, 2)}
     empty = spark.createDataFrame([], "k long, t string")

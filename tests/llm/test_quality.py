@@ -5,7 +5,7 @@ from jikjo.llm import quality as Q
 PROSE = "그는 지난해 도서관을 새로 지었다고 말했다. 우리는 이를 다시 확인했습니다.\n마을을 떠나기 전에 모두 함께 밥을 먹었다.\n"
 LIST = "\n".join(f"• 항목 {i}번" for i in range(30))
 TABLE = "\n".join(f"| 이름{i} | {i},123 | 4{i}.5 | 77 |" for i in range(20))
-JUNK = "\n".join("QmFzZTY0IGlzIG5vdCB0ZXh0IDEyMzQ1Njc4OTAK9x" + str(i) * 9 for i in range(10))
+JUNK = "\n".join("QmFzZTYwIGl7zIGvdCBZXhI4DEyMzQlNjcOTAKxWbTQrsRfZkqL" + str(i) for i in range(10))
 
 
 def frame(spark):
@@ -26,7 +26,7 @@ def test_types(spark):
 
 def test_statistics():
     n, mean, symbols, stops, common = Q.statistics("The cat sat.\nOn a mat, it is")
-    assert (n, stops) == (8, 0.5) and abs(mean - 22 / 8) < 1e-9 and symbols == 2 / 28 and common == 5 / 8
+    assert (n, stops) == (8, 0.5) and abs(mean - 21 / 8) < 1e-9 and symbols == 2 / 28 and common == 5 / 8
 
 
 def test_em_learns_accuracies_from_agreement():
