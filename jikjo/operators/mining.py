@@ -77,3 +77,64 @@ def evaluation_set(df: DataFrame, key: str, source: str, text: str, per_text: in
     picked = found.where(F.col("entity_order") < per_text).select(key, "entity", "entity_order", F.col("positions")[1].alias("coref_pos"))
     tied = picked.join(df.select(key, source), key)
     return heads(tied, [source], [F.col(key), F.col("entity_order")], quota)
+
+
+def first_pronoun(df: DataFrame, key: str, text: str, mask: str = MASK) -> DataFrame:
+    """key, masked, pronoun: the first pronoun of each text masked; texts without one give no row."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out, words = [], [], []
+            for i, x in enumerate(b.column(1).to_pylist()):
+                hit = next(((f, s, n) for f, t, s, n in tagged(x) if t == "NP"), None)
+                if hit:
+                    at.append(i)
+                    words.append(hit[0])
+                    out.append(x[: hit[1]] + mask + x[hit[1] + hit[2] :])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string()), pa.array(words, pa.string())], [key, "masked", "pronoun"])
+
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, masked string, pronoun string")
+
+
+def pronoun_context(df: DataFrame, key: str, text: str, radius: int = 1, per_text: int = 3, least: int = 2, mask: str = MASK) -> DataFrame:
+    """key, coref_pos, masked, context_nouns: pronouns with the nouns of their sentence and ``radius`` sentences on either side.
+
+    At most ``per_text`` of a text, the first ones; a pronoun with fewer than ``least``
+    different nouns around it gives no row.
+    """
+    import re
+
+    kind = dict(df.dtypes)[key]
+    cut = re.compile(r"[.!?。！？]\s*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, places, out, nouns = [], [], [], []
+            for i, x in enumerate(b.column(1).to_pylist()):
+                ends = [m.end() for m in cut.finditer(x)]
+                tokens, given, k, owner = tagged(x), 0, 0, []
+                for _, _, s, _ in tokens:
+                    while k < len(ends) and ends[k] <= s:
+                        k += 1
+                    owner.append(k)
+                by: dict[int, list[str]] = {}
+                for (f, t, _, n), o in zip(tokens, owner):
+                    if t in ("NNG", "NNP") and n >= 2:
+                        by.setdefault(o, []).append(f)
+                for (f, t, s, n), o in zip(tokens, owner):
+                    if t != "NP" or given >= per_text:
+                        continue
+                    around = sorted({w for q in range(o - radius, o + radius + 1) for w in by.get(q, ())})
+                    if len(around) >= least:
+                        at.append(i)
+                        places.append(s)
+                        out.append(x[:s] + mask + x[s + n :])
+                        nouns.append(around)
+                        given += 1
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(places, pa.int32()), pa.array(out, pa.string()), pa.array(nouns, pa.list_(pa.string()))],
+                [key, "coref_pos", "masked", "context_nouns"],
+            )
+
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, coref_pos int, masked string, context_nouns array<string>")

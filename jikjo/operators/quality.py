@@ -1,4 +1,4 @@
-"""Quality vectors of documents and their gates, as array functions over a tagger's tokens: no shuffle, no UDF."""
+"""Quality vectors of documents and their gates, as array functions over a tagger's tokens: one Arrow pass for the tokens, no shuffle."""
 
 from __future__ import annotations
 
@@ -102,12 +102,6 @@ def gate(profile: str) -> Column:
     return F.coalesce(ok & own.get(profile, F.lit(True)), F.lit(False))
 
 
-def name_ratio(text: Column) -> Column:
-    """Names by words."""
-    t = tokens(text)
-    return F.size(F.filter(t, lambda x: x["tag"] == "NNP")) / F.greatest(F.lit(1), F.size(t))
-
-
 def simple_scores(df: DataFrame, key: str, text: str) -> DataFrame:
     """Densities without a tagger: words in the pronoun list, words that hold a particle; null for blank texts."""
     w = df.select(key, T.words(F.col(text)).alias("__w")).where(F.size("__w") > 0)
