@@ -21,8 +21,11 @@ Plan
    in over ``FAR_BITS`` of them is no match (for similarity 0.6 the chance to be
    lost here is below 1e-4).  What remains is verified exactly on the texts.
 
-A region can't be hot in step 3 except by dense groups: fingerprints are unique
-and a prefix has 48 bits.  Null, blank and short texts have no shingles and so no
+A group of near copies may hold a third of all rows, and then its prefix is hot in
+every tree.  Prefixes are counted first, in ``BUCKETS`` bins that each task combines;
+only where a bin stands out are its prefixes counted one by one.  Rows of a prefix
+with more than ``HOT`` rows are spread by one value more, and rows that agree in the
+whole signature, if they are as many, go to the tiles at once.  Null, blank and short texts have no shingles and so no
 partners; repeated deliveries of one id count once; other columns are ignored.
 """
 
@@ -42,6 +45,7 @@ from jikjo.storage import stored
 TREES, DEPTH, MIN_DEPTH = 20, 6, 3
 REGION = 24
 BITS, FAR_BITS = 64, 26
+HOT, BUCKETS = 100_000, 1 << 14
 _SEEDS = mix(np.arange(1, TREES * DEPTH + BITS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _A = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _B = (_SEEDS >> np.uint64(32)).astype(np.uint32)
@@ -208,10 +212,11 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         cut = int(np.searchsorted(rows[0], rows[0][-1]))  # sorted by head: the last region may go on
-        if cut == 0 and n > 200_000:
-            cut = int(n - 1000)  # only a group far denser than any region's bound gets here; its rest stays dense too
         if cut:
             yield pairs([r[:cut] for r in rows])
+        elif n > HOT + 50_000:  # a large head in this partition: go on with an overlap that any region within its bound fits into
+            yield pairs(rows)
+            cut = n - 40 * REGION
         held = [r[cut:] for r in rows]
     if held is not None and len(held[0]):
         yield pairs(held)
@@ -248,10 +253,12 @@ def _links(df: DataFrame, table: str, key: str, text: str, threshold: float, wid
     )
     reps = signed.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     forest = reps.select("id", "sig", "bits").mapInArrow(_plant, "head long, tail long, id long, bits long")
-    order = forest.repartition("head").sortWithinPartitions("head", "tail", "id")
+    spread, piled = _spread(forest)
+    order = spread.repartition("at").sortWithinPartitions("head", "tail", "id").select("head", "tail", "id", "bits")
     walked = stored(order.mapInArrow(_walk, "a long, b long, dense long"), "neardup-candidates")
     pairs = walked.where("dense is null").select("a", "b")
-    candidates = pairs.union(_tiled(walked.where("dense is not null").select("dense", F.col("a").alias("id")))).distinct()
+    dense = walked.where("dense is not null").select("dense", F.col("a").alias("id"))
+    candidates = pairs.union(_tiled(dense if piled is None else dense.union(piled))).distinct()
     candidates = stored(candidates, "neardup-pairs")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     needed = stored(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text"), "neardup-texts")
@@ -263,6 +270,27 @@ def _links(df: DataFrame, table: str, key: str, text: str, threshold: float, wid
     return members, links
 
 
+def _spread(forest: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with ``at``, by which they are spread; rows of hot signatures as dense rows, if there are any)."""
+    bucket = F.pmod(F.xxhash64("head"), F.lit(BUCKETS))
+    bins = forest.groupBy(bucket.alias("bin")).agg(F.count("*").alias("n"))
+    counts = [(r.bin, r.n) for r in bins.collect()]  # at most BUCKETS rows
+    usual = sum(n for _, n in counts) / BUCKETS
+    full = [b for b, n in counts if n > HOT + 1.5 * usual]
+    if not full:
+        return forest.withColumn("at", F.col("head")), None
+    marked = forest.join(F.broadcast(forest.sparkSession.createDataFrame([(b,) for b in full], "bin long")), bucket == F.col("bin"), "left")
+    some = marked.where("bin is not null")
+    hot = some.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("head", F.lit(True).alias("hot"))
+    hot = stored(hot, "neardup-hot")  # a hot head has over HOT rows: there are at most rows / HOT of them
+    piles = some.join(F.broadcast(hot), "head").groupBy("head", "tail").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("head", "tail", F.lit(True).alias("pile"))
+    piles = stored(piles, "neardup-piles")
+    rows = marked.drop("bin").join(F.broadcast(hot), "head", "left").join(F.broadcast(piles), ["head", "tail"], "left")
+    deeper = F.xxhash64("head", F.shiftright("tail", 32))
+    spread = rows.where("pile is null").withColumn("at", F.when(F.col("hot"), deeper).otherwise(F.col("head"))).select("head", "tail", "id", "bits", "at")
+    return spread, rows.where("pile").select(F.xxhash64("head", "tail").alias("dense"), "id")
+
+
 def _tiled(dense: DataFrame) -> DataFrame:
     """All pairs of rows of one dense region, spread over tiles of bounded size.
 

@@ -64,6 +64,17 @@ def test_dense_group_is_whole(spark, monkeypatch):
     assert {r.class_id for r in classes} == {0} and {r.n_links for r in classes} == {89}
 
 
+def test_hot_prefixes_are_spread(spark, monkeypatch):
+    """With bounds so low that every path is taken, the pairs are the same."""
+    rows = corpus(5, 20) + [(9000 + i, " ".join([f"w{k}" for k in range(300)] + [f"end{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    monkeypatch.setattr(neardup, "REGION", 8)
+    for hot in (5, 30):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        got = {(r.id_a, r.id_b) for r in neardup.near_pairs(df, "x", "k", "t").collect()}
+        assert got == brute(rows, 5, True, 0.8)
+
+
 def test_classes_are_components(spark):
     rows = corpus(2)
     df = spark.createDataFrame(rows, "k long, t string")
