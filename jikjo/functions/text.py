@@ -92,4 +92,5 @@ def padded(ids: Column, size: int, pad: int = 0) -> Column:
 
 
 def fixed(x: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    """So many digits after the point, rounded by the exact binary value (format_string would round its decimal form)."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))

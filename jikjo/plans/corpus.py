@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jikjo.functions import lexicon as L
@@ -58,8 +58,8 @@ def a6_source_catalog(spark, d):
 def a8_length_bounds(spark, d):
     """Length bounds of a source for each target length."""
     s = table(spark, d, "dataset_source").where("domain like '%news%'").select("name")
-    b = table(spark, d, "seq_budgets")
-    return s.join(F.broadcast(b)).select("name", F.floor(F.lit(0.4) * F.col("seq_len")).alias("least_tokens"), F.floor(F.lit(1.8) * F.col("seq_len")).alias("most_tokens"), "seq_len")
+    lens = sorted({r.seq_len for r in table(spark, d, "seq_budgets").select("seq_len").collect()})  # target lengths: a parameter table
+    return s.select("name", F.explode(F.array(*[F.lit(n) for n in lens])).alias("seq_len")).select("name", F.floor(F.lit(0.4) * F.col("seq_len")).alias("least_tokens"), F.floor(F.lit(1.8) * F.col("seq_len")).alias("most_tokens"), "seq_len")
 
 
 @query(

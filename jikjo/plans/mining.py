@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from jikjo.functions import lexicon as L
 from jikjo.functions import tagger
-from jikjo.functions import text as T
 from jikjo.operators import mining, quality
-from jikjo.operators.ordering import heads, prefix_stop
+from jikjo.operators.ordering import prefix_stop
 from jikjo.plans import registry as R
 from jikjo.plans.registry import query, table
 
@@ -112,10 +111,11 @@ def d10_name_ratio(spark, d):
 )
 def d14_triple_gates(spark, d):
     """Three thresholds of each profile, from a table of profiles."""
-    profiles = spark.createDataFrame([("naver", 2, 0.008, 0.55), ("wiki", 2, 0.01, 0.5), ("klue", 1, 0.0, 0.0)], "name string, least long, pd double, ed double")
-    v = quality.vector(docs(spark, d), "doc_id", "text").select("pronoun_count", "pronoun_density", "entity_density")
-    ok = (F.col("pronoun_count") >= F.col("least")) & (F.col("pronoun_density") >= F.col("pd")) & (F.col("entity_density") >= F.col("ed"))
-    return v.join(F.broadcast(profiles)).groupBy("name").agg(F.count_if(ok).alias("passed"))
+    profiles = (("naver", 2, 0.008, 0.55), ("wiki", 2, 0.01, 0.5), ("klue", 1, 0.0, 0.0))
+    p = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("least"), F.lit(a).alias("pd"), F.lit(b).alias("ed")) for n, k, a, b in profiles])).alias("p")
+    v = quality.vector(docs(spark, d), "doc_id", "text").select("pronoun_count", "pronoun_density", "entity_density", p)
+    ok = (F.col("pronoun_count") >= F.col("p.least")) & (F.col("pronoun_density") >= F.col("p.pd")) & (F.col("entity_density") >= F.col("p.ed"))
+    return v.groupBy(F.col("p.name").alias("name")).agg(F.count_if(ok).alias("passed"))
 
 
 # --- F9 to F14 ---------------------------------------------------------------------
