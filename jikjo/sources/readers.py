@@ -36,7 +36,7 @@ def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Earlier results, whether the file holds a list of rows or an object with a list under "results"."""
     whole = spark.read.text(path, wholetext=True)
     row = f"array<struct<{schema}>>"
-    rows = F.coalesce(F.from_json("value", row), F.from_json(F.get_json_object("value", "$.results"), row))
+    rows = F.coalesce(F.from_json(F.get_json_object("value", "$.results"), row), F.from_json("value", row))
     return whole.select(F.explode(rows).alias("r")).select("r.*")
 
 
