@@ -62,6 +62,24 @@ def _cp1252_map() -> dict[int, str]:
     return {b: c for b, c in enumerate(_sloppy()[0]) if ord(c) != b}
 
 
+#: Quotation marks, dashes and the like of clean text that Windows-1252 has as well, so that they can stand beside a garbled run.
+_MARKS = "\u2018\u2019\u201c\u201d\u2013\u2014\u2026\u2022\xb7\xab\xbb"
+
+
+def _strict(b: bytes, enc: str, chars: str) -> str:
+    """Strictly decoded, but for marks that don't belong to the garbled bytes: with ``chars``, one for each byte, such a mark stays."""
+    out, i = [], 0
+    while True:
+        try:
+            return "".join(out) + b[i:].decode(enc)
+        except UnicodeDecodeError as e:
+            j = i + e.start
+            if not chars or chars[j] not in _MARKS:
+                raise
+            out += [b[i:j].decode(enc), chars[j]]
+            i = j + 1
+
+
 class Chain:
     """Encode and decode steps, in the order in which they garbled the text."""
 
@@ -86,7 +104,7 @@ class Chain:
             for right, wrong in reversed(self.steps):
                 if right == "ascii":
                     return None
-                x = _to_bytes(x, wrong).decode(right)
+                x = _strict(_to_bytes(x, wrong), right, x if len(_to_bytes(x, wrong)) == len(x) else "")
         except UnicodeError:
             return None
         return x
@@ -164,7 +182,7 @@ def train(samples: list[str]) -> np.ndarray:
 
 def _suspicious(x: str) -> bool:
     """A sample that may itself be garbled: it holds traces that decode strictly, or lost characters."""
-    if "�" in x or re.search("[\x80-\x9f-]|(?<!\\w)\\?\\?", x):
+    if "�" in x or re.search("[\x80-\x9f\ue000-\uf8ff]|(?<!\\w)\\?\\?", x):
         return True
     for part in re.split(r"[ \n]+", x):
         if _TRACE.search(part):
@@ -231,15 +249,15 @@ def _grown(x: str, a: int, b: int, chain: Chain) -> tuple[int, int]:
     return a, b
 
 
-def _like(chain: Chain) -> list[Chain]:
-    """The chains to try for a run: of those that end in the same bytes, the UTF-8 ones first, as only they can't decode by chance."""
+def _like(chain: Chain, main: Chain | None = None) -> list[Chain]:
+    """The chains to try for a run: of those that end in the same bytes, the UTF-8 ones first, as only they can't decode by chance; then the text's main one."""
     single = {"latin-1": "cp1252"}
     last = single.get(chain.steps[-1][1], chain.steps[-1][1])
     same = [c for c in CHAINS if single.get(c.steps[-1][1], c.steps[-1][1]) == last]
-    return sorted(same, key=lambda c: (c.steps[0][0] != "utf-8", -len(c.steps), c is not chain))
+    return sorted(same, key=lambda c: (c.steps[0][0] != "utf-8", -len(c.steps), c is not main, c is not chain))
 
 
-_FOREIGN = re.compile(r"[\x80-\xff\u0152-\u0178\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{2,}")
+_FOREIGN = re.compile(r"[\x80-\xff\u0152-\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{2,}")
 _WORD = re.compile(r"\?+")
 
 
@@ -263,12 +281,13 @@ def repair(weights: np.ndarray, x: str) -> tuple[str, list[str], str] | None:
         if not found:
             break
         out, last, changed = [], 0, False
+        most = max(found, key=lambda r: r[3])[2]
         for a, b, c, _gain in found:
             chain = CHAINS[c]
             a, b = _grown(text, a, b, chain)
             a = max(a, last)
             s = text[a:b]
-            y, used, lost = _undone(weights, chain, s)
+            y, used, lost = _undone(weights, chain, s, CHAINS[most])
             if not used and not lost:
                 continue
             names += used or [chain.name]
@@ -291,7 +310,7 @@ def repair(weights: np.ndarray, x: str) -> tuple[str, list[str], str] | None:
 def _reads(weights: np.ndarray, before: str, after: str) -> bool:
     """The restored text is likelier to be clean than the garbled one was, character for character."""
     a, b = scores(weights, [before, after])[:, 0]
-    return bool(b > a) and not re.search("[\x80-\x9f-�]", after)
+    return bool(b > a) and not re.search("[\x80-\x9f\ue000-\uf8ff�]", after)
 
 
 def _gone(chain: Chain, s: str) -> bool:
@@ -301,7 +320,7 @@ def _gone(chain: Chain, s: str) -> bool:
     return "�" in s or "占쏙옙" in s
 
 
-def _undone(weights: np.ndarray, chain: Chain, s: str) -> tuple[str, list[str], bool]:
+def _undone(weights: np.ndarray, chain: Chain, s: str, main: Chain | None = None) -> tuple[str, list[str], bool]:
     """(text, chains undone, whether characters are lost) of one run.
 
     A passage may begin or end inside a word: the run is cut where a character
@@ -314,7 +333,7 @@ def _undone(weights: np.ndarray, chain: Chain, s: str) -> tuple[str, list[str],
     for part in _parts(s, chain.steps[-1][1]):
         done = part
         if not part.isascii():
-            for other in _like(chain):
+            for other in _like(chain, main):
                 y = other.undo(part)
                 if y is not None and y != part and _reads(weights, part, y):
                     done = y

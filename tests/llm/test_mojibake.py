@@ -44,6 +44,13 @@ def test_round_trip(weights, name, make):
         assert case == "restorable" and back.endswith(x[p:])
 
 
+def test_clean_marks_beside_a_run(weights):
+    x = korean()
+    for name in ("utf8>cp1252", "cp949>cp1252"):
+        case, _, back = M.repair(weights, "“그는 갔다.”" + CHAINS[name].garble(x))
+        assert (case, back) == ("restorable", "“그는 갔다.”" + x)
+
+
 @pytest.mark.parametrize("name,make", [("utf8>cp949", korean), ("cp949>utf8", korean), ("any>?", korean), ("utf8>ascii", chinese)])
 def test_lossy(weights, name, make):
     for _ in range(10):
