@@ -169,4 +169,10 @@ QUERIES: dict[str, Query] = {
     "p9_restored": p9_restored,
 }
 
-SQL: dict[str, str] = {"p4_sample": P4_SQL}
+_PAUSE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？…।]"
+P1_SQL = " union ".join(
+    f"""select '{name}' as rec_table, {key} as rec_id, unnest(case when list_max(list_transform(regexp_split_to_array({text}, '{_PAUSE}'), lambda s: length(s))) > 2000
+  then ['oversized', 'no_boundary'] else ['oversized'] end) as case_kind from {name} where length({text}) > 2000 and {key} is not null"""
+    for name, key, text in LONG
+)
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p4_sample": P4_SQL}
