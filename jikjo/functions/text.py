@@ -86,6 +86,19 @@ def clip_around(x: Column, mask: str, left: int, right: int) -> Column:
     return F.when(at > 0, F.substring(x, begin + 1, end - begin)).otherwise(x)
 
 
+def truncate_around(x: Column, mask: str, size: int) -> Column:
+    """``size`` words around the word that holds the mask, half on either side, moved inwards at an end; null without a mask."""
+    w = words(x)
+    at = F.array_position(F.transform(w, lambda v: F.contains(v, F.lit(mask))), F.lit(True)).cast("int")
+    begin = F.greatest(F.lit(1), F.least(at - size // 2, F.size(w) - (size - 1)))
+    return F.when(at > 0, F.array_join(F.slice(w, begin, F.lit(size)), " "))
+
+
+def flattened(nested: Column) -> Column:
+    """Predictions as one list, whether they come nested by mask or flat."""
+    return F.flatten(nested)
+
+
 def padded(ids: Column, size: int, pad: int = 0) -> Column:
     """Exactly ``size`` entries: cut, or filled with ``pad``."""
     return F.concat(F.slice(ids, 1, size), F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.lit(size) - F.size(ids))))

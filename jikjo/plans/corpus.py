@@ -225,6 +225,19 @@ def e4_clip(spark, d):
     return lambada_items(spark, d).select("item_id", T.clip_around(T.mask_word(F.col("s"), F.col("t"), L.MASK), L.MASK, 40, 40).alias("clipped"))
 
 
+_AT = "list_position(list_transform(ws, lambda w: contains(w, '[MASK]')), true)"
+
+
+@query(
+    f"""select item_id, array_to_string(ws[greatest(1, least(mp - 7, len(ws) - 13)) : greatest(1, least(mp - 7, len(ws) - 13)) + 13], ' ') as kept
+from (select item_id, ws, {_AT} as mp from (select item_id, {R.words('m')} as ws from (select item_id, {_MASKED} as m from {_LAM}))) where mp is not null"""
+)
+def e5_truncate(spark, d):
+    """E5: a budget of 14 words around the mask, moved inwards at either end."""
+    m = lambada_items(spark, d).select("item_id", T.mask_word(F.col("s"), F.col("t"), L.MASK).alias("m"))
+    return m.select("item_id", T.truncate_around(F.col("m"), L.MASK, 14).alias("kept"))
+
+
 @query(
     """select item_id, t as noun, j as josa, t || case j when '을/를' then case when f then '을' else '를' end when '은/는' then case when f then '은' else '는' end
   when '이/가' then case when f then '이' else '가' end else j end as joined
@@ -324,15 +337,54 @@ def e21_random_mask(spark, d):
 
 # --- F2 to F8: chunkers ------------------------------------------------------------
 
+_SENTS = f"(select doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s).{{10,}}?[.!?]|.+'), lambda s: {R.strip('s')}), lambda s: s <> '') as ss {TEXT})"
+_PARAS = f"(select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {R.strip('p')}), lambda p: p <> '') as ss {TEXT})"
 
-@query()
+
+def _packed(source: str, add: str, end: str) -> str:
+    """A fold in SQL: a is the state (done, cur, n), x the next element (cur, its size n, its first 64 words)."""
+    element = f"{{'done': cast([] as varchar[]), 'cur': s, 'n': len({R.words('s')}), 'cut': array_to_string({R.words('s')}[1:64], ' ')}}"
+    begin = "{'done': cast([] as varchar[]), 'cur': '', 'n': cast(0 as bigint), 'cut': ''}"
+    fold = f"select doc_id, list_reduce(list_prepend({begin}, list_transform(ss, lambda s: {element})), lambda a, x: {add}) as a from {source}"
+    return f"select doc_id, cast(unnest(range(0, len(cs))) as int) as k, unnest(cs) as chunk from (select doc_id, {end} as cs from ({fold}))"
+
+
+def _state(done: str, cur: str, n: str) -> str:
+    return f"{{'done': {done}, 'cur': {cur}, 'n': {n}, 'cut': ''}}"
+
+
+_FLUSHED = f"case when a.cur <> '' and a.n > 19.2e0 then list_append(a.done, {R.strip('a.cur')}) else a.done end"
+_LOOSE = f"case when a.n >= 38.4e0 then list_append(a.done, {R.strip('a.cur')}) else a.done end"
+_MORE = _state("a.done", "a.cur || ' ' || x.cur", "a.n + x.n")
+_GREEDY_SQL = _packed(
+    _SENTS,
+    f"case when x.n > 64 then {_state(f'list_append({_FLUSHED}, x.cut)', chr(39) * 2, '0')} when a.n + x.n > 64 and a.cur <> '' then {_state(_FLUSHED, 'x.cur', 'x.n')} else {_MORE} end",
+    _FLUSHED,
+)
+_LOOSE_SQL = _packed(_SENTS, f"case when a.n + x.n > 64 and a.cur <> '' then {_state(_LOOSE, 'x.cur', 'x.n')} else {_MORE} end", f"case when a.cur <> '' then {_LOOSE} else a.done end")
+_FIRST = f"array_to_string({R.words('a.cur')}[1:64], ' ')"
+_SEG = f"case when a.n >= 44 then list_append(a.done, {_FIRST}) else a.done end"
+_SEGMENT_SQL = _packed(_PARAS, f"case when a.n > 0 and a.n + x.n > 64 then {_state(_SEG, 'x.cur', 'x.n')} when a.n = 0 then {_state('a.done', 'x.cur', 'x.n')} else {_MORE} end", _SEG)
+_MERGE_SQL = _packed(
+    _PARAS,
+    f"case when a.cur = '' then {_state('a.done', 'x.cur', 'x.n')} when length(a.cur) < 300 then {_state('a.done', 'a.cur || chr(10) || chr(10) || x.cur', 'x.n')} "
+    f"else {_state('case when length(a.cur) <= 1500 then list_append(a.done, a.cur) else a.done end', 'x.cur', 'x.n')} end",
+    "case when length(a.cur) between 300 and 1500 then list_append(a.done, a.cur) else a.done end",
+).replace("as chunk from", "as paragraph from")
+_SLIDING_SQL = f"""select doc_id, k, array_to_string(every[s + 1 : s + 64], ' ') as chunk from (
+  select doc_id, every, cast(unnest(range(0, len(ss))) as int) as k, cast(unnest(starts) as bigint) as s from (
+    select doc_id, ss, flatten(list_transform(ss, lambda t: {R.words('t')})) as every, list_transform(range(1, len(ss) + 1), lambda i: coalesce(list_sum(sizes[1 : i - 1]), 0)) as starts
+    from (select doc_id, ss, list_transform(ss, lambda t: len({R.words('t')})) as sizes from {_SENTS}))) where least(64, len(every) - s) >= 44"""
+
+
+@query(f"select doc_id, k, chunk, len({R.words('chunk')}) as n_words from ({_GREEDY_SQL})")
 def f2_greedy_chunks(spark, d):
     """F2, D3: sentences packed to 64 words."""
     x = docs(spark, d).select("doc_id", F.posexplode(chunking.greedy(T.scan_sentences(F.col("text")), 64)).alias("k", "chunk"))
-    return x.withColumn("n_words", F.size(T.words(F.col("chunk"))))
+    return x.withColumn("n_words", F.size(T.words(F.col("chunk"))).cast("long"))
 
 
-@query()
+@query(_LOOSE_SQL)
 def f3_loose_chunks(spark, d):
     """the same without cutting a long sentence."""
     return docs(spark, d).select("doc_id", F.posexplode(chunking.loose(T.scan_sentences(F.col("text")), 64)).alias("k", "chunk"))
@@ -348,19 +400,19 @@ def f4_windows(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(w).alias("k", "c")).select("doc_id", F.col("k").cast("long").alias("k"), F.array_join("c", " ").alias("chunk"))
 
 
-@query()
+@query(_SLIDING_SQL)
 def f5_sliding(spark, d):
     """from each sentence on, 64 words of whole sentences."""
     return docs(spark, d).select("doc_id", F.posexplode(chunking.sliding(T.scan_sentences(F.col("text")), 64)).alias("k", "c")).select("doc_id", "k", F.array_join("c", " ").alias("chunk"))
 
 
-@query()
+@query(_SEGMENT_SQL)
 def f6_segments(spark, d):
     """paragraphs packed whole to 64 words."""
     return docs(spark, d).select("doc_id", F.posexplode(chunking.segments(T.paragraphs(F.col("text")), 64)).alias("k", "chunk"))
 
 
-@query()
+@query(_MERGE_SQL)
 def f7_merged_paragraphs(spark, d):
     """short paragraphs merged until 300 characters, over 1,500 dropped."""
     return docs(spark, d).select("doc_id", F.posexplode(chunking.merged_paragraphs(T.paragraphs(F.col("text")), 300, 1500)).alias("k", "paragraph"))

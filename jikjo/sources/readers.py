@@ -56,3 +56,29 @@ def folders(spark: SparkSession, base: str, name: str = "checkpoint-(\\d+)", mar
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED").csv(path)
+
+
+def arrow_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """Arrow IPC files or streams that match a glob, each read by one task, a record batch at a time."""
+    import pyarrow as pa
+
+    files = spark.read.format("binaryFile").load(pattern).select("path")
+    names = spark.createDataFrame([], schema).columns
+
+    def read(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if not path.startswith("file:///") else path)
+                with system.open_input_file(at) as f:
+                    try:
+                        got = pa.ipc.open_file(f)
+                        parts = (got.get_batch(i) for i in range(got.num_record_batches))
+                    except pa.ArrowInvalid:
+                        f.seek(0)
+                        parts = iter(pa.ipc.open_stream(f))
+                    for part in parts:
+                        yield part.select(names)
+
+    return files.repartition(max(1, files.count()), "path").mapInArrow(read, schema)

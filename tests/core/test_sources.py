@@ -102,3 +102,15 @@ def test_windowed_stream(spark, data, tmp_path):
     q = telemetry.windowed(files).writeStream.outputMode("complete").format("memory").queryName("win").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("win").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_arrow_files(spark, tmp_path):
+    import pyarrow as pa
+
+    t = pa.table({"a": [1, 2, 3], "text": ["x", None, "끝"], "more": [0, 0, 0]})
+    with pa.OSFile(str(tmp_path / "one.arrow"), "wb") as f, pa.ipc.new_file(f, t.schema) as w:
+        w.write_table(t)
+    with pa.OSFile(str(tmp_path / "two.arrow"), "wb") as f, pa.ipc.new_stream(f, t.schema) as w:
+        w.write_table(t)
+    got = readers.arrow_files(spark, f"{tmp_path}/*.arrow", "a long, text string").collect()
+    assert sorted((r.a, r.text or "") for r in got) == sorted([(1, "x"), (2, ""), (3, "끝")] * 2)
