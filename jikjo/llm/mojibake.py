@@ -6,7 +6,7 @@ data itself that are garbled synthetically by every chain, so each label is exac
 A run of units of one chain is undone by the chain's inverse; only what decodes
 strictly, and then reads better to the classifier than before, is restored.
 
-The training sample is ``TRAIN`` rows, the first by a hash of the key: a documented
+The training sample is ``TRAIN`` rows, chosen by a hash of the key: a documented
 bound.  Every row is classified, in whole length.  A text whose characters no chain
 can produce (ASCII and Hangul syllables, say) is clean without a look at its bigrams.
 
@@ -119,6 +119,7 @@ CHAINS: list[Chain] = [
     Chain("cp949>cp1252", [("cp949", "cp1252")]),
     Chain("gbk>cp1252", [("gbk", "cp1252")]),
     Chain("cp932>cp1252", [("cp932", "cp1252")]),
+    Chain("cp932>latin1", [("cp932", "latin-1")]),
     Chain("cp949>gbk", [("cp949", "gbk")]),
     Chain("gbk>cp949", [("gbk", "cp949")]),
     Chain("cp932>cp949", [("cp932", "cp949")]),
@@ -135,6 +136,8 @@ CHAINS: list[Chain] = [
     Chain("any>?", [("ascii", "?")]),
 ]
 
+_BY_NAME = {c.name: c for c in CHAINS}
+
 #: Characters that some chain can leave behind: not ASCII, Hangul syllables, kana, Thai, Devanagari or common punctuation.
 _TRACE = re.compile(
     "[^\x00-\x7f –-…　-〿぀-ヿ가-힣！-～฀-๿ऀ-ॿ]|\\?\\?|â€"
@@ -186,12 +189,12 @@ def _suspicious(x: str) -> bool:
         return True
     for part in re.split(r"[ \n]+", x):
         if _TRACE.search(part):
-            for c in CHAINS[:4] + CHAINS[8:9]:
+            for c in [*CHAINS[:4], _BY_NAME["gbk>cp949"]]:
                 y = c.undo(part)
                 if y is not None and y != part and len(y) < len(part):
                     return True
     if len(re.findall("[一-鿿]", x)) > 4:  # Hanzi that are all Hangul when read as cp949
-        y = CHAINS[7].undo("".join(re.findall("[一-鿿]", x)))
+        y = _BY_NAME["cp949>gbk"].undo("".join(re.findall("[一-鿿]", x)))
         if y is not None and re.fullmatch("[가-힣]+", y):
             return True
     return len(re.findall("[¡-ÿ]", x)) > 0.3 * len(x)
@@ -320,6 +323,9 @@ def _gone(chain: Chain, s: str) -> bool:
     return "�" in s or "占쏙옙" in s
 
 
+_EDGES = re.compile(rf"[\x00-\x7f{_MARKS}]*(.*?)[\x00-\x7f{_MARKS}]*\Z", re.S)
+
+
 def _undone(weights: np.ndarray, chain: Chain, s: str, main: Chain | None = None) -> tuple[str, list[str], bool]:
     """(text, chains undone, whether characters are lost) of one run.
 
@@ -333,11 +339,16 @@ def _undone(weights: np.ndarray, chain: Chain, s: str, main: Chain | None = None
     for part in _parts(s, chain.steps[-1][1]):
         done = part
         if not part.isascii():
-            for other in _like(chain, main):
-                y = other.undo(part)
-                if y is not None and y != part and _reads(weights, part, y):
-                    done = y
-                    used.append(other.name)
+            a, b = _EDGES.match(part).span(1)
+            for lo, hi in dict.fromkeys([(0, len(part)), (a, b)]):  # clean marks at its edges may be none of the run's bytes
+                inner = part[lo:hi]
+                for other in _like(chain, main):
+                    y = other.undo(inner)
+                    if y is not None and y != inner and _reads(weights, inner, y):
+                        done = part[:lo] + y + part[hi:]
+                        used.append(other.name)
+                        break
+                if done != part:
                     break
         out.append(done)
     return "".join(out), used, False
@@ -367,10 +378,13 @@ def _has(c: str, enc: str) -> bool:
 
 
 def classifier(df: DataFrame, key: str, text: str, rows: int = TRAIN) -> np.ndarray:
-    """Trained on the ``rows`` records that come first by a hash of their key."""
-    sample = df.select(F.col(key).alias("k"), F.substring(text, 1, TRAIN_CHARS).alias("t")).where("k is not null and length(trim(t)) > 0")
-    sample = sample.orderBy(F.xxhash64("k"), "k").limit(rows)
-    return train(sorted({r.t for r in sample.collect()}))
+    """Trained on at most ``rows`` records, chosen by a hash of their key."""
+    there = df.select(F.col(key).alias("k"), F.substring(text, 1, TRAIN_CHARS).alias("t")).where("k is not null and length(trim(t)) > 0")
+    # a threshold on the hash first: a top-n alone would send n rows of every partition to the driver
+    n = there.count()
+    if n > 2 * rows:
+        there = there.where(F.pmod(F.xxhash64("k"), F.lit(n)) < 2 * rows)
+    return train(sorted({r.t for r in there.orderBy(F.xxhash64("k"), "k").limit(rows).collect()}))
 
 
 def garbled(df: DataFrame, key: str, text: str, rows: int = TRAIN) -> DataFrame:
