@@ -47,3 +47,10 @@ def rate(events: DataFrame, by: str, order: list[str], ts: str, per: int) -> Dat
     w = Window.partitionBy(by).orderBy(*order)
     span = (_micros(F.col(ts)) - _micros(F.lag(ts, per).over(w))) / 1e6
     return events.withColumn("per_second", F.when(span > 0, per / span))
+
+
+def since_reset(events: DataFrame, by: str, order: list[str], reset: Column) -> DataFrame:
+    """Events after the last reset of their group, which are all where there was none."""
+    last = events.where(reset).groupBy(by).agg(F.max(F.struct(*order)).alias("__r"))
+    kept = events.join(last, by, "left").where(F.col("__r").isNull() | (F.struct(*order) > F.col("__r")))
+    return kept.drop("__r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jikjo.functions import lexicon as L
@@ -428,6 +428,47 @@ def f8_paragraphs(spark, d):
     return x.where(F.length("paragraph") >= 300).select("doc_id", F.col("k").cast("long").alias("k"), "paragraph")
 
 
+@query()
+def n8_two_targets(spark, d):
+    """One pass for two target lengths: paragraphs packed, a gate on names and pronouns, a quota of each target and source."""
+    from jikjo.operators.ordering import heads
+
+    parts = T.paragraphs(F.col("text"))
+    both = F.array(*[F.transform(chunking.segments(parts, n), lambda c, n=n: F.struct(F.lit(n).alias("target"), c.alias("chunk"))) for n in (32, 64)])
+    x = docs(spark, d).where("source is not null").select("doc_id", "source", F.posexplode(F.flatten(both)).alias("k", "z")).select("doc_id", "source", "k", "z.*")
+    v = quality.with_tokens(x, F.col("chunk")).withColumn("names", quality._n(quality._is("NNP"))).withColumn("pronouns", quality._n(quality._is("NP")))
+    gated = v.where((F.col("names") >= 1) & (F.col("pronouns") >= 1)).drop("__t")
+    return heads(gated, ["target", "source"], [F.col("doc_id"), F.col("k")], 200).groupBy("target", "source").agg(F.count("*").alias("chunks"), F.sum("names").alias("names"))
+
+
+@query(
+    f"""select row_number() over (order by md5('42:' || doc_id), doc_id) as place, doc_id, list_resize({_IDS}[1:32], 32, 0) as input_ids
+from documents where text is not null and length(text) >= 50 order by md5('42:' || doc_id), doc_id limit 100"""
+)
+def n1_training_head(spark, d):
+    """Floor, seeded shuffle, head, fixed length."""
+    from jikjo.operators import sampling
+
+    head = sampling.shuffled_head(docs(spark, d).where(F.length("text") >= 50).select("doc_id", "text"), "doc_id", 100, 42)
+    ids = F.transform(T.words(F.col("text")), lambda w: F.length(w))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(sampling.chance_key("doc_id", 42), "doc_id"))  # over the hundred rows of the head
+    return head.select(place.cast("long").alias("place"), "doc_id", T.padded(ids, 32).alias("input_ids"))
+
+
+@query(
+    """select name, coalesce(subset, 'all') as subset, coalesce(description, name) as description, coalesce(m.target_share, 0) as target_share, coalesce(m.max_repeats, 1) as max_repeats
+from dataset_source s left join mix_targets m on m.source = s.name"""
+)
+def a14_defaults(spark, d):
+    """Descriptors completed from another table, missing fields by default."""
+    m = table(spark, d, "mix_targets").withColumnRenamed("source", "name")
+    s = table(spark, d, "dataset_source").select("name", "subset", "description").join(F.broadcast(m), "name", "left")
+    return s.select(
+        "name", F.coalesce("subset", F.lit("all")).alias("subset"), F.coalesce("description", "name").alias("description"),
+        F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"),
+    )
+
+
 @query()
 def n2_routed_chunks(spark, d):
     """Extraction, floors, routing and chunks in one plan, the text of each kind of source."""

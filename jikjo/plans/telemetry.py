@@ -78,6 +78,16 @@ def k4_stream_state(spark, d):
     return stream.drained(stream.last_values(files, "user_id"), "events-state").select("key", "n_events", "last_value")
 
 
+@query(
+    f"""select e.user_id, count(*) as n, round(sum(value), 6) as total from {EV} e left join (select user_id, max((ts, event_id)) as r from {EV} where event_type = 'error' group by user_id) x using (user_id)
+where x.r is null or (e.ts, e.event_id) > x.r group by e.user_id"""
+)
+def k7_since_reset(spark, d):
+    """K7: what came after the last event that resets the state."""
+    k = telemetry.since_reset(events(spark, d), "user_id", ORDER, F.col("event_type") == "error")
+    return k.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
 # --- samples -------------------------------------------------------------------------
 
 _DOC = "(select doc_id, source from documents where doc_id is not null)"
@@ -99,6 +109,13 @@ def i3_shuffled_head(spark, d):
     return sampling.shuffled_head(ids(spark, d), "doc_id", 100, 42)
 
 
+@query("select item_id from lambada where coalesce(text, context, '') <> '' and coalesce(target, answer, '') <> '' order by md5('42:' || item_id), item_id limit 80")
+def f13_item_sample(spark, d):
+    """the first valid items of a seeded shuffle."""
+    valid = table(spark, d, "lambada").where((F.coalesce("text", "context") != "") & (F.coalesce("target", "answer") != ""))
+    return sampling.shuffled_head(valid.select("item_id"), "item_id", 80, 42)
+
+
 @query(f"select doc_id from (select doc_id, row_number() over (order by doc_id) as r, count(*) over () as n from {_DOC}) where r - 1 in (select cast(floor(i * (select count(*) - 1 from {_DOC}) / 49) as bigint) from range(50) t(i))")
 def i7_evenly_spaced(spark, d):
     """Fifty even steps over all rows."""
