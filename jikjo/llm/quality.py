@@ -56,6 +56,9 @@ _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{32,}")
 _REPEAT = re.compile(r"([^\s\w.?�·…])\1{4,}|([ㄱ-ㆎ])\2{7,}")
 _NOISE = re.compile(r"[가-힣][&@#%^*]+(?=[가-힣])|[가-힣][ㄱ-ㆎ](?![ㄱ-ㆎ\s])|(?<![ㄱ-ㆎ가-힣])[ㄱ-ㆎ][가-힣]|[가-힣][ㄱ-ㆎ](?=\s|$)|[뷁쀍헳궭쿍쒧]")
 _MENU = re.compile(r"(?:\s[|>·»/]\s|\s{2,}|\s#)")
+_NOISE_SIGN = re.compile(r"[ㄱ-ㆎ&@#%^*뷁쀍헳궭쿍쒧]")
+_CODE_SIGN = re.compile(r"[;{}(=<_\[]")
+_MENU_SIGN = re.compile(r"[|>·»/#]")
 _TAGS = re.compile(r"(?:^|\s)#\S+")
 _OTHER_SCRIPT = re.compile(r"[ぁ-ヿ一-鿿ऀ-ॿ฀-๿Ѐ-ӿ؀-ۿ]")
 _GARBLED = re.compile(r"[À-ÿ\x80-\xa0�]|[?�]{2,}|[㐀-鿿][㐀-鿿]|[‚-…‰‹›ŒœŠšŽžŸ]")
@@ -65,33 +68,36 @@ _HANGUL = re.compile(r"[가-힣]")
 _BREAK = re.compile(r"[\r\n]+")
 
 
-def votes(line: str, near_prose: bool, before_open: bool) -> int:
+def votes(line: str, stop: bool, leader: bool, predicate: bool, near_prose: bool, before_open: bool) -> int:
     """The vote pattern of one line, a bit for each labelling function in LABELS.
 
+    ``stop``, ``leader``, ``predicate``: what ``_marks`` says of the line itself.
     ``near_prose``: a sentence ends within two lines of it; ``before_open``: the line
     before breaks off inside a sentence.
     """
     s = line.strip()
     n = len(s)
     words = s.split()
+    longest = max(map(len, words), default=0)
+    spaced = n - sum(map(len, words)) >= len(words)  # two spaces together somewhere
     digits = len(_DIGIT.findall(s))
     letters = n - len(_NO_LETTER.findall(s))
-    stop = bool(_STOP.search(s)) and not _LEADER.search(s)
+    # a cheap look for a character that must be there comes before each longer pattern
     foreign = 0 if not _OTHER_SCRIPT.search(s) else len(_OTHER_SCRIPT.findall(s))
     garbled = 0 if not _GARBLED.search(s) else len("".join(_GARBLED.findall(s)))
-    noise = len(_NOISE.findall(s)) >= 2
-    repeat = bool(_REPEAT.search(s))
-    blob = bool(_BLOB.search(s)) and digits >= 2
-    code = bool(_CODE.search(s))
+    noise = bool(_NOISE_SIGN.search(s)) and len(_NOISE.findall(s)) >= 2
+    repeat = longest >= 5 and bool(_REPEAT.search(s))
+    blob = longest >= 32 and digits >= 2 and bool(_BLOB.search(s))
+    code = bool(_CODE_SIGN.search(s)) and bool(_CODE.search(s))
     bullet = bool(_BULLET.match(line))
-    menu = len(_MENU.findall(s)) >= 3 and not stop
+    menu = not stop and (spaced or bool(_MENU_SIGN.search(s))) and len(_MENU.findall(s)) >= 3
     spam = len(words) >= 12 and not stop and len(set(words)) <= 0.6 * len(words) and garbled < 0.2 * n
     reads = letters + garbled >= 0.6 * n and not (noise or repeat or blob or menu or spam or code)
     pattern = 0
     for bit, yes in enumerate(
         (
             stop and n >= 12 and letters + garbled >= 0.3 * n,
-            bool(_PREDICATE.search(s)),
+            predicate,
             len(words) >= 4 and _function_words(s, words) >= 0.34 * len(words),
             foreign >= 0.5 * n and n >= 12,
             garbled >= 0.2 * n and n >= 12,
@@ -100,7 +106,7 @@ def votes(line: str, near_prose: bool, before_open: bool) -> int:
             n >= 24 and digits <= 0.15 * n and reads,
             bullet and n <= 60 and not stop,
             n <= 16 and not stop and not garbled,
-            bool(_LEADER.search(s)),
+            leader,
             menu,
             len(_CELLS.findall(s)) >= 2 or bool(_CSV.match(s)),
             bool(_PAIR.match(s)) or (n >= 6 and digits >= 0.3 * n),
@@ -109,7 +115,7 @@ def votes(line: str, near_prose: bool, before_open: bool) -> int:
             blob,
             repeat,
             noise,
-            len(_TAGS.findall(s)) >= 3,
+            "#" in s and len(_TAGS.findall(s)) >= 3,
             spam,
         )
     ):
@@ -132,14 +138,21 @@ _UNBROKEN = re.compile(r"[,、，고며서만자은는이가을를의에로]$")
 def lines(text: str) -> list[tuple[int, int]]:
     """(pattern, characters) of every line of a text that isn't blank."""
     rows = [x for x in _BREAK.split(text) if x and not x.isspace()]
-    ends = [bool(_STOP.search(x.rstrip())) and not _LEADER.search(x) or bool(_PREDICATE.search(x)) for x in rows]
+    marks = [_marks(x.strip()) for x in rows]
+    ends = [stop or predicate for stop, _, predicate in marks]
     out = []
     for i, x in enumerate(rows):
         near = any(ends[max(0, i - 2) : i]) or any(ends[i + 1 : i + 3])
-        out.append((votes(x, near, i > 0 and bool(_UNBROKEN.search(rows[i - 1].rstrip()))), len(x.strip())))
+        out.append((votes(x, *marks[i], near, i > 0 and bool(_UNBROKEN.search(rows[i - 1].rstrip()))), len(x.strip())))
     return out
 
 
+def _marks(s: str) -> tuple[bool, bool, bool]:
+    """Whether a line ends in an end mark, in dots that lead to a number, and whether it holds a Korean predicate that ends a sentence."""
+    leader = ("..." in s or "··" in s or "……" in s) and bool(_LEADER.search(s))
+    return bool(_STOP.search(s)) and not leader, leader, bool(_PREDICATE.search(s))
+
+
 def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Posterior of each pattern (a row for each) over TYPES, by EM on the pattern counts.
 
