@@ -5,8 +5,11 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LAST = sys.maxunicode + 1
 
@@ -17,6 +20,16 @@ def alnum_table() -> np.ndarray:
     return np.fromiter((chr(i).isalnum() for i in range(LAST)), bool, LAST)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of text, one row at least: vectorised work takes many times a text's size."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in a row, and the offset at which each text begins (one more than texts)."""
     ends = np.zeros(len(texts) + 1, np.int64)
