@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jikjo.functions.codepoints import grams, kept
+from jikjo.functions.codepoints import grams, kept, slices
 from jikjo.storage import stored
 
 WIDTH, SEGMENT, PROBES, LEAST = 6, 8, 2, 24
@@ -151,8 +151,8 @@ def _count(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(items.terms), np.int64)
         for whole in batches:
-            for o in range(0, whole.num_rows, 4000):
-                h, owner, _, _ = _terms(whole.slice(o, 4000).column(0).to_pylist())
+            for b in slices(whole, 0):
+                h, owner, _, _ = _terms(b.column(0).to_pylist())
                 where, k = items.lookup(h)
                 df += np.bincount(np.unique(owner[where] * len(df) + k) % len(df), minlength=len(df))
         some = np.flatnonzero(df)
@@ -164,8 +164,7 @@ def _count(items: Items):
 def _post(items: Items, probe: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for o in range(0, whole.num_rows, 4000):
-                b = whole.slice(o, 4000)
+            for b in slices(whole, 1):
                 h, owner, place, _ = _terms(b.column(1).to_pylist())
                 where, k = items.lookup(h)
                 owner, place = owner[where], place[where]

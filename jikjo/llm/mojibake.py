@@ -323,7 +323,7 @@ def _gone(chain: Chain, s: str) -> bool:
     return "�" in s or "占쏙옙" in s
 
 
-_EDGES = re.compile(rf"[\x00-\x7f{_MARKS}]*(.*?)[\x00-\x7f{_MARKS}]*\Z", re.S)
+_EDGES = _MARKS + "".join(map(chr, range(128)))
 
 
 def _undone(weights: np.ndarray, chain: Chain, s: str, main: Chain | None = None) -> tuple[str, list[str], bool]:
@@ -339,7 +339,7 @@ def _undone(weights: np.ndarray, chain: Chain, s: str, main: Chain | None = None
     for part in _parts(s, chain.steps[-1][1]):
         done = part
         if not part.isascii():
-            a, b = _EDGES.match(part).span(1)
+            a, b = len(part) - len(part.lstrip(_EDGES)), len(part.rstrip(_EDGES))
             for lo, hi in dict.fromkeys([(0, len(part)), (a, b)]):  # clean marks at its edges may be none of the run's bytes
                 inner = part[lo:hi]
                 for other in _like(chain, main):

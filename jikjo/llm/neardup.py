@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jikjo.functions.codepoints import grams, kept, mix
+from jikjo.functions.codepoints import grams, kept, mix, slices
 from jikjo.storage import stored
 
 TREES, DEPTH, MIN_DEPTH = 20, 6, 3
@@ -93,8 +93,7 @@ def _shingled(texts: list[str], width: int, least: int, words: bool) -> tuple[np
 def _sign(width: int, least: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for o in range(0, whole.num_rows, 2000):
-                b = whole.slice(o, 2000)
+            for b in slices(whole, 2, 3_000_000):
                 ids, names = b.column(1), b.column(0)
                 h, begin, use = _shingled(["" if x is None else x for x in b.column(2).to_pylist()], width, least, words)
                 if not len(use):

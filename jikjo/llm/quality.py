@@ -43,15 +43,15 @@ COMMON = frozenset(
 _ENDING = re.compile(r"[가-힣](?:을|를|은|는|이|가|의|에|에서|에게|와|과|도|로|으로|고|며|면서|지만|려고|다|요|까|자|라며|라고|한|된|던|인)[.,!?…]*(?=\s|$)")
 # -----------------------------------------------------------------------------------
 
-_STOP = re.compile(r"[.!?。！？…।॥]+[\"'”’)」』»）》]*\s*(?:[ㅋㅎㅠㅜ~]+|[\U0001F300-\U0001FAFF])?$")
+_STOP = re.compile(r"(?<![.!?。！？…।॥])[.!?。！？…।॥]++[\"'”’)」』»）》]*\s*(?:[ㅋㅎㅠㅜ~]+|[\U0001F300-\U0001FAFF])?$")
 _PREDICATE = re.compile(r"(?:니다|[어아해예에]요|[했였았었겠한된됐졌]다|는가|인가|이야)(?=[\s.!?~…]|$)")
 _BULLET = re.compile(r"^\s*(?:[-*•·▶▷○●■□◆◇➤►※✓☆–—+>]|\(?[0-9]{1,3}[.)]|\([0-9a-zA-Z가-하]\)|제[0-9]+[항조호]|[a-zA-Z가-하][.)]|[ⅰ-ⅻⅠ-Ⅻ①-⑳])\s+\S")
-_LEADER = re.compile(r"(?:\.{4,}|·{4,}|…{2,})\s*\d+\s*$")
+_LEADER = re.compile(r"(?:(?<!\.)\.{4,}+|(?<!·)·{4,}+|(?<!…)…{2,}+)\s*+\d++\s*$")
 _CELLS = re.compile(r"[|\t]")
 _CSV = re.compile(r"^[^,\s]{1,20}(?:,[^,\n]{1,40}){3,}$")
 _PAIR = re.compile(r"^[^:\s]{1,15}(?: [^:\s]{1,12})?\s*[:=]\s*[^\s:]{1,20}$")
 _STAMP = re.compile(r"^\W{0,2}\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|^\d{1,2}:\d{2}\s")
-_CODE = re.compile(r"[;{}]\s*$|\w\(.*[\[\]=<>*+].*\)|=>|</?\w+[^>]*>|^\s*(?:def|for|if|let|return|var|int|class|import|while)\s\w+[_(\[]")
+_CODE = re.compile(r"[;{}]\s*$|\w\([^()]{0,80}[\[\]=<>*+][^()]{0,80}\)|=>|</?\w{1,20}[^<>]{0,200}>|^\s*(?:def|for|if|let|return|var|int|class|import|while)\s\w+[_(\[]")
 _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{32,}")
 _REPEAT = re.compile(r"([^\s\w.?�·…])\1{4,}|([ㄱ-ㆎ])\2{7,}")
 _NOISE = re.compile(r"[가-힣][&@#%^*]+(?=[가-힣])|[가-힣][ㄱ-ㆎ](?![ㄱ-ㆎ\s])|(?<![ㄱ-ㆎ가-힣])[ㄱ-ㆎ][가-힣]|[가-힣][ㄱ-ㆎ](?=\s|$)|[뷁쀍헳궭쿍쒧]")

@@ -55,7 +55,7 @@ _LEX = re.compile(
     r"|(?P<open>[“‘「『«„《〈(（\[【])"
     r"|(?P<close>[”’」』»》〉)）\]】])"
     r"|(?P<ascii>[\"'])"
-    rf"|(?P<ko>(?<=[가-힣])(?:{'|'.join(KOREAN_ENDINGS)})(?:[~♡♥^]+|[ ]?[ㅋㅎㅠㅜ]{{2,}}|[ ]?[\U0001F300-\U0001FAFF])*(?=\s))"
+    rf"|(?P<ko>(?<=[가-힣])(?:{'|'.join(KOREAN_ENDINGS)})(?:[~♡♥^]++|[ ]?[ㅋㅎㅠㅜ]{{2,}}+|[ ]?[\U0001F300-\U0001FAFF])*+(?=\s))"
     r"|(?P<th>(?<=[฀-๿])[^\S\n\r]+)"
 )
 _SPACES = re.compile(r"[^\S\n\r\v\f\x1c-\x1e\x85\u2028\u2029]*")

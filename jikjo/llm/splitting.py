@@ -47,7 +47,7 @@ PAUSE = r"[\s.!?。！？…।]"
 KINDS = [
     re.compile(r"\n[^\S\n]*\n\s*|\r\n[^\S\n]*\r\n\s*"),
     re.compile(r"[\n\r\v\f\x85\u2028\u2029]+"),
-    re.compile(r"(?:[.!?]+[\"'”’)」』»]*(?=\s)|[。！？…।]+[\"'”’)」』»]*)\s*"),
+    re.compile(r"(?:(?<![.!?])[.!?]++[\"'”’)」』»]*(?=\s)|[。！？…।]+[\"'”’)」』»]*)\s*"),
     re.compile(r"[,;:、，；]\s*"),
     re.compile(r"\s+"),
 ]
