@@ -16,6 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under the shared folder, and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the stored tables of this process, once no frame made from them is needed any more; their number."""
+    n = len(_stored)
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 @atexit.register
 def _clean() -> None:
-    for d in _own:
+    for d in _own + [p.removeprefix("file://") for p in _stored if p.startswith("file:")]:
         shutil.rmtree(d, ignore_errors=True)
 
 

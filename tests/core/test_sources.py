@@ -114,3 +114,15 @@ def test_arrow_files(spark, tmp_path):
         w.write_table(t)
     got = readers.arrow_files(spark, f"{tmp_path}/*.arrow", "a long, text string").collect()
     assert sorted((r.a, r.text or "") for r in got) == sorted([(1, "x"), (2, ""), (3, "끝")] * 2)
+
+
+def test_stored_tables_are_released(spark):
+    from pathlib import Path
+
+    from jikjo import storage
+
+    df = storage.stored(spark.range(5).toDF("a"), "t")
+    assert df.count() == 5 and storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    path = storage._stored[-1].removeprefix("file://")
+    assert Path(path).exists()
+    assert storage.release(spark) > 0 and not Path(path).exists()
