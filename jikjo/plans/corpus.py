@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jikjo.functions import lexicon as L
 from jikjo.functions import text as T
 from jikjo.operators import chunking, quality
+from jikjo.operators.ordering import spread
 from jikjo.plans import registry as R
 from jikjo.plans.registry import query, table
 from jikjo.sources import catalog as C
@@ -16,7 +17,7 @@ TEXT = "from documents where text is not null"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null")
+    return spread(table(spark, d, "documents").where("text is not null"))
 
 
 # --- A, J9: scans ------------------------------------------------------------------
@@ -63,7 +64,7 @@ def a8_length_bounds(spark, d):
 
 
 @query(
-    """select source, count(*) as n, sum(length(text)) as chars from (
+    """select source, count(*) as n, cast(sum(length(text)) as bigint) as chars from (
   select source_name as source, text from raw_text union all select coalesce(source_name, 'qa'), context from qa_context
   union all select 'naver', coalesce(document, array_to_string(document_list, ' ')) from naver_news union all select 'translated', trans_text from translated_news)
 where text is not null group by source"""
@@ -262,7 +263,7 @@ def e7_scan_sentences(spark, d):
 
 
 @query(
-    rf"""select doc_id, count(*) as n, sum(length(s)) as chars from (
+    rf"""select doc_id, count(*) as n, cast(sum(length(s)) as bigint) as chars from (
   select doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1))) as s {TEXT}) where s <> '' group by doc_id"""
 )
 def e8_mark_sentences(spark, d):
@@ -290,7 +291,7 @@ def e12_strip_count(spark, d):
     """Stripping, counting, length."""
     x = F.col("text")
     r = table(spark, d, "raw_text").where("text is not null")
-    return r.select("row_id", F.length(x).alias("n"), F.length(T.strip(x)).alias("stripped"), T.count_of(x, "다.").alias("endings"), T.strip(F.concat(F.lit("##"), F.left(x, F.lit(5)))).alias("marked"))
+    return r.select("row_id", F.length(x).cast("long").alias("n"), F.length(T.strip(x)).cast("long").alias("stripped"), T.count_of(x, "다.").alias("endings"), T.strip(F.concat(F.lit("##"), F.left(x, F.lit(5)))).alias("marked"))
 
 
 @query(
@@ -307,7 +308,7 @@ def e17_formats(spark, d):
     )
 
 
-_IDS = f"list_transform({R.words('text')}, lambda w: length(w))"
+_IDS = f"list_transform({R.words('text')}, lambda w: cast(length(w) as int))"
 
 
 @query(

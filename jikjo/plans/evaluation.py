@@ -150,7 +150,7 @@ def j3_semi(spark, d):
 
 @query(
     """select cast((m.i * 2 + s.i) * 3 + l.i + 1 as int) as job_id, m.v as model, s.v as seed, l.v as train_limit from (values (0, 'base'), (1, 'large')) m(i, v)
-  cross join (values (0, 42), (1, 43)) s(i, v) cross join (values (0, 1000), (1, 2000), (2, 4000)) l(i, v)"""
+  cross join (values (0, 42::bigint), (1, 43)) s(i, v) cross join (values (0, 1000::bigint), (1, 2000), (2, 4000)) l(i, v)"""
 )
 def j6_grid(spark, d):
     """The grid of a sweep."""
@@ -158,7 +158,7 @@ def j6_grid(spark, d):
 
 
 @query(
-    """select arg_max(bs, e * 1000 - bs) as bs, arg_max(ga, e * 1000 - bs) as ga, max(e) as effective from (select b.v as bs, g.v as ga, b.v * g.v as e from (values (2), (4), (8), (16), (32)) b(v) cross join (values (1), (2), (4), (8)) g(v)) where bs * 4.5e0 <= 80 * 0.8e0"""
+    """select arg_max(bs, e * 1000 - bs) as bs, arg_max(ga, e * 1000 - bs) as ga, max(e) as effective from (select b.v as bs, g.v as ga, b.v * g.v as e from (values (2::bigint), (4), (8), (16), (32)) b(v) cross join (values (1::bigint), (2), (4), (8)) g(v)) where bs * 4.5e0 <= 80 * 0.8e0"""
 )
 def j6_batch_plan(spark, d):
     """The largest batch that fits in memory."""
@@ -185,7 +185,7 @@ _STARS = f"(select *, cast(round_even((least(5.0e0, greatest(1.0e0, avg_length /
 
 
 @query(
-    f"""select source, total, round(avg_length, 6) as avg_length, median_length, min_length, max_length, round(repeat_ratio, 6) as repeat_ratio, round(avg_pronouns, 6) as avg_pronouns, stars,
+    f"""select source, total, round(avg_length, 6) as avg_length, median_length, cast(min_length as int) as min_length, cast(max_length as int) as max_length, round(repeat_ratio, 6) as repeat_ratio, round(avg_pronouns, 6) as avg_pronouns, stars,
   least(total, case when stars >= 4 then 50000 when stars >= 3 then 20000 when stars >= 2 then 10000 else 5000 end) as recommended, case when stars >= 4 then 'high' when stars >= 3 then 'middle' else 'low' end as tier from {_STARS}"""
 )
 def g7_source_profile(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from jikjo.functions import lexicon as L
 from jikjo.functions import tagger
 from jikjo.operators import mining, quality
-from jikjo.operators.ordering import prefix_stop
+from jikjo.operators.ordering import prefix_stop, spread
 from jikjo.plans import registry as R
 from jikjo.plans.registry import query, table
 
@@ -16,7 +16,7 @@ TOK = R.tokens(DOCS, "doc_id")
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").where("text is not null")
+    return spread(table(spark, d, "documents").where("text is not null"))
 
 
 @query(f"select tag, count(*) as n, count(distinct form) as forms from {TOK} group by tag")
