@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jikjo.llm import contamination, mixing, mojibake, neardup, packing, quality, sampling, sentences, splitting, tokens
+from jikjo.operators.ordering import spread
 from jikjo.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("raw_text", "documents", "translated_news", "qa_context", "naver_news") else df
 
 
 #: Where the texts are that problem 1 splits.
