@@ -45,5 +45,5 @@ def spread(df: DataFrame, least: int = 2 << 20) -> DataFrame:
     A small file is one row group, and so one task however small its splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < least * cores else df
