@@ -10,22 +10,20 @@ Plan
 2. Records of equal fingerprint form one class (map-side combined); only its
    smallest id goes on, so that a group of copies that holds a third of all rows
    costs one row in the forest.
-3. Each tree is one sort order of the signatures.  A row goes to the partition of
-   its first ``MIN_DEPTH`` values and is sorted there by the whole signature.
-   In each region of the order the depth is the smallest at which at most
-   ``REGION`` rows share the prefix: those rows, longest common prefix first, are
-   candidates.  A region still larger at full depth is *dense*: all its rows agree
-   in every value.  Its rows are spread over tiles of ``REGION`` x ``REGION`` rows
-   and compared in tiles, by many tasks, so no candidate is given up.
-4. 64 further one-bit MinHash values travel with a row; a candidate that differs
-   in over ``FAR_BITS`` of them is no match (for similarity 0.6 the chance to be
-   lost here is below 1e-4).  What remains is verified exactly on the texts.
-
-A group of near copies may hold a third of all rows, and then its prefix is hot in
-every tree.  Prefixes are counted first, in ``BUCKETS`` bins that each task combines;
-only where a bin stands out are its prefixes counted one by one.  Rows of a prefix
-with more than ``HOT`` rows are spread by one value more, and rows that agree in the
-whole signature, if they are as many, go to the tiles at once.  Null, blank and short texts have no shingles and so no
+3. In each tree a row belongs to the region of its ``DEPTH`` values, its head.  All
+   pairs of a region are candidates, whatever its size: a region of at most
+   ``REGION`` rows is compared where it is sorted; the rows of a larger one are
+   spread over tiles of ``TILE`` x ``TILE`` rows and compared by many tasks.
+4. 64 further one-bit MinHash values travel with a row, into the tiles too; a
+   candidate that differs in over ``FAR_BITS`` of them is no match (for similarity
+   0.6 the chance to be lost here is below 1e-4).  What remains is verified exactly
+   on the texts.
+
+A group of near copies may hold a third of all rows, and then its head is hot in
+every tree.  Heads are counted first, in ``BUCKETS`` bins that each task combines;
+only where a bin stands out are its heads counted one by one.  Rows of a head
+with more than ``HOT`` rows go to the tiles at once, so that no partition holds them
+all.  Null, blank and short texts have no shingles and so no
 partners; repeated deliveries of one id count once; other columns are ignored.
 """
 
@@ -42,11 +40,12 @@ from pyspark.sql import functions as F
 from jikjo.functions.codepoints import grams, kept, mix, slices
 from jikjo.storage import stored
 
-TREES, DEPTH, MIN_DEPTH = 20, 6, 3
-REGION = 24
+TREES, DEPTH = 20, 3
+REGION, TILE = 24, 200
 BITS, FAR_BITS = 64, 26
 HOT, BUCKETS = 100_000, 1 << 14
-_SEEDS = mix(np.arange(1, TREES * DEPTH + BITS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_SEEDS = mix(np.arange(1, TREES * 6 + BITS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_SEEDS = np.concatenate([_SEEDS[: TREES * 6].reshape(TREES, 6)[:, :DEPTH].ravel(), _SEEDS[TREES * 6 :]])  # six were drawn for each tree
 _A = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _B = (_SEEDS >> np.uint64(32)).astype(np.uint32)
 
@@ -120,7 +119,7 @@ def _sign(width: int, least: int, words: bool):
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each tree: the first values packed with the tree, the rest of the order, the bits."""
+    """One row for each tree: its values packed with the tree, and the bits."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -129,96 +128,67 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = b.column(2).to_numpy(zero_copy_only=False)
         tree = np.arange(TREES, dtype=np.int64)[None, :]
         head = (tree << 48) | (low[:, :, 0] << 32) | (low[:, :, 1] << 16) | low[:, :, 2]
-        tail = (low[:, :, 3] << 32) | (low[:, :, 4] << 16) | low[:, :, 5]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(head.ravel()), pa.array(tail.ravel()), pa.array(np.repeat(ids, TREES)), pa.array(np.repeat(bits, TREES))],
-            ["head", "tail", "id", "bits"],
+            [pa.array(head.ravel()), pa.array(np.repeat(ids, TREES)), pa.array(np.repeat(bits, TREES))],
+            ["head", "id", "bits"],
         )
 
 
-def _common(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Longest common prefix, in values, of each row with the one before it (0 below MIN_DEPTH)."""
-    lcp = np.zeros(len(head), np.int8)
-    if len(head) < 2:
-        return lcp
-    same = head[1:] == head[:-1]
-    diff = tail[1:] ^ tail[:-1]
-    more = (diff < (1 << 32)).astype(np.int8) + (diff < (1 << 16)) + (diff == 0)
-    lcp[1:] = np.where(same, MIN_DEPTH + more, 0)
-    return lcp
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64)) <= FAR_BITS
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates from rows in sorted order.  ``dense`` is null for a pair; for a row of a dense region it is the region's key.
+    """Candidates from rows sorted by head.  ``dense`` is null for a pair; for a row of a region over ``REGION`` it is the head.
 
-    Whole regions of equal ``head`` are held together, except that a region of
-    equal signatures is passed on as it comes.
+    No more of a region is held than shows that it is large; the rest is passed on as it comes.
     """
 
-    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        head, tail, ids, bits = rows
-        n = len(head)
-        lcp = _common(head, tail)
-        todo = np.ones(n, bool)
-        left, right, dense = [], [], np.zeros(n, bool)
-        for depth in range(MIN_DEPTH, DEPTH + 1):
-            first = lcp < depth
-            region = np.cumsum(first) - 1
-            size = np.bincount(region)
-            ok = todo & (size[region] <= REGION)
-            where = np.flatnonzero(ok)
-            for step in range(1, REGION):
-                i = where[where + step < n]
-                i = i[region[i] == region[i + step]]
-                if not len(i):
-                    break
-                near = np.bitwise_count((bits[i] ^ bits[i + step]).view(np.uint64)) <= FAR_BITS
-                left.append(ids[i[near]])
-                right.append(ids[i[near] + step])
-            if depth == DEPTH:
-                dense = todo & ~ok
-            # rows of a region too large for this depth that part from it deeper are compared with their
-            # nearest neighbours across the parting, so that none of them is left without candidates
-            large = np.flatnonzero(todo & ~ok)
-            if depth < DEPTH:
-                for step in range(1, REGION // 2):
-                    i = large[large + step < n]
-                    i = i[region[i] == region[i + step]]
-                    near = np.bitwise_count((bits[i] ^ bits[i + step]).view(np.uint64)) <= FAR_BITS
-                    left.append(ids[i[near]])
-                    right.append(ids[i[near] + step])
-            todo &= ~ok
-            if not todo.any():
+    def pairs(rows: list[np.ndarray], large: int | None) -> pa.RecordBatch:
+        head, ids, bits = rows
+        region = np.cumsum(np.diff(head, prepend=head[:1]) != 0)
+        dense = (np.bincount(region)[region] > REGION) | (head == large if large is not None else False)
+        where = np.flatnonzero(~dense)
+        left, right = [], []
+        for step in range(1, REGION):
+            where = where[where + step < len(head)]
+            where = where[region[where] == region[where + step]]
+            if not len(where):
                 break
+            near = _near(bits[where], bits[where + step])
+            left.append(ids[where[near]])
+            right.append(ids[where[near] + step])
         a = np.concatenate(left) if left else np.zeros(0, np.int64)
         b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        key = mix(head[dense].view(np.uint64) ^ mix(tail[dense].view(np.uint64) + np.uint64(1))).view(np.int64)
         m = int(dense.sum())
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([np.minimum(a, b), ids[dense]])),
-                pa.array(np.concatenate([np.maximum(a, b), ids[dense]])),
-                pa.array(np.concatenate([np.zeros(len(a), np.int64), key]), mask=np.arange(len(a) + m) < len(a)),
+                pa.array(np.concatenate([np.maximum(a, b), bits[dense]])),
+                pa.array(np.concatenate([np.zeros(len(a), np.int64), head[dense]]), mask=np.arange(len(a) + m) < len(a)),
             ],
             ["a", "b", "dense"],
         )
 
     held: list[np.ndarray] | None = None
+    large: int | None = None  # the head of a region of which rows were passed on as dense
     for batch in batches:
         new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         rows = new if held is None else [np.concatenate(p) for p in zip(held, new)]
         n = len(rows[0])
         if not n:
             continue
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # sorted by head: the last region may go on
+        last = rows[0][-1]
+        cut = int(np.searchsorted(rows[0], last))  # sorted by head: the last region may go on
+        if n - cut > REGION or last == large:
+            yield pairs(rows, large)
+            large, held = last, None
+            continue
         if cut:
-            yield pairs([r[:cut] for r in rows])
-        elif n > HOT + 50_000:  # a large head in this partition: go on with an overlap that any region within its bound fits into
-            yield pairs(rows)
-            cut = n - 40 * REGION
+            yield pairs([r[:cut] for r in rows], large)
         held = [r[cut:] for r in rows]
     if held is not None and len(held[0]):
-        yield pairs(held)
+        yield pairs(held, large)
 
 
 def _verify(width: int, words: bool, threshold: float):
@@ -251,12 +221,12 @@ def _links(df: DataFrame, table: str, key: str, text: str, threshold: float, wid
         "neardup-signatures",
     )
     reps = signed.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
-    forest = reps.select("id", "sig", "bits").mapInArrow(_plant, "head long, tail long, id long, bits long")
+    forest = reps.select("id", "sig", "bits").mapInArrow(_plant, "head long, id long, bits long")
     spread, piled = _spread(forest)
-    order = spread.repartition("at").sortWithinPartitions("head", "tail", "id").select("head", "tail", "id", "bits")
+    order = spread.repartition("head").sortWithinPartitions("head", "id").select("head", "id", "bits")
     walked = stored(order.mapInArrow(_walk, "a long, b long, dense long"), "neardup-candidates")
     pairs = walked.where("dense is null").select("a", "b")
-    dense = walked.where("dense is not null").select("dense", F.col("a").alias("id"))
+    dense = walked.where("dense is not null").select("dense", F.col("a").alias("id"), F.col("b").alias("bits"))
     candidates = pairs.union(_tiled(dense if piled is None else dense.union(piled))).distinct()
     candidates = stored(candidates, "neardup-pairs")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -270,43 +240,43 @@ def _links(df: DataFrame, table: str, key: str, text: str, threshold: float, wid
 
 
 def _spread(forest: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rows with ``at``, by which they are spread; rows of hot signatures as dense rows, if there are any)."""
+    """(rows of usual heads; rows of hot heads as dense rows, if there are any)."""
     bucket = F.pmod(F.xxhash64("head"), F.lit(BUCKETS))
     bins = forest.groupBy(bucket.alias("bin")).agg(F.count("*").alias("n"))
     counts = [(r.bin, r.n) for r in bins.collect()]  # at most BUCKETS rows
     usual = sum(n for _, n in counts) / BUCKETS
     full = [b for b, n in counts if n > HOT + 1.5 * usual]
     if not full:
-        return forest.withColumn("at", F.col("head")), None
+        return forest, None
     marked = forest.join(F.broadcast(forest.sparkSession.createDataFrame([(b,) for b in full], "bin long")), bucket == F.col("bin"), "left")
     some = marked.where("bin is not null")
     hot = some.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("head", F.lit(True).alias("hot"))
     hot = stored(hot, "neardup-hot")  # a hot head has over HOT rows: there are at most rows / HOT of them
-    piles = some.join(F.broadcast(hot), "head").groupBy("head", "tail").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("head", "tail", F.lit(True).alias("pile"))
-    piles = stored(piles, "neardup-piles")
-    rows = marked.drop("bin").join(F.broadcast(hot), "head", "left").join(F.broadcast(piles), ["head", "tail"], "left")
-    deeper = F.xxhash64("head", F.shiftright("tail", 32))
-    spread = rows.where("pile is null").withColumn("at", F.when(F.col("hot"), deeper).otherwise(F.col("head"))).select("head", "tail", "id", "bits", "at")
-    return spread, rows.where("pile").select(F.xxhash64("head", "tail").alias("dense"), "id")
+    rows = marked.join(F.broadcast(hot), "head", "left")
+    return rows.where("hot is null").select("head", "id", "bits"), rows.where("hot").select(F.col("head").alias("dense"), "id", "bits")
 
 
 def _tiled(dense: DataFrame) -> DataFrame:
-    """All pairs of rows of one dense region, spread over tiles of bounded size.
+    """All pairs of rows of one dense region whose bits are near, spread over tiles of bounded size.
 
     Every row is sent to the tiles of its block's row and column, so the work of a
     large region is shared by as many tasks as it has tiles.
     """
-    sizes = dense.groupBy("dense").agg(F.ceil(F.count("*") / F.lit(200)).cast("long").alias("blocks"))
+    sizes = dense.groupBy("dense").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("long").alias("blocks"))
     rows = dense.join(sizes, "dense").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("dense", "id", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+    tiles = tiles.select("dense", "id", "bits", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.id[frame.block == frame.lo.iloc[0]].unique()
-        y = frame.id[frame.block == frame.hi.iloc[0]].unique()
-        a, b = np.repeat(x, len(y)), np.tile(y, len(x))
-        ok = (a < b) if frame.lo.iloc[0] == frame.hi.iloc[0] else (a != b)
-        return pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]})
+        block, lo, hi = frame.block.to_numpy(), frame.lo.iloc[0], frame.hi.iloc[0]
+        ids, bits = frame.id.to_numpy(), frame.bits.to_numpy()
+        x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        near = _near(bits[x][:, None], bits[y][None, :])
+        if lo == hi:
+            near &= ids[x][:, None] < ids[y][None, :]
+        i, j = np.nonzero(near)
+        a, b = ids[x[i]], ids[y[j]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return tiles.groupBy("dense", "lo", "hi").applyInPandas(compare, "a long, b long")
 
