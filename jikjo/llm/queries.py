@@ -55,16 +55,18 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
     return raw.union(sentences.sentences(news, "naver_news", "article_id", "whole"))
 
 
+#: Where the texts are that problem 3 compares.
+COPIED = (("raw_text", "row_id", "text"), ("translated_news", "news_id", "trans_text"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = [
-        neardup.near_pairs(table(spark, d, name), name, key, text, threshold=0.6, width=5, least=200, words=False)
-        for name, key, text in (("raw_text", "row_id", "text"), ("translated_news", "news_id", "trans_text"))
-    ]
+    found = [neardup.near_pairs(table(spark, d, name), name, key, text, threshold=0.6, width=5, least=200, words=False) for name, key, text in COPIED]
     return found[0].union(found[1])
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_classes(table(spark, d, "raw_text"), "raw_text", "row_id", "text")
+    found = [neardup.near_classes(table(spark, d, name), name, key, text) for name, key, text in COPIED]
+    return found[0].union(found[1])
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:

@@ -149,3 +149,14 @@ def test_walk_across_batches():
         assert sorted(pairs) == sorted((min(a, b), max(a, b)) for g in small for n, a in enumerate(g.tolist()) for b in g.tolist()[n + 1 :])
         dense = sorted((x["dense"], x["a"]) for x in out if x["dense"] is not None)
         assert dense == sorted((k, i) for k, n in enumerate(sizes) if n > neardup.REGION for i in ids[head == k].tolist())
+
+
+def test_classes_of_both_tables(spark, data):
+    """p3_classes has every record of both tables whose text has five words."""
+    from jikjo.llm import queries
+
+    got = {(r.rec_table, r.id) for r in queries.p3_classes(spark, data).collect()}
+    for name, key, text in (("raw_text", "row_id", "text"), ("translated_news", "news_id", "trans_text")):
+        rows = spark.read.parquet(f"{data}/{name}.parquet").select(key, text).collect()
+        want = {(name, i) for i, t in rows if i is not None and t and len(re.findall(r"\w+", t.lower())) >= 5}
+        assert want and want <= got
