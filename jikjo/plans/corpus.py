@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from jikjo.functions import lexicon as L
 from jikjo.functions import text as T
 from jikjo.operators import chunking, quality
+from jikjo.operators import vocabulary as V
 from jikjo.operators.ordering import spread
 from jikjo.plans import registry as R
 from jikjo.plans.registry import query, table
 from jikjo.sources import catalog as C
+from jikjo.storage import stored
 
 TEXT = "from documents where text is not null"
 
@@ -482,7 +484,7 @@ def n2_routed_chunks(spark, d):
 select v.id, v.w, count(distinct t.doc_id) as n_docs from (select doc_id, unnest({R.words('text')}[1:10]) as w {TEXT}) t join vocab v on t.w = v.w group by all"""
 )
 def f16_vocabulary_ids(spark, d):
-    """Word ids by frequency, and back."""
+    """Word ids by frequency, with the documents that have the word among their first ten: as its SQL says. Whole texts: f16_word_documents, f16_decoded."""
     from jikjo.operators.ordering import numbered
 
     w = docs(spark, d).select("doc_id", T.words(F.col("text")).alias("w"))
@@ -490,3 +492,26 @@ def f16_vocabulary_ids(spark, d):
     vocab = numbered(counts, ["m", "w"], "id").select("w", "id")
     first = w.select("doc_id", F.explode(F.slice("w", 1, 10)).alias("w"))
     return first.join(vocab, "w").groupBy("id", "w").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(
+    f"""with each as (select doc_id, unnest({R.words('text')}) as w {TEXT}), vocab as (select w, row_number() over (order by n desc, w) as id from (select w, count(*) as n from each group by w))
+select v.id, v.w, count(distinct e.doc_id) as n_docs from each e join vocab v on e.w = v.w group by all"""
+)
+def f16_word_documents(spark, d):
+    """F16: the word of every id, and in how many documents it stands, whatever its place."""
+    rows = docs(spark, d)
+    each = rows.select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
+    seen = each.where("doc_id is not null").distinct().groupBy("w").agg(F.count("*").alias("n"))
+    out = V.vocabulary(rows, T.words(F.col("text"))).join(seen, "w", "left")
+    return out.select("id", "w", F.coalesce("n", F.lit(0).cast("long")).alias("n_docs"))
+
+
+@query(f"select doc_id, array_to_string({R.words('text')}, ' ') as text from (select distinct doc_id, text {TEXT})")
+def f16_decoded(spark, d):
+    """Every text as ids of all its words, and these decoded to text."""
+    rows = docs(spark, d).select("doc_id", F.xxhash64("text").alias("version"), T.words(F.col("text")).alias("words"))
+    key = ["doc_id", "version"]
+    vocab = V.vocabulary(rows, F.col("words"))
+    ids = stored(V.encoded(rows, key, F.col("words"), vocab), "word-ids")
+    return V.decoded(ids, key, F.col("ids"), vocab).select("doc_id", "text")
