@@ -30,8 +30,8 @@ def with_tokens(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("__t", tokens(text))
 
 
-def vector(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and 13 fields: counts, densities by meaningful words, and the scores made of them.  A text without words scores 0.2."""
+def vector(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """key and 13 fields: counts, densities by meaningful words, and the scores made of them.  A text without words scores 0.2.  ``more``: further columns made of the tokens."""
     c = with_tokens(df.where(F.col(text).isNotNull()), F.col(text)).select(
         key,
         _n(_is("NP")).alias("pronoun_count"),
@@ -40,6 +40,7 @@ def vector(df: DataFrame, key: str, text: str) -> DataFrame:
         _n(_is("NP", "NNG", "NNP", "NNB", "VV", "VA", "VX", "MAG")).alias("total_words"),
         _unique(_is("NP")).alias("unique_pronouns"),
         _unique(_entity).alias("unique_entities"),
+        *more,
     )
     return scored(c)
 
@@ -67,7 +68,8 @@ def worker_vector(df: DataFrame, key: str, text: str, prefix: int = 1500) -> Dat
         _unique(_is("NP")).alias("unique_pronouns"),
         _unique(_entity).alias("unique_entities"),
     )
-    c = c.where("total_words > 0").withColumn("pronoun_density", F.col("pronoun_count") / F.col("total_words")).withColumn("entity_density", F.col("entity_count") / F.col("total_words"))
+    words = F.greatest(F.lit(1), F.col("total_words"))  # a later filter may be computed before this one
+    c = c.where("total_words > 0").withColumn("pronoun_density", F.col("pronoun_count") / words).withColumn("entity_density", F.col("entity_count") / words)
     return c.withColumn("pronoun_entity_ratio", F.col("pronoun_count") / F.greatest(F.lit(1), F.col("entity_count")))
 
 

@@ -9,7 +9,7 @@ from jikjo.functions import lexicon as L
 from jikjo.functions import text as T
 from jikjo.operators import chunking, quality
 from jikjo.operators import vocabulary as V
-from jikjo.operators.ordering import spread
+from jikjo.operators.ordering import numbered, spread
 from jikjo.plans import registry as R
 from jikjo.plans.registry import query, table
 from jikjo.sources import catalog as C
@@ -431,17 +431,110 @@ def f8_paragraphs(spark, d):
     return x.where(F.length("paragraph") >= 300).select("doc_id", F.col("k").cast("long").alias("k"), "paragraph")
 
 
+#: D14's least pronouns, pronoun density and entity density of each kind of source.
+TRIPLE_GATES = {"naver": (2, 0.008, 0.55), "wiki": (2, 0.01, 0.5), "klue": (1, 0.0, 0.0)}
+
+
+def _of_kind(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """id, text of the articles for training, the encyclopedia and the contexts of questions."""
+    news = table(spark, d, "naver_news").where("split = 'train'").select(F.col("article_id").alias("id"), C.news_text().alias("text"))
+    wiki = table(spark, d, "raw_text").where("source_name = 'wiki_ko'").select(F.col("row_id").alias("id"), "text")
+    mrc = table(spark, d, "qa_context").where("source_name = 'klue_mrc'").select(F.col("row_id").alias("id"), F.col("context").alias("text"))
+    return {k: spread(x.where("id is not null and text is not null").distinct()) for k, x in (("naver", news), ("wiki", wiki), ("klue", mrc))}
+
+
+def _chunks_of(kind: str, target: int):
+    """Sentences from each one on (E8, F5), of an encyclopedia its clean lines by paragraph (D15), packed."""
+    if kind != "wiki":
+        return F.transform(chunking.sliding(T.mark_sentences(F.col("text")), target, 0.25 if kind == "klue" else 0.7), lambda c: F.array_join(c, " "))
+    lines = F.transform(T.paragraphs(F.col("text")), lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), _clean_line), _long_line), " "))
+    return chunking.segments(F.filter(lines, lambda x: x != ""), target)
+
+
+def _clean_line(x):
+    return T.strip(F.regexp_replace(x, r"\([^)]*\)", ""))
+
+
+def _long_line(x):
+    return (F.length(x) >= 70) & (F.regexp_count(x, F.lit("[가-힣]")) >= F.length(x) * 0.3)
+
+
 @query()
 def n8_two_targets(spark, d):
-    """One pass for two target lengths: paragraphs packed, a gate on names and pronouns, a quota of each target and source."""
-    from jikjo.operators.ordering import heads
+    """One pass for two target lengths, the chunks of each kind of source (E8, D15, F5, F6) by its triple gate (G1, D14); no quota."""
+    found = None
+    for kind, rows in _of_kind(spark, d).items():
+        both = F.array(*[F.struct(F.lit(n).alias("target"), _chunks_of(kind, n).alias("chunks")) for n in (32, 64)])
+        x = rows.select(F.lit(kind).alias("source"), F.explode(both).alias("z")).select("source", "z.target", F.explode("z.chunks").alias("chunk"))
+        least, p, e = TRIPLE_GATES[kind]
+        names = quality._n(quality._is("NNP")).alias("names")
+        v = quality.vector(x.withColumn("row", F.struct("source", "target")), "row", "chunk", names)
+        good = v.where((F.col("pronoun_count") >= least) & (F.col("pronoun_density") >= p) & (F.col("entity_density") >= e)).select("row.*", "names")
+        found = good if found is None else found.union(good)
+    return found.groupBy("target", "source").agg(F.count("*").alias("chunks"), F.sum("names").alias("names"))
+
+
+def _fixed(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """key and exactly ``size`` word ids of each text, 0 where it has fewer words."""
+    words = T.words(F.col("text"))
+    named = {c: f"key_{c}" for c in key}
+    ids = V.encoded(rows.withColumnsRenamed(named), list(named.values()), F.slice(words, 1, size), V.vocabulary(rows, words))
+    return ids.select(*[F.col(named[c]).alias(c) for c in key], T.padded(F.transform("ids", lambda i: i.cast("int")), size).alias("input_ids"))
+
+
+def filtered_texts(spark: SparkSession, d: str) -> DataFrame:
+    """source, id, k, text of N7: prefilters (D6, D7, D5), merged paragraphs (F7), worker vector (G3), gate of the profile."""
+    kinds = _of_kind(spark, d)
+    merged = chunking.merged_paragraphs(T.paragraphs(F.col("text")), 500, 1500)
+    parts = {
+        "mrc": kinds["klue"].select("id", F.lit(0).alias("k"), "text").where(quality.prefilter_mrc(F.col("text"))),
+        "encyclopedia": kinds["wiki"].select("id", F.posexplode(merged).alias("k", "text")).where(quality.prefilter_paragraph(F.col("text"), 500, 1500)),
+        "news": kinds["naver"].select("id", F.lit(0).alias("k"), "text").where(F.length("text") >= 800),
+    }
+    found = None
+    for profile, x in parts.items():
+        row = F.struct(F.lit(profile).alias("source"), "id", F.col("k").cast("long").alias("k"), "text")
+        good = quality.worker_vector(x.withColumn("row", row), "row", "text").where(quality.gate(profile)).select("row.*")
+        found = good if found is None else found.union(good)
+    return found
+
+
+@query()
+def n7_filtered(spark, d):
+    """The texts that pass each source's filters, as 1,536 word ids (F15); all of them: no target stops it."""
+    rows = stored(filtered_texts(spark, d).withColumn("version", F.xxhash64("text")), "filtered-texts")
+    return _fixed(rows, ["source", "id", "k", "version"], 1536).drop("version")
+
+
+def training_chunks(spark: SparkSession, d: str, stride: int | None = None, threshold: float = 0.6) -> DataFrame:
+    """place, source, id, k, text, quality_score of N5: all sources (C10, J9) in chunks (N2), quality (G1), gate (D12), seeded order.
+
+    ``stride``: about so many chunks are analysed (I2), the others lost; by default all are.
+    """
+    texts = C.union_sources(spark, d).where(F.length("text") >= 50).distinct()
+    x = texts.select("source", "id", F.xxhash64("text").alias("version"), F.posexplode(chunking.routed(F.col("text"), 128)).alias("k", "text"))
+    x = x.withColumn("h", F.md5(F.concat_ws(":", F.lit("42"), "source", "id", "version", "k")))
+    if stride:
+        from jikjo.operators import sampling
+
+        x = sampling.strided(stored(x, "training-chunks"), "h", stride)
+    row = F.struct("source", "id", "version", F.col("k").cast("long").alias("k"), "h", "text")
+    v = quality.vector(x.withColumn("row", row), "row", "text").where(F.col("quality_score") >= threshold)
+    return numbered(v.select("row.*", "quality_score", "pronoun_density", "entity_density"), ["h"], "place").drop("h", "version")
 
-    parts = T.paragraphs(F.col("text"))
-    both = F.array(*[F.transform(chunking.segments(parts, n), lambda c, n=n: F.struct(F.lit(n).alias("target"), c.alias("chunk"))) for n in (32, 64)])
-    x = docs(spark, d).where("source is not null").select("doc_id", "source", F.posexplode(F.flatten(both)).alias("k", "z")).select("doc_id", "source", "k", "z.*")
-    v = quality.with_tokens(x, F.col("chunk")).withColumn("names", quality._n(quality._is("NNP"))).withColumn("pronouns", quality._n(quality._is("NP")))
-    gated = v.where((F.col("names") >= 1) & (F.col("pronouns") >= 1)).drop("__t")
-    return heads(gated, ["target", "source"], [F.col("doc_id"), F.col("k")], 200).groupBy("target", "source").agg(F.count("*").alias("chunks"), F.sum("names").alias("names"))
+
+@query()
+def n5_training_set(spark, d):
+    """Every chunk of all sources that passes the quality gate, in a seeded order, as 128 word ids."""
+    rows = stored(training_chunks(spark, d), "training-set")
+    return _fixed(rows, ["place", "source", "id", "k"], 128)
+
+
+@query()
+def n5_quality(spark, d):
+    """Mean quality of the first hundred rows of the training set, and its tier."""
+    m = training_chunks(spark, d).where("place <= 100").agg(*[F.avg(c).alias(c) for c in ("quality_score", "pronoun_density", "entity_density")])
+    return m.withColumn("tier", F.when(F.col("quality_score") > 0.8, "high").when(F.col("quality_score") > 0.6, "good").otherwise("low"))
 
 
 @query(
@@ -449,7 +542,7 @@ def n8_two_targets(spark, d):
 from documents where text is not null and length(text) >= 50 order by md5('42:' || doc_id), doc_id limit 100"""
 )
 def n1_training_head(spark, d):
-    """Floor, seeded shuffle, head, fixed length."""
+    """N4 without tokens: floor, seeded shuffle, head, fixed length, of documents alone. The whole pipeline is n5_training_set."""
     from jikjo.operators import sampling
 
     head = sampling.shuffled_head(docs(spark, d).where(F.length("text") >= 50).select("doc_id", "text"), "doc_id", 100, 42)
@@ -485,8 +578,6 @@ select v.id, v.w, count(distinct t.doc_id) as n_docs from (select doc_id, unnest
 )
 def f16_vocabulary_ids(spark, d):
     """Word ids by frequency, with the documents that have the word among their first ten: as its SQL says. Whole texts: f16_word_documents, f16_decoded."""
-    from jikjo.operators.ordering import numbered
-
     w = docs(spark, d).select("doc_id", T.words(F.col("text")).alias("w"))
     counts = w.select(F.explode("w").alias("w")).groupBy("w").agg((-F.count("*")).alias("m"))
     vocab = numbered(counts, ["m", "w"], "id").select("w", "id")

@@ -127,7 +127,6 @@ def test_group_of_reworked_copies_is_whole(spark):
     reach = {(a, b) for a, b in want if (low[a] == low[b]).all(1).any() and int(word[a] ^ word[b]).bit_count() <= neardup.FAR_BITS}
     df = spark.createDataFrame(rows, "k long, t string")
     got = {(x.id_a, x.id_b) for x in neardup.near_pairs(df, "x", "k", "t", 0.6, 5, 200, False).collect()}
-    print(len(want), len(reach), len(got))
     assert got == reach
     assert len(got) > 0.99 * len(want)
 
