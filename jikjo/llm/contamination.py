@@ -1,27 +1,33 @@
-"""Evaluation passages inside training text, found through a distributed positional inverted index.
-
-The index is partitioned by document: each shard holds, for its documents, the
-postings (term, position) of every term of any test item.  A term is a run of
-``WIDTH`` letters or digits of the text in NFKC and lower case, so that spacing,
-punctuation, letter form and markup don't matter, and a replaced word breaks only
-the terms that touch it.
-
-1. One pass counts in how many documents each test term occurs (combined in each
-   task, then summed): exact counts over all rows.
-2. Of each stretch of ``SEGMENT`` positions of an item, the rarest term is kept as
-   a *probe*.  At least half an item holds at least ``len / 2 / SEGMENT - 1`` probes.
-3. One pass writes the index.  A document where fewer than ``PROBES`` probes of one
-   item occur can't match and gets no postings.
-4. The index is read: lists of the probes are intersected after adjusting offsets
-   (document position - item position) within a band that allows for words of
-   another length, and only items that pass are intersected in all their terms.
-   The longest passage and its covered length decide.
-
-Test items are the bounded side: they go to every task, ``BLOCK`` items at a time,
-whatever their number.  Nothing of the corpus is broadcast or collected but the
-document counts of test terms.  Null, blank or short texts match nothing; an item
-with fewer than ``LEAST`` kept characters can't be told from chance and is skipped;
-repeated deliveries give one row; other columns are ignored.
+"""Evaluation passages inside training text, found through a stored positional inverted index.
+
+``build_index`` reads the training text once and stores the index; ``leaks`` searches
+a stored index for any table of items, so the text is scanned once however many items
+or searches there are.
+
+The index is partitioned by document.  A row is a shard: the terms of its documents
+in order, and for each the sorted list of the positions at which it stands.  A term is
+a run of ``WIDTH`` letters or digits of the text in NFKC and lower case, so that
+spacing, punctuation, letter form and markup don't matter, and a replaced word breaks
+only the terms that touch it.  Every position of every document is posted.
+
+Search, in each shard:
+
+1. The lists of an item's terms are read from the rarest in this shard on.  The most
+   frequent ones are left out as long as they cover less than ``LEFT_OUT`` of the
+   characters that a match needs.  So what is read must cover the rest of them in
+   every match: a bound that holds for each item, of 12 characters or of 12,000.
+2. The lists are intersected after adjusting offsets (position in the document less
+   position in the item).  Hits within a band of offsets (proximity) that cover enough
+   make a candidate.
+3. Of a candidate the lists of all terms are read, within its document: the best
+   stretch no longer than the item with some room, how much of the item it covers,
+   and whether the whole item stands there (exact phrase).
+
+Items come as a table and are searched ``BLOCK_CHARS`` characters at a time; a block is
+bounded, and is the only thing that is collected or broadcast.  Nothing of the corpus
+is.  Null, blank or short texts match nothing; of an item with fewer than ``LEAST``
+kept characters half can't be told from chance, so it is passed over; repeated
+deliveries give one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +44,11 @@ from pyspark.sql import functions as F
 from jikjo.functions.codepoints import grams, kept, slices
 from jikjo.storage import stored
 
-WIDTH, SEGMENT, PROBES, LEAST = 6, 8, 2, 24
+WIDTH, LEAST = 6, 12
 BAND = 24
-BLOCK = 5_000
+#: Share of a match's characters that the terms not read at first may cover.
+LEFT_OUT = 0.5
+BLOCK_CHARS, SHARD_BYTES = 2_000_000, 8_000_000
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:#\d+|[a-zA-Z]+);|\[MASK\]|https?://\S+")
 
 
@@ -50,74 +58,112 @@ def _plain(x: str | None) -> str:
     return _MARKUP.sub(" ", x) if "<" in x or "&" in x or "[" in x or "://" in x else x
 
 
-def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Term hashes of all texts, the text and the position of each, and the kept length of each text."""
-    points, at = kept([_plain(x) for x in texts])
-    sizes = np.diff(at)
-    n = np.maximum(0, sizes - WIDTH + 1)
-    g = grams(points, WIDTH)
-    owner = np.repeat(np.arange(len(texts)), n)
-    begin = np.concatenate(([0], np.cumsum(n)))
-    place = np.arange(begin[-1]) - begin[:-1][owner]
-    return g[at[:-1][owner] + place], owner, place, sizes
+def _inside(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every place at which a term fits into a text: the text, and the place in the joined texts."""
+    n = np.maximum(0, np.diff(at) - WIDTH + 1)
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, at[:-1][owner] + np.arange(n.sum()) - (np.cumsum(n) - n)[owner]
+
+
+def _terms(points: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """40 bits of the hash of the term at each place: a list is seldom shared by two terms of a shard."""
+    return grams(points, WIDTH)[place] >> np.uint64(24) if len(place) else np.zeros(0, np.uint64)
+
+
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], ..., first[0] + n[0] - 1, first[1], ..."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones ...: the high ones are mostly 0 and cost nothing once compressed."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _numbers(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, len(b) // size).T).view(kind).ravel()
+
+
+# --- the index ---------------------------------------------------------------------
+
+SHARD = "row_ids binary, ends binary, terms binary, counts binary, places binary"
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of an Arrow batch: document keys, where each ends, terms in order, how often each occurs, and where."""
+    for whole in batches:
+        for b in slices(whole, 1, SHARD_BYTES):
+            points, at = kept([_plain(x) for x in b.column(1).to_pylist()])
+            _, place = _inside(at)
+            h = _terms(points, place)
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+            row = [
+                b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(),
+                at[1:].astype(np.int64).tobytes(),
+                _planes(np.diff(h[first], prepend=np.uint64(0))),
+                _planes(np.diff(np.append(first, len(h))).astype(np.uint32)),
+                _planes(place[order].astype(np.uint32)),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [c.split()[0] for c in SHARD.split(", ")])
+
+
+def build_index(corpus: DataFrame, key: str, text: str) -> DataFrame:
+    """The positional index of all rows that have a key and a text, stored in the shared folder."""
+    rows = corpus.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).where("row_id is not null and text is not null")
+    return stored(rows.mapInArrow(_post, SHARD), "leak-index")
+
+
+# --- the items ---------------------------------------------------------------------
 
 
 @dataclass
 class Items:
-    """The test items of one block as an inverted index of their own: term number -> (item, position)."""
+    """The items of one block: of every place of every item its term, the item and the place."""
 
     names: list[tuple[str, int]]
     sizes: np.ndarray
-    terms: np.ndarray  # sorted hashes
-    first: np.ndarray  # of each term, where its postings begin
+    need: np.ndarray  # characters that a match must cover
+    terms: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    near: np.ndarray  # a bitmap over the top bits of hashes: most foreign terms end here
 
     @classmethod
-    def of(cls, rows: list[tuple[str, int, str]]) -> Items:
-        h, item, place, sizes = _terms([r[2] for r in rows])
-        terms, number = np.unique(h, return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        first = np.searchsorted(number[order], np.arange(len(terms) + 1))
-        near = np.zeros(1 << 22, bool)
-        near[terms >> np.uint64(42)] = True
-        return cls([r[:2] for r in rows], sizes, terms, first, item[order], place[order], near)
-
-    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are terms of an item, and their numbers."""
-        where = np.flatnonzero(self.near[h >> np.uint64(42)])
-        k = np.minimum(np.searchsorted(self.terms, h[where]), len(self.terms) - 1)
-        ok = self.terms[k] == h[where]
-        return where[ok], k[ok]
-
-    def probes(self, df: np.ndarray) -> np.ndarray:
-        """True at terms that are the rarest of some stretch of an item."""
-        out = np.zeros(len(self.terms), bool)
-        number = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
-        order = np.lexsort((number, df[number], self.place // SEGMENT, self.item))
-        i, s = self.item[order], self.place[order] // SEGMENT
-        lead = np.ones(len(order), bool)
-        lead[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1])
-        out[number[order[lead]]] = True
+    def of(cls, rows: list[tuple[str, int, str]], share: float) -> Items:
+        points, at = kept([_plain(r[2]) for r in rows])
+        sizes = np.diff(at)
+        owner, place = _inside(at)
+        use = (sizes >= LEAST)[owner]
+        owner, place = owner[use], place[use]
+        return cls([r[:2] for r in rows], sizes, np.maximum(share * sizes, 1), _terms(points, place), owner, place - at[:-1][owner])
+
+    def rare(self, df: np.ndarray) -> np.ndarray:
+        """True at the places whose terms must be read: all but the most frequent ones that cover less than they may."""
+        order = np.lexsort((-df, self.item))
+        begin = np.searchsorted(self.item, np.arange(len(self.sizes)))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - begin[self.item[order]]
+        # the rank at which each character of an item is first covered, and from there the characters covered up to each rank
+        at = np.concatenate(([0], np.cumsum(self.sizes)))
+        first = np.full(at[-1], np.iinfo(np.int64).max)
+        spot = at[self.item] + self.place
+        for k in range(WIDTH):
+            np.minimum.at(first, spot + k, rank)
+        covered = np.zeros(len(order) + 1, np.int64)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        some = first < np.iinfo(np.int64).max
+        np.add.at(covered, begin[owner[some]] + first[some], 1)
+        total = np.cumsum(covered[:-1])
+        before = np.concatenate(([0], total))[begin]
+        upto = total - before[self.item[order]]
+        out = np.empty(len(order), bool)
+        out[order] = upto >= LEFT_OUT * self.need[self.item[order]]
         return out
 
-    def expand(self, number: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every (item, item position, document position, term) that the document's postings meet."""
-        n = self.first[number + 1] - self.first[number]
-        begin = np.concatenate(([0], np.cumsum(n)))
-        k = np.repeat(self.first[number] - begin[:-1], n) + np.arange(begin[-1])
-        return self.item[k], self.place[k], np.repeat(at, n), np.repeat(number, n)
-
 
-def _bands(item: np.ndarray, shift: np.ndarray, term: np.ndarray) -> np.ndarray:
-    """Items of which PROBES different probes occur at nearly equal offsets."""
-    order = np.lexsort((shift, item))
-    i, s, t = item[order], shift[order], term[order]
-    ok = np.zeros(len(i), bool)
-    for step in range(1, 4):  # a repeated probe may stand between two different ones
-        ok[step:] |= (i[step:] == i[:-step]) & (s[step:] - s[:-step] <= BAND) & (t[step:] != t[:-step])
-    return np.unique(i[ok])
+# --- the search --------------------------------------------------------------------
 
 
 def passage(size: int, place: np.ndarray, at: np.ndarray) -> tuple[int, int, int, int]:
@@ -137,8 +183,7 @@ def passage(size: int, place: np.ndarray, at: np.ndarray) -> tuple[int, int, int
         # within a band, a stretch of the document no longer than the item with some room
         p, a = place[part], at[part]
         for lo in np.concatenate(([0], np.flatnonzero(np.diff(a) > size // 2) + 1)):
-            inside = (a >= a[lo]) & (a <= a[lo] + size + 2 * BAND)
-            q = np.unique(p[inside])
+            q = np.unique(p[lo : np.searchsorted(a, a[lo] + size + 2 * BAND, "right")])
             covered = np.zeros(size, bool)
             for k in range(WIDTH):
                 covered[q + k] = True
@@ -147,69 +192,71 @@ def passage(size: int, place: np.ndarray, at: np.ndarray) -> tuple[int, int, int
     return best
 
 
-def _count(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(items.terms), np.int64)
-        for whole in batches:
-            for b in slices(whole, 0):
-                h, owner, _, _ = _terms(b.column(0).to_pylist())
-                where, k = items.lookup(h)
-                df += np.bincount(np.unique(owner[where] * len(df) + k) % len(df), minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], ["term", "df"])
-
-    return run
-
+class Shard:
+    """One row of the index."""
+
+    def __init__(self, row_ids: bytes, ends: bytes, terms: bytes, counts: bytes, places: bytes) -> None:
+        self.row_ids, self.ends = np.frombuffer(row_ids, np.int64), np.frombuffer(ends, np.int64)
+        self.begins = np.concatenate(([0], self.ends[:-1]))
+        self.terms = np.cumsum(_numbers(terms, np.uint64), dtype=np.uint64)
+        self.counts = _numbers(counts, np.uint32).astype(np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.places = _numbers(places, np.uint32).astype(np.int64)
+
+    def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the list of each term begins, and its length (0: the term isn't here)."""
+        if not len(self.terms):
+            return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+        k = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return self.first[k], np.where(self.terms[k] == terms, self.counts[k], 0)
+
+    def candidates(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) in which the terms that are read cover enough within a band of offsets."""
+        first, df = self.lists(items.terms)
+        use = np.flatnonzero(items.rare(df) & (df > 0))
+        at = self.places[_spans(first[use], df[use])]
+        ask = np.repeat(use, df[use])
+        doc = np.searchsorted(self.ends, at, "right")
+        pair, place = doc * len(items.names) + items.item[ask], items.place[ask]
+        shift = at - self.begins[doc] - place
+        order = np.lexsort((shift, pair))
+        pair, place, shift = pair[order], place[order], shift[order]
+        new = np.ones(len(pair), bool)
+        new[1:] = (np.diff(pair) != 0) | (np.diff(shift) > 3 * BAND)
+        band, of = np.cumsum(new) - 1, pair[new]
+        need = (1 - LEFT_OUT) * items.need[of % len(items.names)]
+        some = (np.bincount(band, minlength=len(of)) * WIDTH >= need)[band]  # few are left to be sorted
+        band, place = band[some], place[some]
+        order = np.lexsort((place, band))
+        band, place = band[order], place[order]
+        fresh = np.full(len(band), WIDTH)
+        fresh[:-1] = np.where(np.diff(band) == 0, np.minimum(WIDTH, np.diff(place)), WIDTH)
+        pair = np.unique(of[np.bincount(band, fresh, minlength=len(of)) >= need])
+        return pair // len(items.names), pair % len(items.names)
+
+    def hits(self, first: np.ndarray, df: np.ndarray, doc: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of lists, given by begin and length, the entries within one document: which list, and the position in the document."""
+        lo, hi = self.begins[doc], self.ends[doc]
+        got = [self.places[a + np.searchsorted(p, lo) : a + np.searchsorted(p, hi)] for a, n in zip(first, df) for p in [self.places[a : a + n]]]
+        return np.repeat(np.arange(len(got)), [len(g) for g in got]), np.concatenate(got) - lo if got else np.zeros(0, np.int64)
+
+
+def _search(items: Items, share: float):
+    begin = np.searchsorted(items.item, np.arange(len(items.sizes) + 1))
 
-def _post(items: Items, probe: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 1):
-                h, owner, place, _ = _terms(b.column(1).to_pylist())
-                where, k = items.lookup(h)
-                owner, place = owner[where], place[where]
-                is_probe = probe[k]
-                # documents with enough different probes of one item
-                doc = owner[is_probe]
-                item, _, _, term = items.expand(k[is_probe], place[is_probe])
-                n = items.first[k[is_probe] + 1] - items.first[k[is_probe]]
-                pair = np.unique(np.stack([np.repeat(doc, n), item, term]), axis=1)
-                key, many = np.unique(pair[0] * len(items.names) + pair[1], return_counts=True)
-                docs = np.unique(key[many >= PROBES] // len(items.names))
-                if not len(docs):
-                    continue
-                lo, hi = np.searchsorted(owner, docs), np.searchsorted(owner, docs, "right")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(pa.array(docs)),
-                        pa.array([k[x:y].astype(np.int32).tobytes() for x, y in zip(lo, hi)], pa.binary()),
-                        pa.array([place[x:y].astype(np.int32).tobytes() for x, y in zip(lo, hi)], pa.binary()),
-                    ],
-                    ["row_id", "terms", "places"],
-                )
-
-    return run
-
-
-def _search(items: Items, probe: np.ndarray, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for row, terms, places in zip(*(c.to_pylist() for c in b.columns)):
-                k, at = np.frombuffer(terms, np.int32), np.frombuffer(places, np.int32).astype(np.int64)
-                p = probe[k]
-                item, place, where, term = items.expand(k[p], at[p])
-                likely = _bands(item, where - place, term)
-                if not len(likely):
-                    continue
-                item, place, where, term = items.expand(k, at)
-                for i in likely:
-                    mine = item == i
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                shard = Shard(*row)
+                out: list[tuple] = []
+                for d, i in zip(*(x.tolist() for x in shard.candidates(items))):
+                    mine = slice(begin[i], begin[i + 1])
+                    which, at = shard.hits(*shard.lists(items.terms[mine]), d)
                     size = int(items.sizes[i])
-                    covered, first, last, start = passage(size, place[mine], where[mine])
+                    covered, first, last, start = passage(size, items.place[mine][which], at)
                     if covered >= share * size:
-                        out.append((*items.names[i], row, covered, size, first, last, start, covered == size))
-            yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r)) for r in out], SCHEMA)
+                        out.append((*items.names[i], int(shard.row_ids[d]), covered, size, first, last, start, covered == size))
+                yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r)) for r in out], SCHEMA)
 
     return run
 
@@ -219,24 +266,20 @@ SCHEMA = pa.schema([pa.field(n, t) for n, t in zip(FIELDS, [pa.string()] + [pa.i
 DDL = "bench string, item_id long, row_id long, covered int, item_size int, item_from int, item_to int, doc_from long, exact_phrase boolean"
 
 
-def leaks(corpus: DataFrame, key: str, text: str, items: list[tuple[str, int, str]], share: float) -> DataFrame:
-    """Rows of the corpus that contain an item's passage of which at least ``share`` of the item's kept characters match.
+def leaks(index: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """Rows of an index that contain an item's passage of which at least ``share`` of the item's kept characters match.
 
-    One row for each (bench, item_id, row_id): matched characters, the item's kept
-    length, the item's and the document's position (in kept characters), and whether
-    the whole item stands there letter by letter.
+    ``items``: bench, item_id, text.  One row for each (bench, item_id, row_id): matched
+    characters, the item's kept length, the item's and the document's position (in kept
+    characters), and whether the whole item stands there letter by letter.
     """
-    spark = corpus.sparkSession
-    rows = corpus.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).where("row_id is not null and text is not null")
-    items = [i for i in items if i[2] and len(kept([_plain(i[2])])[0]) >= LEAST]
-    found = spark.createDataFrame([], DDL)
-    for o in range(0, len(items), BLOCK):
-        block = Items.of(items[o : o + BLOCK])
-        counts = rows.select("text").mapInArrow(_count(block), "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        df = np.zeros(len(block.terms), np.int64)
-        for r in counts.collect():  # at most one row for each term of the block's items
-            df[r.term] = r.df
-        probe = block.probes(df)
-        index = stored(rows.mapInArrow(_post(block, probe), "row_id long, terms binary, places binary"), "leak-index")
-        found = found.union(index.mapInArrow(_search(block, probe, share), DDL))
-    return found.groupBy("bench", "item_id", "row_id").agg(F.max(F.struct("covered", "item_size", "item_from", "item_to", "doc_from", "exact_phrase")).alias("m")).select("bench", "item_id", "row_id", "m.*")
+    items = items.select("bench", F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
+    total = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    blocks = -(-total // BLOCK_CHARS)
+    found = index.sparkSession.createDataFrame([], DDL)
+    for k in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("bench", "item_id", "text"), F.lit(blocks)) == k)
+        block = Items.of([tuple(r) for r in mine.collect()], share)  # about BLOCK_CHARS characters
+        found = found.union(index.mapInArrow(_search(block, share), DDL))
+    best = F.max(F.struct("covered", "item_size", "item_from", "item_to", "doc_from", "exact_phrase"))
+    return found.groupBy("bench", "item_id", "row_id").agg(best.alias("m")).select("bench", "item_id", "row_id", "m.*")

@@ -91,11 +91,11 @@ where r.source_name in (select name from streams)
 """
 
 
-def test_items(spark: SparkSession, d: str) -> list[tuple[str, int, str]]:
-    """The evaluation items: two fixed tables, whatever the size of the corpus."""
+def evaluation_items(spark: SparkSession, d: str) -> DataFrame:
+    """bench, item_id, text of the items that must not leak."""
     one = table(spark, d, "lambada").select(F.lit("lambada").alias("bench"), "item_id", F.coalesce("text", "context").alias("text"))
     two = table(spark, d, "hellaswag").where("split in ('validation', 'test')").select(F.lit("hellaswag"), "item_id", "paragraph")
-    return [tuple(r) for r in one.union(two).where("text is not null").distinct().collect()]
+    return one.union(two)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.leaks(table(spark, d, "raw_text"), "row_id", "text", test_items(spark, d), share=0.45)
+    index = contamination.build_index(table(spark, d, "raw_text"), "row_id", "text")
+    return contamination.leaks(index, evaluation_items(spark, d), share=0.45)
 
 
 def _typed(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
