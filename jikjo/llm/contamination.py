@@ -48,7 +48,7 @@ WIDTH, LEAST = 6, 12
 BAND = 24
 #: Share of a match's characters that the terms not read at first may cover.
 LEFT_OUT = 0.5
-BLOCK_CHARS, SHARD_BYTES = 2_000_000, 8_000_000
+BLOCK_CHARS, SHARD_BYTES = 2_000_000, 3_000_000
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:#\d+|[a-zA-Z]+);|\[MASK\]|https?://\S+")
 
 
@@ -113,7 +113,7 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(corpus: DataFrame, key: str, text: str) -> DataFrame:
     """The positional index of all rows that have a key and a text, stored in the shared folder."""
     rows = corpus.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).where("row_id is not null and text is not null")
-    return stored(rows.mapInArrow(_post, SHARD), "leak-index")
+    return stored(rows.mapInArrow(_post, SHARD), "leak-index", codec="zstd")
 
 
 # --- the items ---------------------------------------------------------------------
