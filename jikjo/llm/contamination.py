@@ -48,7 +48,7 @@ WIDTH, LEAST = 6, 12
 BAND = 24
 #: Share of a match's characters that the terms not read at first may cover.
 LEFT_OUT = 0.5
-BLOCK_CHARS, SHARD_BYTES = 2_000_000, 3_000_000
+BLOCK_CHARS, SHARD_BYTES = 2_000_000, 1_500_000
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:#\d+|[a-zA-Z]+);|\[MASK\]|https?://\S+")
 
 
@@ -76,13 +76,16 @@ def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones ...: the high ones are mostly 0 and cost nothing once compressed."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    """The number of bytes that the largest value takes; the first bytes of all numbers, then the second ones ..."""
+    n = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+    return bytes([n]) + np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :n].T).tobytes()
 
 
 def _numbers(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, len(b) // size).T).view(kind).ravel()
+    n, size = b[0], np.dtype(kind).itemsize
+    out = np.zeros(((len(b) - 1) // n, size), np.uint8)
+    out[:, :n] = np.frombuffer(b, np.uint8, offset=1).reshape(n, -1).T
+    return out.view(kind).ravel()
 
 
 # --- the index ---------------------------------------------------------------------
