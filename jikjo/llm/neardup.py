@@ -10,21 +10,29 @@ Plan
 2. Records of equal fingerprint form one class (map-side combined); only its
    smallest id goes on, so that a group of copies that holds a third of all rows
    costs one row in the forest.
-3. In each tree a row belongs to the region of its ``DEPTH`` values, its head.  All
-   pairs of a region are candidates, whatever its size: a region of at most
-   ``REGION`` rows is compared where it is sorted; the rows of a larger one are
-   spread over tiles of ``TILE`` x ``TILE`` rows and compared by many tasks.
-4. 64 further one-bit MinHash values travel with a row, into the tiles too; a
+3. Each tree is a sorted order of the signatures: its rows stand by their common
+   prefixes.  The depth is adaptive by region: where at most ``REGION`` rows share a
+   prefix of ``SHALLOW`` values, all of them are candidates of each other; a more
+   crowded region is split by one more value, and there too all pairs of a
+   (sub)region are candidates, whatever its size.  So a sparse region is searched
+   more widely, and a crowded one loses no pair to a bound on neighbours.
+4. A subregion of at most ``REGION`` rows is compared where it is sorted; the rows of
+   a larger one are spread over tiles of ``TILE`` x ``TILE`` rows and compared by many
+   tasks.  64 further one-bit MinHash values travel with a row, into the tiles too; a
    candidate that differs in over ``FAR_BITS`` of them is no match (for similarity
    0.6 the chance to be lost here is below 1e-4).  What remains is verified exactly
    on the texts.
 
-A group of near copies may hold a third of all rows, and then its head is hot in
-every tree.  Heads are counted first, in ``BUCKETS`` bins that each task combines;
-only where a bin stands out are its heads counted one by one.  Rows of a head
-with more than ``HOT`` rows go to the tiles at once, so that no partition holds them
-all.  Null, blank and short texts have no shingles and so no
-partners; repeated deliveries of one id count once; other columns are ignored.
+A group of near copies may hold a third of all rows, and then its prefix is hot in
+every tree.  Prefixes are counted first, in ``BUCKETS`` bins that each task combines;
+only where a bin stands out are its prefixes counted one by one.  A prefix with more
+than ``HOT`` rows is partitioned by all its values, and if those are hot too, the rows
+go to the tiles at once, so that no partition holds them all.
+
+Null, blank and short texts have no shingles and so no partners.  In ``near_classes``
+short texts of equal kept characters share a class; null and blank ones stand alone.
+Repeated deliveries of one id count once; should their texts differ, the one of the
+smallest hash is the record's.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +48,17 @@ from pyspark.sql import functions as F
 from jikjo.functions.codepoints import grams, kept, mix, slices
 from jikjo.storage import stored
 
-TREES, DEPTH = 20, 3
+TREES, DEPTH, SHALLOW = 20, 3, 2
 REGION, TILE = 24, 200
 BITS, FAR_BITS = 64, 26
 HOT, BUCKETS = 100_000, 1 << 14
+#: Rows of a table of hot prefixes up to which it is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _SEEDS = mix(np.arange(1, TREES * 6 + BITS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _SEEDS = np.concatenate([_SEEDS[: TREES * 6].reshape(TREES, 6)[:, :DEPTH].ravel(), _SEEDS[TREES * 6 :]])  # six were drawn for each tree
 _A = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _B = (_SEEDS >> np.uint64(32)).astype(np.uint32)
+DEEPER = 16 * (DEPTH - SHALLOW)  # bits of a head that a shallow prefix leaves out
 
 
 def signatures(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,30 +100,43 @@ def _shingled(texts: list[str], width: int, least: int, words: bool) -> tuple[np
     return every[index], begin, use
 
 
+SIGNED = "id long, h long, f1 long, f2 long, sig binary, bits long"
+
+
 def _sign(width: int, least: int, words: bool):
+    """A row for every record.  A text with shingles has fingerprints, signature and bits; a short one fingerprints; a blank one none."""
+
+    def fingerprint(parts: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # order matters: each part is mixed with its place
+        place = (np.arange(len(parts)) - np.repeat(begin[:-1], np.diff(begin))).astype(np.uint64)
+        f1 = np.add.reduceat(mix(parts + place * np.uint64(0x9E3779B97F4A7C15)), begin[:-1])
+        f2 = np.add.reduceat(mix(parts ^ mix(place + np.uint64(77))), begin[:-1])
+        return f1.view(np.int64), f2.view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 2, 3_000_000):
-                ids, names = b.column(1), b.column(0)
-                h, begin, use = _shingled(["" if x is None else x for x in b.column(2).to_pylist()], width, least, words)
-                if not len(use):
-                    continue
-                low, word = signatures(h, begin[:-1])
-                # order matters in a fingerprint: each shingle is mixed with its place
-                place = (np.arange(len(h)) - np.repeat(begin[:-1], np.diff(begin))).astype(np.uint64)
-                f1 = np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), begin[:-1])
-                f2 = np.add.reduceat(mix(h ^ mix(place + np.uint64(77))), begin[:-1])
-                take = pa.array(use)
+                n = b.num_rows
+                texts = ["" if x is None else x for x in b.column(2).to_pylist()]
+                f1, f2, known = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+                h, begin, use = _shingled(texts, width, least, words)
+                sig: list[bytes | None] = [None] * n
+                bits = np.zeros(n, np.int64)
+                if len(use):
+                    low, word = signatures(h, begin[:-1])
+                    f1[use], f2[use] = fingerprint(h, begin)
+                    known[use], bits[use] = True, word.view(np.int64)
+                    for i, r in zip(use.tolist(), low):
+                        sig[i] = r.tobytes()
+                points, at = kept([t if s is None else "" for t, s in zip(texts, sig)])
+                few = np.flatnonzero(np.diff(at))
+                if len(few):
+                    f1[few], f2[few] = fingerprint(mix(points.astype(np.uint64) + np.uint64(1 << 40)), np.append(at[:-1][few], at[-1]))
+                    known[few] = True
+                full = np.array([x is not None for x in sig], bool)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        names.take(take),
-                        ids.take(take),
-                        pa.array(f1.view(np.int64)),
-                        pa.array(f2.view(np.int64)),
-                        pa.array([r.tobytes() for r in low], pa.binary()),
-                        pa.array(word.view(np.int64)),
-                    ],
-                    ["rec_table", "id", "f1", "f2", "sig", "bits"],
+                    [b.column(0), b.column(1), pa.array(f1, mask=~known), pa.array(f2, mask=~known), pa.array(sig, pa.binary()), pa.array(bits, mask=~full)],
+                    [c.split()[0] for c in SIGNED.split(", ")],
                 )
 
     return run
@@ -139,15 +163,20 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates from rows sorted by head.  ``dense`` is null for a pair; for a row of a region over ``REGION`` it is the head.
+    """Candidates from rows sorted by head.  ``dense`` is null for a pair; for a row of a subregion over ``REGION`` it is the head.
 
-    No more of a region is held than shows that it is large; the rest is passed on as it comes.
+    No more of a region is held than shows that it is crowded; the rest is passed on as it comes.
     """
 
-    def pairs(rows: list[np.ndarray], large: int | None) -> pa.RecordBatch:
+    def pairs(rows: list[np.ndarray], crowded: int | None, large: int | None) -> pa.RecordBatch:
         head, ids, bits = rows
-        region = np.cumsum(np.diff(head, prepend=head[:1]) != 0)
-        dense = (np.bincount(region)[region] > REGION) | (head == large if large is not None else False)
+        prefix = head >> DEEPER
+        region = np.cumsum(np.diff(prefix, prepend=prefix[:1]) != 0)
+        deep = (np.bincount(region)[region] > REGION) | (prefix == crowded if crowded is not None else False)
+        new = np.diff(prefix, prepend=prefix[:1]) != 0
+        new |= deep & (np.diff(head, prepend=head[:1]) != 0)
+        region = np.cumsum(new)
+        dense = deep & ((np.bincount(region)[region] > REGION) | (head == large if large is not None else False))
         where = np.flatnonzero(~dense)
         left, right = [], []
         for step in range(1, REGION):
@@ -171,7 +200,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     held: list[np.ndarray] | None = None
-    large: int | None = None  # the head of a region of which rows were passed on as dense
+    crowded: int | None = None  # the prefix of a region that is known to be crowded
+    large: int | None = None  # the head of a subregion of which rows were passed on as dense
     for batch in batches:
         new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         rows = new if held is None else [np.concatenate(p) for p in zip(held, new)]
@@ -179,16 +209,23 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         last = rows[0][-1]
-        cut = int(np.searchsorted(rows[0], last))  # sorted by head: the last region may go on
-        if n - cut > REGION or last == large:
-            yield pairs(rows, large)
-            large, held = last, None
-            continue
+        cut = int(np.searchsorted(rows[0], (last >> DEEPER) << DEEPER))  # sorted by head: the last region may go on
+        if n - cut > REGION or last >> DEEPER == crowded:
+            if (before := cut) and last >> DEEPER != crowded:
+                yield pairs([r[:before] for r in rows], crowded, large)
+                rows, n = [r[before:] for r in rows], n - before
+                large = None
+            crowded = last >> DEEPER
+            cut = int(np.searchsorted(rows[0], last))  # and so may its last subregion
+            if n - cut > REGION or last == large:
+                yield pairs(rows, crowded, large)
+                large, held = last, None
+                continue
         if cut:
-            yield pairs([r[:cut] for r in rows], large)
+            yield pairs([r[:cut] for r in rows], crowded, large)
         held = [r[cut:] for r in rows]
     if held is not None and len(held[0]):
-        yield pairs(held, large)
+        yield pairs(held, crowded, large)
 
 
 def _verify(width: int, words: bool, threshold: float):
@@ -212,48 +249,55 @@ def _verify(width: int, words: bool, threshold: float):
     return run
 
 
-def _links(df: DataFrame, table: str, key: str, text: str, threshold: float, width: int, least: int, words: bool) -> tuple[DataFrame, DataFrame]:
-    """(members: id, rep; links between representatives: a < b, similarity)."""
-    rows = df.select(F.lit(table).alias("rec_table"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    signed = stored(
-        rows.mapInArrow(_sign(width, least, words), "rec_table string, id long, f1 long, f2 long, sig binary, bits long"),
-        "neardup-signatures",
-    )
-    reps = signed.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
-    forest = reps.select("id", "sig", "bits").mapInArrow(_plant, "head long, id long, bits long")
+def _links(df: DataFrame, key: str, text: str, threshold: float, width: int, least: int, words: bool) -> tuple[DataFrame, DataFrame]:
+    """(members: id, rep, of which shingled ones have ``full``; links between representatives: a < b, similarity)."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("id is not null")
+    signed = rows.mapInArrow(_sign(width, least, words), SIGNED)
+    first = F.min_by(F.struct("f1", "f2", "sig", "bits"), F.struct(F.col("f1").isNull(), "h")).alias("r")  # of the deliveries of an id
+    signed = stored(signed.groupBy("id").agg(first, F.min(F.when(F.col("f1").isNotNull(), F.col("h"))).alias("h")).select("id", "h", "r.*"), "neardup-signatures")
+    reps = signed.where("sig is not null").groupBy("f1", "f2").agg(F.min_by(F.struct("id", "sig", "bits"), "id").alias("r")).select("r.*")
+    forest = reps.mapInArrow(_plant, "head long, id long, bits long")
     spread, piled = _spread(forest)
-    order = spread.repartition("head").sortWithinPartitions("head", "id").select("head", "id", "bits")
+    order = spread.repartition("part").sortWithinPartitions("head", "id").select("head", "id", "bits")
     walked = stored(order.mapInArrow(_walk, "a long, b long, dense long"), "neardup-candidates")
     pairs = walked.where("dense is null").select("a", "b")
     dense = walked.where("dense is not null").select("dense", F.col("a").alias("id"), F.col("b").alias("bits"))
     candidates = pairs.union(_tiled(dense if piled is None else dense.union(piled))).distinct()
     candidates = stored(candidates, "neardup-pairs")
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = stored(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text"), "neardup-texts")
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(signed.select("id", "h"), "id")
+    needed = stored(rows.join(ids, ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "neardup-texts")
     one = needed.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = needed.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     links = candidates.join(one, "a").join(two, "b").mapInPandas(_verify(width, words, threshold), "a long, b long, similarity double")
-    reps = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    members = signed.select("f1", "f2", "id").distinct().join(reps, ["f1", "f2"]).select("id", "rep")
-    return members, links
+    known = signed.where("f1 is not null").select("f1", "f2", "id", F.col("sig").isNotNull().alias("full"))
+    members = known.join(known.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), ["f1", "f2"]).select("id", "rep", "copies", "full")
+    alone = signed.where("f1 is null").select("id", F.col("id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.lit(False).alias("full"))
+    return members.union(alone), links
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table, with the hint to broadcast it only if it is found to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _spread(forest: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of usual heads; rows of hot heads as dense rows, if there are any)."""
-    bucket = F.pmod(F.xxhash64("head"), F.lit(BUCKETS))
+    """(rows with the value they are partitioned by; rows of hot heads as dense rows, if there are any)."""
+    prefix = F.shiftright("head", DEEPER)
+    bucket = F.pmod(F.xxhash64(prefix), F.lit(BUCKETS))
     bins = forest.groupBy(bucket.alias("bin")).agg(F.count("*").alias("n"))
     counts = [(r.bin, r.n) for r in bins.collect()]  # at most BUCKETS rows
     usual = sum(n for _, n in counts) / BUCKETS
     full = [b for b, n in counts if n > HOT + 1.5 * usual]
     if not full:
-        return forest, None
-    marked = forest.join(F.broadcast(forest.sparkSession.createDataFrame([(b,) for b in full], "bin long")), bucket == F.col("bin"), "left")
-    some = marked.where("bin is not null")
-    hot = some.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("head", F.lit(True).alias("hot"))
-    hot = stored(hot, "neardup-hot")  # a hot head has over HOT rows: there are at most rows / HOT of them
-    rows = marked.join(F.broadcast(hot), "head", "left")
-    return rows.where("hot is null").select("head", "id", "bits"), rows.where("hot").select(F.col("head").alias("dense"), "id", "bits")
+        return forest.withColumn("part", prefix), None
+    bins = F.broadcast(forest.sparkSession.createDataFrame([(b,) for b in full], "bin long"))  # at most BUCKETS rows
+    marked = forest.withColumn("prefix", prefix).join(bins, bucket == F.col("bin"), "left")
+    some = stored(marked.where("bin is not null").groupBy("prefix", "head").agg(F.count("*").alias("n")), "neardup-heads")
+    deep = stored(some.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("prefix", F.lit(True).alias("deep")), "neardup-deep")
+    hot = stored(some.where(F.col("n") > HOT).select("head", F.lit(True).alias("hot")), "neardup-hot")
+    rows = marked.join(_few(deep), "prefix", "left").join(_few(hot), "head", "left")
+    usual_ = rows.where("hot is null").select("head", "id", "bits", F.when(F.col("deep"), F.col("head")).otherwise(F.col("prefix")).alias("part"))
+    return usual_, rows.where("hot").select(F.col("head").alias("dense"), "id", "bits")
 
 
 def _tiled(dense: DataFrame) -> DataFrame:
@@ -287,7 +331,8 @@ def near_pairs(df: DataFrame, table: str, key: str, text: str, threshold: float
     ``words``: shingles of words; else of the letters and digits kept in NFKC and lower
     case.  ``least``: units a text must keep.  Copies under different keys are pairs.
     """
-    members, links = _links(df, table, key, text, threshold, width, least, words)
+    members, links = _links(df, key, text, threshold, width, least, words)
+    members = members.where("full")
     x = members.select(F.col("id").alias("x"), F.col("rep").alias("a"))
     y = members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     across = links.join(x, "a").join(y, "b").select("x", "y")
@@ -298,22 +343,22 @@ def near_pairs(df: DataFrame, table: str, key: str, text: str, threshold: float
 
 
 def near_classes(df: DataFrame, table: str, key: str, text: str, threshold: float = 0.8, width: int = 5, least: int = 0, words: bool = True) -> DataFrame:
-    """One row for each record that has shingles: rec_table, id, class_id and its number of links.
+    """One row for each record: rec_table, id, class_id and its number of links, that is of other records it is a near duplicate of.
 
     A class is a connected component of the links between different texts; copies
-    are members of their representative's class and aren't expanded into pairs.
-    ``class_id`` is the smallest id of the class.
+    are members of their representative's class.  They count as links, of their own
+    text's records and of all that these are linked to, without being expanded into
+    pairs.  ``class_id`` is the smallest id of the class.
     """
-    members, links = _links(df, table, key, text, threshold, width, least, words)
-    links = stored(links.select("a", "b"), "neardup-links")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    classes = components(links)
-    degree = both.groupBy("a").agg(F.count("*").alias("n_links"))
-    return (
-        members.join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(degree.withColumnRenamed("a", "rep"), "rep", "left")
-        .select(F.lit(table).alias("rec_table"), "id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    members, links = _links(df, key, text, threshold, width, least, words)
+    members, links = stored(members, "neardup-members"), stored(links.select("a", "b"), "neardup-links")
+    weight = members.where("id = rep").select(F.col("rep").alias("b"), "copies")
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(weight, "b")
+    degree = both.groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("n"))
+    classes = components(links).withColumnRenamed("id", "rep")
+    each = weight.withColumnRenamed("b", "rep").join(classes, "rep", "left").join(degree, "rep", "left")
+    each = each.select("rep", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return members.join(each, "rep").select(F.lit(table).alias("rec_table"), "id", "class_id", "n_links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -59,13 +59,18 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
 COPIED = (("raw_text", "row_id", "text"), ("translated_news", "news_id", "trans_text"))
 
 
+#: What counts as a near duplicate: runs of five characters in common, of texts that keep 200.
+NEAR = {"threshold": 0.6, "width": 5, "least": 200, "words": False}
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = [neardup.near_pairs(table(spark, d, name), name, key, text, threshold=0.6, width=5, least=200, words=False) for name, key, text in COPIED]
+    found = [neardup.near_pairs(table(spark, d, name), name, key, text, **NEAR) for name, key, text in COPIED]
     return found[0].union(found[1])
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    found = [neardup.near_classes(table(spark, d, name), name, key, text) for name, key, text in COPIED]
+    """The same question for large collections: a class and a number of links for every record."""
+    found = [neardup.near_classes(table(spark, d, name), name, key, text, **NEAR) for name, key, text in COPIED]
     return found[0].union(found[1])
 
 
