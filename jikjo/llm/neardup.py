@@ -18,9 +18,9 @@ Plan
    more widely, and a crowded one loses no pair to a bound on neighbours.
 4. A subregion of at most ``REGION`` rows is compared where it is sorted; the rows of
    a larger one are spread over tiles of ``TILE`` x ``TILE`` rows and compared by many
-   tasks.  64 further one-bit MinHash values travel with a row, into the tiles too; a
-   candidate that differs in over ``FAR_BITS`` of them is no match (for similarity
-   0.6 the chance to be lost here is below 1e-4).  What remains is verified exactly
+   tasks.  Two bits of each of ``SKETCH`` further MinHash values travel with a row, into
+   the tiles too; a candidate that differs in over ``FAR`` of them is no match (for
+   similarity 0.6 the chance to be lost here is below 1e-4).  What remains is verified exactly
    on the texts.
 
 A group of near copies may hold a third of all rows, and then its prefix is hot in
@@ -50,31 +50,34 @@ from jikjo.storage import stored
 
 TREES, DEPTH, SHALLOW = 20, 3, 2
 REGION, TILE = 24, 200
-BITS, FAR_BITS = 64, 26
+#: Further MinHash values of which two bits each are kept, and how many of them may differ.
+SKETCH, FAR = 64, 34
 HOT, BUCKETS = 100_000, 1 << 14
 #: Rows of a table of hot prefixes up to which it is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
-_SEEDS = mix(np.arange(1, TREES * 6 + BITS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_SEEDS = mix(np.arange(1, TREES * 6 + SKETCH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _SEEDS = np.concatenate([_SEEDS[: TREES * 6].reshape(TREES, 6)[:, :DEPTH].ravel(), _SEEDS[TREES * 6 :]])  # six were drawn for each tree
 _A = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _B = (_SEEDS >> np.uint64(32)).astype(np.uint32)
 DEEPER = 16 * (DEPTH - SHALLOW)  # bits of a head that a shallow prefix leaves out
 
 
-def signatures(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash of each run of shingles (``begin`` is where each starts; none is empty): forest values and a word of bits."""
+def signatures(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """MinHash of each run of shingles (``begin`` is where each starts; none is empty): forest values, and two words of one bit of each further value."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.empty((len(begin), TREES * DEPTH), np.uint16)
-    word = np.zeros(len(begin), np.uint64)
-    for k in range(TREES * DEPTH + BITS):
+    word, more = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+    for k in range(TREES * DEPTH + SKETCH):
         least = np.minimum.reduceat(x * _A[k] + _B[k], begin)
         # a multiplicative hash has its entropy in the high bits; the least values differ in the middle ones
         least = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
         if k < TREES * DEPTH:
             low[:, k] = least
         else:
-            word |= (least & np.uint32(1)).astype(np.uint64) << np.uint64(k - TREES * DEPTH)
-    return low, word
+            at = np.uint64(k - TREES * DEPTH)
+            word |= (least & np.uint32(1)).astype(np.uint64) << at
+            more |= ((least >> np.uint32(1)) & np.uint32(1)).astype(np.uint64) << at
+    return low, word, more
 
 
 def _shingled(texts: list[str], width: int, least: int, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +103,7 @@ def _shingled(texts: list[str], width: int, least: int, words: bool) -> tuple[np
     return every[index], begin, use
 
 
-SIGNED = "id long, h long, f1 long, f2 long, sig binary, bits long"
+SIGNED = "id long, h long, f1 long, f2 long, sig binary, bits long, more long"
 
 
 def _sign(width: int, least: int, words: bool):
@@ -121,11 +124,11 @@ def _sign(width: int, least: int, words: bool):
                 f1, f2, known = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
                 h, begin, use = _shingled(texts, width, least, words)
                 sig: list[bytes | None] = [None] * n
-                bits = np.zeros(n, np.int64)
+                bits, rest = np.zeros(n, np.int64), np.zeros(n, np.int64)
                 if len(use):
-                    low, word = signatures(h, begin[:-1])
+                    low, word, more = signatures(h, begin[:-1])
                     f1[use], f2[use] = fingerprint(h, begin)
-                    known[use], bits[use] = True, word.view(np.int64)
+                    known[use], bits[use], rest[use] = True, word.view(np.int64), more.view(np.int64)
                     for i, r in zip(use.tolist(), low):
                         sig[i] = r.tobytes()
                 points, at = kept([t if s is None else "" for t, s in zip(texts, sig)])
@@ -135,7 +138,7 @@ def _sign(width: int, least: int, words: bool):
                     known[few] = True
                 full = np.array([x is not None for x in sig], bool)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(f1, mask=~known), pa.array(f2, mask=~known), pa.array(sig, pa.binary()), pa.array(bits, mask=~full)],
+                    [b.column(0), b.column(1), pa.array(f1, mask=~known), pa.array(f2, mask=~known), pa.array(sig, pa.binary()), pa.array(bits, mask=~full), pa.array(rest, mask=~full)],
                     [c.split()[0] for c in SIGNED.split(", ")],
                 )
 
@@ -143,23 +146,23 @@ def _sign(width: int, least: int, words: bool):
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each tree: its values packed with the tree, and the bits."""
+    """One row for each tree: its values packed with the tree, and the sketch."""
     for b in batches:
         if not b.num_rows:
             continue
         low = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, TREES, DEPTH).astype(np.int64)
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        bits = b.column(2).to_numpy(zero_copy_only=False)
+        bits, more = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
         tree = np.arange(TREES, dtype=np.int64)[None, :]
         head = (tree << 48) | (low[:, :, 0] << 32) | (low[:, :, 1] << 16) | low[:, :, 2]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(head.ravel()), pa.array(np.repeat(ids, TREES)), pa.array(np.repeat(bits, TREES))],
-            ["head", "id", "bits"],
+            [pa.array(head.ravel())] + [pa.array(np.repeat(x, TREES)) for x in (ids, bits, more)],
+            ["head", "id", "bits", "more"],
         )
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64)) <= FAR_BITS
+def _near(x: np.ndarray, y: np.ndarray, more_x: np.ndarray, more_y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(((x ^ y) | (more_x ^ more_y)).view(np.uint64)) <= FAR
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +172,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def pairs(rows: list[np.ndarray], crowded: int | None, large: int | None) -> pa.RecordBatch:
-        head, ids, bits = rows
+        head, ids, bits, more = rows
         prefix = head >> DEEPER
         region = np.cumsum(np.diff(prefix, prepend=prefix[:1]) != 0)
         deep = (np.bincount(region)[region] > REGION) | (prefix == crowded if crowded is not None else False)
@@ -184,7 +187,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where = where[region[where] == region[where + step]]
             if not len(where):
                 break
-            near = _near(bits[where], bits[where + step])
+            near = _near(bits[where], bits[where + step], more[where], more[where + step])
             left.append(ids[where[near]])
             right.append(ids[where[near] + step])
         a = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -194,9 +197,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(np.concatenate([np.minimum(a, b), ids[dense]])),
                 pa.array(np.concatenate([np.maximum(a, b), bits[dense]])),
-                pa.array(np.concatenate([np.zeros(len(a), np.int64), head[dense]]), mask=np.arange(len(a) + m) < len(a)),
+                *(pa.array(np.concatenate([np.zeros(len(a), np.int64), x[dense]]), mask=np.arange(len(a) + m) < len(a)) for x in (more, head)),
             ],
-            ["a", "b", "dense"],
+            ["a", "b", "more", "dense"],
         )
 
     held: list[np.ndarray] | None = None
@@ -253,15 +256,15 @@ def _links(df: DataFrame, key: str, text: str, threshold: float, width: int, lea
     """(members: id, rep, of which shingled ones have ``full``; links between representatives: a < b, similarity)."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("id is not null")
     signed = rows.mapInArrow(_sign(width, least, words), SIGNED)
-    first = F.min_by(F.struct("f1", "f2", "sig", "bits"), F.struct(F.col("f1").isNull(), "h")).alias("r")  # of the deliveries of an id
+    first = F.min_by(F.struct("f1", "f2", "sig", "bits", "more"), F.struct(F.col("f1").isNull(), "h")).alias("r")  # of the deliveries of an id
     signed = stored(signed.groupBy("id").agg(first, F.min(F.when(F.col("f1").isNotNull(), F.col("h"))).alias("h")).select("id", "h", "r.*"), "neardup-signatures")
-    reps = signed.where("sig is not null").groupBy("f1", "f2").agg(F.min_by(F.struct("id", "sig", "bits"), "id").alias("r")).select("r.*")
-    forest = reps.mapInArrow(_plant, "head long, id long, bits long")
+    reps = signed.where("sig is not null").groupBy("f1", "f2").agg(F.min_by(F.struct("id", "sig", "bits", "more"), "id").alias("r")).select("r.*")
+    forest = reps.mapInArrow(_plant, "head long, id long, bits long, more long")
     spread, piled = _spread(forest)
-    order = spread.repartition("part").sortWithinPartitions("head", "id").select("head", "id", "bits")
-    walked = stored(order.mapInArrow(_walk, "a long, b long, dense long"), "neardup-candidates")
+    order = spread.repartition("part").sortWithinPartitions("head", "id").select("head", "id", "bits", "more")
+    walked = stored(order.mapInArrow(_walk, "a long, b long, more long, dense long"), "neardup-candidates")
     pairs = walked.where("dense is null").select("a", "b")
-    dense = walked.where("dense is not null").select("dense", F.col("a").alias("id"), F.col("b").alias("bits"))
+    dense = walked.where("dense is not null").select("dense", F.col("a").alias("id"), F.col("b").alias("bits"), "more")
     candidates = pairs.union(_tiled(dense if piled is None else dense.union(piled))).distinct()
     candidates = stored(candidates, "neardup-pairs")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(signed.select("id", "h"), "id")
@@ -296,8 +299,8 @@ def _spread(forest: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     deep = stored(some.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("prefix", F.lit(True).alias("deep")), "neardup-deep")
     hot = stored(some.where(F.col("n") > HOT).select("head", F.lit(True).alias("hot")), "neardup-hot")
     rows = marked.join(_few(deep), "prefix", "left").join(_few(hot), "head", "left")
-    usual_ = rows.where("hot is null").select("head", "id", "bits", F.when(F.col("deep"), F.col("head")).otherwise(F.col("prefix")).alias("part"))
-    return usual_, rows.where("hot").select(F.col("head").alias("dense"), "id", "bits")
+    usual_ = rows.where("hot is null").select("head", "id", "bits", "more", F.when(F.col("deep"), F.col("head")).otherwise(F.col("prefix")).alias("part"))
+    return usual_, rows.where("hot").select(F.col("head").alias("dense"), "id", "bits", "more")
 
 
 def _tiled(dense: DataFrame) -> DataFrame:
@@ -309,13 +312,13 @@ def _tiled(dense: DataFrame) -> DataFrame:
     sizes = dense.groupBy("dense").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("long").alias("blocks"))
     rows = dense.join(sizes, "dense").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("dense", "id", "bits", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+    tiles = tiles.select("dense", "id", "bits", "more", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         block, lo, hi = frame.block.to_numpy(), frame.lo.iloc[0], frame.hi.iloc[0]
-        ids, bits = frame.id.to_numpy(), frame.bits.to_numpy()
+        ids, bits, more = (frame[c].to_numpy() for c in ("id", "bits", "more"))
         x, y = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        near = _near(bits[x][:, None], bits[y][None, :])
+        near = _near(bits[x][:, None], bits[y][None, :], more[x][:, None], more[y][None, :])
         if lo == hi:
             near &= ids[x][:, None] < ids[y][None, :]
         i, j = np.nonzero(near)

@@ -126,9 +126,9 @@ def test_group_of_reworked_copies_is_whole(spark):
     want = brute(rows, 5, False, 0.6, 200)
     assert len(want) > 10_000
     h, begin, use = neardup._shingled([t for _, t in rows], 5, 200, False)
-    low, word = neardup.signatures(h, begin[:-1])
+    low, word, more = neardup.signatures(h, begin[:-1])
     low = low.reshape(len(rows), neardup.TREES, -1)
-    reach = {(a, b) for a, b in want if (low[a] == low[b]).all(1).any() and int(word[a] ^ word[b]).bit_count() <= neardup.FAR_BITS}
+    reach = {(a, b) for a, b in want if (low[a] == low[b]).all(1).any() and int((word[a] ^ word[b]) | (more[a] ^ more[b])).bit_count() <= neardup.FAR}
     df = spark.createDataFrame(rows, "k long, t string")
     got = {(x.id_a, x.id_b) for x in neardup.near_pairs(df, "x", "k", "t", 0.6, 5, 200, False).collect()}
     assert reach <= got <= want
@@ -172,9 +172,9 @@ def test_recall_in_a_crowd_of_thousands():
     texts, i, j, similar = crowd(5000, 400)
     some = np.random.default_rng(1).choice(np.flatnonzero(similar >= 0.6), 100_000, False)
     h, begin, _ = neardup._shingled(texts, 5, 200, False)
-    low, word = neardup.signatures(h, begin[:-1])
+    low, word, more = neardup.signatures(h, begin[:-1])
     low = low.reshape(len(texts), neardup.TREES, neardup.DEPTH)
-    share = (low[i[some]] == low[j[some]]).all(2).any(1) & (np.bitwise_count(word[i[some]] ^ word[j[some]]) <= neardup.FAR_BITS)
+    share = (low[i[some]] == low[j[some]]).all(2).any(1) & (np.bitwise_count((word[i[some]] ^ word[j[some]]) | (more[i[some]] ^ more[j[some]])) <= neardup.FAR)
     assert share.mean() >= 0.99
 
 
@@ -195,7 +195,7 @@ def test_walk_across_batches():
                 pairs |= {(min(a, b), max(a, b)) for n, a in enumerate(mine) for b in mine[n + 1 :]}
     for step in (1, 2, 5, 24, 25, 26, 40, 97, 1000):
         cut = [slice(o, o + step) for o in range(0, len(head), step)]
-        batches = [pa.RecordBatch.from_arrays([pa.array(head[c]), pa.array(ids[c]), pa.array(np.zeros(len(ids[c]), np.int64))], ["head", "id", "bits"]) for c in cut]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[c]) for x in (head, ids, 0 * ids, 0 * ids)], ["head", "id", "bits", "more"]) for c in cut]
         out = pa.Table.from_batches(list(neardup._walk(iter(batches)))).to_pylist()
         assert sorted((x["a"], x["b"]) for x in out if x["dense"] is None) == sorted(pairs)
         assert sorted((x["dense"], x["a"]) for x in out if x["dense"] is not None) == sorted(dense)
