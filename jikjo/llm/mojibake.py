@@ -3,12 +3,20 @@
 A multinomial classifier over hashed byte bigrams tells the chain of every unit of
 a text (a word, or 24 characters of a long one).  It is trained on records of the
 data itself that are garbled synthetically by every chain, so each label is exact.
-A run of units of one chain is undone by the chain's inverse; only what decodes
-strictly, and then reads better to the classifier than before, is restored.
+A class is a chain and the script that it garbled, or clean text of a script: French
+read as Windows-1252 has little in common with Korean read so.  The best path over a
+text's units gives runs of one chain.
+
+A run is undone by the inverse of the chain predicted for it.  Only where that isn't
+strictly decodable, or doesn't read better to the classifier than before, the other
+chains follow in the order of their likelihood; ``fallbacks`` counts the parts of a
+record for which that was needed.  Rounds go on until nothing changes, as one chain may
+stand on top of another.  A chain that can't be undone has no such proof: replaced
+marks count as evidence once for each different unit.
 
 The training sample is ``TRAIN`` rows, chosen by a hash of the key: a documented
-bound.  Every row is classified, in whole length.  A text whose characters no chain
-can produce (ASCII and Hangul syllables, say) is clean without a look at its bigrams.
+bound.  Every row is scored, in whole length: a text in which no unit is likelier under
+any chain than clean by ``HINT`` is clean.
 
 Null and blank texts are clean; rows with a null key are passed over; repeated rows
 give one result; other columns are ignored.
@@ -19,17 +27,26 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jikjo.functions.codepoints import slices
+
 TRAIN, TRAIN_CHARS = 1_500, 300
 BUCKETS = 1 << 14
 UNIT = 24
 #: Log odds that a change of chain between neighbouring units must make up for, and that a run must bring in all.
 SWITCH, MARGIN = 9.0, 20.0
+#: The same for UTF-8 read otherwise: that it decodes strictly is nearly a proof.
+MARGIN_UTF8 = 9.0
+#: Log odds of a unit for its text to be looked at further.
+HINT = 5.0
+#: Without such a proof each different unit counts once, at most so much for each different character of it; a unit of question marks so much.
+CAP_CHAR, CAP_MARKS = 4.0, 8.0
 
 
 # --- encodings -------------------------------------------------------------------
@@ -87,13 +104,13 @@ class Chain:
         self.name, self.steps = name, steps
 
     def garble(self, x: str) -> str | None:
-        """The garbled text, or None if the first encoding lacks more than a few of its characters."""
+        """The garbled text, or None if the first encoding lacks more than a few of its letters beyond ASCII."""
         for right, wrong in self.steps:
             if right == "ascii":
                 x = x.encode("ascii", "replace").decode() if wrong == "?" else "".join(c if c < "\x80" else "�" * len(c.encode()) for c in x)
                 continue
             b = x.encode(right, "ignore")
-            if len(b) < 0.97 * len(x.encode(right, "replace")):
+            if len(x.encode(right, "replace")) - len(b) > 0.03 * sum(c > "\x7f" for c in x):
                 return None
             x = _to_text(b, wrong, "replace")
         return x
@@ -138,7 +155,17 @@ CHAINS: list[Chain] = [
 
 _BY_NAME = {c.name: c for c in CHAINS}
 
-#: Characters that some chain can leave behind: not ASCII, Hangul syllables, kana, Thai, Devanagari or common punctuation.
+
+def _families() -> tuple[np.ndarray, list[list[int]]]:
+    """Chains that differ only in Latin-1 for Windows-1252, which most garbled words don't tell apart: the family of each chain, and the chains of each."""
+    keys = [tuple((a, "cp1252" if b == "latin-1" else b) for a, b in c.steps) for c in CHAINS]
+    names = list(dict.fromkeys(keys))
+    return np.array([names.index(k) for k in keys]), [[i for i, k in enumerate(keys) if k == n] for n in names]
+
+
+FAMILY, MEMBERS = _families()
+
+#: For the choice of clean training samples only: characters that hint at a chain.
 _TRACE = re.compile(
     "[^\x00-\x7f –-…　-〿぀-ヿ가-힣！-～฀-๿ऀ-ॿ]|\\?\\?|â€"
 )
@@ -147,13 +174,12 @@ _TRACE = re.compile(
 # --- the classifier --------------------------------------------------------------
 
 
+_UNIT = re.compile(r"[^ \t\r\n　]{1,%d}" % UNIT)
+
+
 def units(x: str) -> list[tuple[int, int]]:
     """(start, end) of each word, a long one in parts of UNIT characters; white space belongs to no unit."""
-    out = []
-    for m in re.finditer(r"[^ \t\r\n　]+", x):
-        a, b = m.span()
-        out += [(s, min(s + UNIT, b)) for s in range(a, b, UNIT)]
-    return out
+    return [m.span() for m in _UNIT.finditer(x)]
 
 
 def bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,19 +194,59 @@ def bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return pair[keep], begin - np.arange(len(begin))
 
 
-def train(samples: list[str]) -> np.ndarray:
-    """Log probability of each bucket by class: column 0 is clean text, column k the k-th chain."""
-    weights = np.full((BUCKETS, len(CHAINS) + 1), 0.02)
-    clean = [s for s in samples if s and not _suspicious(s)]
+@dataclass
+class Model:
+    """Log probability of each bucket by class, classes in the order of their chain; where each chain's begin (0: clean text)."""
+
+    weights: np.ndarray
+    first: np.ndarray
+
+    def scores(self, parts: list[str]) -> np.ndarray:
+        """Log likelihood of each part as clean text (column 0) and under each chain, by the best of their classes."""
+        out = np.empty((len(parts), len(self.first)), np.float32)
+        for o in range(0, len(parts), 2_000):
+            k, begin = bigrams(parts[o : o + 2_000])
+            out[o : o + 2_000] = np.maximum.reduceat(np.add.reduceat(self.weights[k], begin, axis=0), self.first, axis=1)
+        return out
+
+
+#: Scripts by the letters that are most frequent beside ASCII; a text without such letters counts as latin.
+_SCRIPTS = {"hangul": "[가-힣]", "kana": "[぀-ヿ]", "han": "[㐀-鿿]", "latin": "[À-ɏ]", "other": "[Ͱ-῿]"}
+
+
+def _script(x: str) -> str:
+    n = {name: len(re.findall(p, x)) for name, p in _SCRIPTS.items()}
+    if n["kana"] * 5 > n["han"] > 0:
+        return "kana"
+    best = max(n, key=n.__getitem__)
+    return best if n[best] else "latin"
+
+
+def train(samples: list[str]) -> Model:
+    """Bucket counts of each class: of its own script's samples, and lightly of all scripts."""
+    by: dict[str, list[str]] = {}
+    for s in samples:
+        if s and not _suspicious(s):
+            by.setdefault(_script(s), []).append(s)
+    by = by or {"latin": []}
+    columns, first = [], []
     for c in range(len(CHAINS) + 1):
-        made = clean if c == 0 else [g for s in clean if re.search("[^\x00-\x7f]", s) and (g := CHAINS[c - 1].garble(s)) and g != s]
-        if made:
+        counts = []
+        for script, clean in sorted(by.items()):
+            made = clean if c == 0 else [g for s in clean if not s.isascii() and (g := CHAINS[c - 1].garble(s)) and g != s]
             pieces = [m[a:b] for m in made for a, b in units(m)]
-            if c:  # ASCII words are no sign of a chain; they are what clean text has too
-                pieces = [p for p in pieces if re.search("[^\x00-\x7f]|\\?", p)]
+            if c and CHAINS[c - 1].steps[0][1] == "?":
+                pieces = [p for p in pieces if "?" in p]
+            elif c and script != "latin":  # ASCII words are no sign of a chain, but where garbled words stand among them
+                pieces = [p for p in pieces if not p.isascii()]
             if pieces:
-                weights[:, c] += np.bincount(bigrams(pieces)[0], minlength=BUCKETS)
-    return np.log(weights / weights.sum(0)).astype(np.float32)
+                counts.append(np.bincount(bigrams(pieces)[0], minlength=BUCKETS).astype(float))
+        whole = sum(counts, np.zeros(BUCKETS))
+        first.append(len(columns))
+        for n in counts or [whole]:
+            n = n + 0.02 + 300 * whole / max(1.0, whole.sum())
+            columns.append(np.log(n / n.sum()))
+    return Model(np.ascontiguousarray(np.array(columns, np.float32).T), np.array(first))
 
 
 def _suspicious(x: str) -> bool:
@@ -200,19 +266,37 @@ def _suspicious(x: str) -> bool:
     return len(re.findall("[¡-ÿ]", x)) > 0.3 * len(x)
 
 
-def scores(weights: np.ndarray, parts: list[str]) -> np.ndarray:
-    """Log likelihood of each part under each class."""
-    k, begin = bigrams(parts)
-    return np.add.reduceat(weights[k], begin, axis=0)
+def suspects(model: Model, texts: list[str]) -> list[int]:
+    """The texts of a batch that hold a unit which some chain explains better than clean text; each different unit is scored once."""
+    every = [_UNIT.findall(x) for x in texts]
+    words = list(dict.fromkeys(w for u in every for w in u))
+    if not words:
+        return []
+    ll = model.scores(words)
+    hot = {words[i] for i in np.flatnonzero((ll[:, 1:] - ll[:, :1]).max(1) >= HINT)}
+    return [i for i, u in enumerate(every) if not hot.isdisjoint(u)]
+
+
+@dataclass
+class Run:
+    """A garbled run of a text, its chain, and all chains by their likelihood there."""
 
+    start: int
+    end: int
+    chain: Chain
+    ranked: list[Chain]
 
-def runs(weights: np.ndarray, x: str) -> list[tuple[int, int, int, float]]:
-    """(start, end, chain, log odds) of the garbled runs of a text: the best path over its units."""
+
+def runs(model: Model, x: str) -> list[Run]:
+    """The garbled runs of a text: the best path of families over its units, and for each family of the text its likeliest chain."""
     at = units(x)
-    ll = scores(weights, [x[a:b] for a, b in at])
-    odds = ll - ll[:, :1]
-    if odds.max(initial=0.0) < MARGIN / 4:
+    if not at:
+        return []
+    ll = model.scores([x[a:b] for a, b in at])
+    each = ll[:, 1:] - ll[:, :1]
+    if each.max(initial=0.0) < HINT:
         return []
+    odds = np.stack([np.zeros(len(at), np.float32)] + [each[:, m].max(1) for m in MEMBERS], 1)
     n, m = odds.shape
     best, back = odds[0].copy(), np.zeros((n, m), np.int8)
     best[1:] -= SWITCH
@@ -221,23 +305,43 @@ def runs(weights: np.ndarray, x: str) -> list[tuple[int, int, int, float]]:
         stay = best >= best[top] - SWITCH
         back[i] = np.where(stay, np.arange(m), top)
         best = np.where(stay, best, best[top] - SWITCH) + odds[i]
-    path, c = [0] * n, int(best.argmax())
+    path, c = np.zeros(n, int), int(best.argmax())
     for i in range(n - 1, -1, -1):
         path[i] = c
         c = int(back[i, c])
+    exact = {int(f): _member(x, at, path == f, MEMBERS[f - 1], each) for f in np.unique(path) if f}
     out, i = [], 0
     while i < n:
         j = i
         while j < n and path[j] == path[i]:
             j += 1
-        if path[i] and (gain := float(odds[i:j, path[i]].sum())) >= MARGIN:
-            out.append((at[i][0], at[j - 1][1], path[i] - 1, gain))
+        if path[i]:
+            chain = CHAINS[exact[int(path[i])]]
+            mine = odds[i:j, path[i]]
+            if chain.steps[0][0] == "utf-8":
+                enough = mine.sum() >= MARGIN_UTF8
+            else:
+                once = {x[a:b]: float(o) for (a, b), o in zip(at[i:j], mine)}
+                marks = chain.steps[0][1] == "?"
+                most = {u: np.inf if "�" in u else CAP_MARKS if marks else CAP_CHAR * len(set(u)) for u in once}
+                enough = sum(min(o, most[u]) for u, o in once.items()) >= MARGIN
+            if enough:
+                order = np.argsort(-each[i:j].sum(0), kind="stable")
+                out.append(Run(at[i][0], at[j - 1][1], chain, [CHAINS[k] for k in order]))
         i = j
     return out
 
 
+def _member(x: str, at: list[tuple[int, int]], mine: np.ndarray, members: list[int], each: np.ndarray) -> int:
+    """The chain of a family by which the units came about: the likeliest of those that can have produced most of their characters."""
+    if len(members) == 1:
+        return members[0]
+    text = "".join(x[a:b] for (a, b), m in zip(at, mine) if m)
+    return min(members, key=lambda k: (sum(not _has(c, CHAINS[k].steps[-1][1]) for c in text), -float(each[mine, k].sum())))
+
+
 def _grown(x: str, a: int, b: int, chain: Chain) -> tuple[int, int]:
-    """The run with the neighbouring characters that the chain's last encoding may have produced as well."""
+    """The run with the neighbouring characters, also across a space, that the chain's last encoding may have produced as well."""
     wrong = chain.steps[-1][1]
     if wrong in ("?", "�"):
         return a, b
@@ -245,113 +349,110 @@ def _grown(x: str, a: int, b: int, chain: Chain) -> tuple[int, int]:
     def mine(c: str) -> bool:
         return c > "\x7f" and not "가" <= c <= "힣" and _has(c, wrong)
 
-    while a > 0 and mine(x[a - 1]):
+    while a > 0 and (mine(x[a - 1]) or (x[a - 1] == " " and a > 1 and mine(x[a - 2]))):
         a -= 1
-    while b < len(x) and mine(x[b]):
+    while b < len(x) and (mine(x[b]) or (x[b] == " " and b + 1 < len(x) and mine(x[b + 1]))):
         b += 1
     return a, b
 
 
-def _like(chain: Chain, main: Chain | None = None) -> list[Chain]:
-    """The chains to try for a run: of those that end in the same bytes, the UTF-8 ones first, as only they can't decode by chance; then the text's main one."""
-    single = {"latin-1": "cp1252"}
-    last = single.get(chain.steps[-1][1], chain.steps[-1][1])
-    same = [c for c in CHAINS if single.get(c.steps[-1][1], c.steps[-1][1]) == last]
-    return sorted(same, key=lambda c: (c.steps[0][0] != "utf-8", -len(c.steps), c is not main, c is not chain))
-
-
-_FOREIGN = re.compile(r"[\x80-\xff\u0152-\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{2,}")
-_WORD = re.compile(r"\?+")
-
-
-def _lost_words(s: str) -> bool:
-    """Question marks that stand for words of differing length, as replaced text has and emphasis or a drawn line hasn't."""
-    w = [len(m) for m in _WORD.findall(s)]
-    return len(w) >= 3 and len(set(w)) >= 2 and sum(w) >= 0.5 * len(re.sub(r"\s", "", s))
-
-
-def repair(weights: np.ndarray, x: str) -> tuple[str, list[str], str] | None:
-    """(case, chains, restored text) of a garbled text, None for a clean one.
+@dataclass
+class Repair:
+    """What was found in a garbled text.  ``restorable``: every run decoded strictly.
 
-    ``restorable``: every run decoded strictly.  ``lossy``: some run's characters are
-    gone; runs that do decode are restored all the same, the others stay as they are.
+    ``lossy``: some run's characters are gone; runs that do decode are restored all
+    the same, the others stay as they are.
     """
-    if not x or not _TRACE.search(x):
-        return None
-    text, names, lossy, done = x, [], False, False
-    for _ in range(3):  # a chain may have been applied on top of another
-        found = runs(weights, text)
-        if not found:
-            break
-        out, last, changed = [], 0, False
-        most = max(found, key=lambda r: r[3])[2]
-        for a, b, c, _gain in found:
-            chain = CHAINS[c]
-            a, b = _grown(text, a, b, chain)
-            a = max(a, last)
-            s = text[a:b]
-            y, used, lost = _undone(weights, chain, s, CHAINS[most])
-            if not used and not lost:
+
+    case: str
+    chains: list[str]
+    text: str
+    parts: int
+    fallbacks: int
+
+
+def repair(model: Model, x: str) -> Repair | None:
+    """None for a clean text."""
+    text, names, lossy, done, parts, fallbacks = x, [], False, False, 0, 0
+    seen = {x}
+    while True:  # a chain may have been applied on top of another
+        out, last = [], 0
+        for r in runs(model, text):
+            wide = _grown(text, r.start, r.end, r.chain)
+            for a, b in dict.fromkeys([(max(last, wide[0]), wide[1]), (max(last, r.start), r.end)]):
+                s = text[a:b]
+                if gone := _gone(r.chain, s):
+                    break
+                y, used, strange = _undone(model, r, s)
+                if used and not strange:
+                    break
+            if gone:
+                names.append(r.chain.name)
+                lossy, y = True, s
+            elif not used:
                 continue
-            names += used or [chain.name]
-            lossy |= lost
-            changed |= bool(used)
+            else:
+                names += used
+                parts += len(used)
+                fallbacks += strange
             out += [text[last:a], y]
             last = b
-        done |= bool(out)
+            done = True
         text = "".join(out) + text[last:]
-        if not changed:
+        if text in seen:
             break
-    if not done:
+        seen.add(text)
+    if not done or (text == x and not lossy):
         return None
-    if left := [c for c in CHAINS if c.name in names and c.steps[0][0] == "utf-8" and c.steps[-1][1] in ("cp1252", "latin-1")]:
-        # single garbled letters in a text that is known to hold more of them: strict UTF-8 is proof enough
-        text = _FOREIGN.sub(lambda m: next((y for c in left if (y := c.undo(m[0])) is not None), m[0]), text)
-    return ("lossy" if lossy or "�" in x else "restorable"), list(dict.fromkeys(names)), text
+    return Repair("lossy" if lossy or "�" in x else "restorable", list(dict.fromkeys(names)), text, parts, fallbacks)
 
 
-def _reads(weights: np.ndarray, before: str, after: str) -> bool:
-    """The restored text is likelier to be clean than the garbled one was, character for character."""
-    a, b = scores(weights, [before, after])[:, 0]
+def _reads(model: Model, before: str, after: str) -> bool:
+    """The restored text is likelier to be clean than the garbled one was."""
+    a, b = model.scores([before, after])[:, 0]
     return bool(b > a) and not re.search("[\x80-\x9f\ue000-\uf8ff�]", after)
 
 
 def _gone(chain: Chain, s: str) -> bool:
     """Characters of this run are replaced by marks and can't come back."""
-    if chain.steps[0][1] == "?":
-        return _lost_words(s)
-    return "�" in s or "占쏙옙" in s
+    return chain.steps[0][1] == "?" or "�" in s or "占쏙옙" in s
 
 
 _EDGES = _MARKS + "".join(map(chr, range(128)))
 
 
-def _undone(weights: np.ndarray, chain: Chain, s: str, main: Chain | None = None) -> tuple[str, list[str], bool]:
-    """(text, chains undone, whether characters are lost) of one run.
+def _undone(model: Model, r: Run, s: str) -> tuple[str, list[str], int]:
+    """(text, chains undone, for how many parts it wasn't the predicted one) of one run.
 
-    A passage may begin or end inside a word: the run is cut where a character
-    isn't one that the last encoding could have produced, and each part is undone
-    by the first chain that decodes it strictly and makes it read better.
+    A passage may begin or end inside a word: the run is cut where a character isn't
+    one that the last encoding could have produced, and each part is undone by itself.
     """
-    if _gone(chain, s):
-        return s, [], True
-    out, used = [], []
-    for part in _parts(s, chain.steps[-1][1]):
-        done = part
-        if not part.isascii():
-            a, b = len(part) - len(part.lstrip(_EDGES)), len(part.rstrip(_EDGES))
-            for lo, hi in dict.fromkeys([(0, len(part)), (a, b)]):  # clean marks at its edges may be none of the run's bytes
-                inner = part[lo:hi]
-                for other in _like(chain, main):
-                    y = other.undo(inner)
-                    if y is not None and y != inner and _reads(weights, inner, y):
-                        done = part[:lo] + y + part[hi:]
-                        used.append(other.name)
-                        break
-                if done != part:
+    out, used, strange = [], [], 0
+    for part in _parts(s, r.chain.steps[-1][1]):
+        got = None if part.isascii() else _inverse(model, r.chain, part)
+        if got is None and not part.isascii():
+            for other in r.ranked:
+                if other is not r.chain and (got := _inverse(model, other, part)) is not None:
+                    used.append(other.name)
+                    strange += 1
                     break
-        out.append(done)
-    return "".join(out), used, False
+        elif got is not None:
+            used.append(r.chain.name)
+        out.append(part if got is None else got)
+    return "".join(out), used, strange
+
+
+def _inverse(model: Model, chain: Chain, part: str) -> str | None:
+    """``part`` before the chain, if it decodes strictly and reads better so; clean marks at its edges may be none of its bytes."""
+    a, b = len(part) - len(part.lstrip(_EDGES)), len(part.rstrip(_EDGES))
+    if a >= b:
+        return None  # marks alone
+    for lo, hi in dict.fromkeys([(0, len(part)), (a, b)]):
+        inner = part[lo:hi]
+        y = chain.undo(inner) if inner else None
+        if y is not None and y != inner and _reads(model, inner, y):
+            return part[:lo] + y + part[hi:]
+    return None
 
 
 def _parts(s: str, wrong: str) -> list[str]:
@@ -377,7 +478,7 @@ def _has(c: str, enc: str) -> bool:
         return False
 
 
-def classifier(df: DataFrame, key: str, text: str, rows: int = TRAIN) -> np.ndarray:
+def classifier(df: DataFrame, key: str, text: str, rows: int = TRAIN) -> Model:
     """Trained on at most ``rows`` records, chosen by a hash of their key."""
     there = df.select(F.col(key).alias("k"), F.substring(text, 1, TRAIN_CHARS).alias("t")).where("k is not null and length(trim(t)) > 0")
     # a threshold on the hash first: a top-n alone would send n rows of every partition to the driver
@@ -388,29 +489,28 @@ def classifier(df: DataFrame, key: str, text: str, rows: int = TRAIN) -> np.ndar
 
 
 def garbled(df: DataFrame, key: str, text: str, rows: int = TRAIN) -> DataFrame:
-    """key, case_kind, chains and restored text of every garbled record."""
-    weights = df.sparkSession.sparkContext.broadcast(classifier(df, key, text, rows))
+    """key, case_kind, chains and restored text of every garbled record; how many parts were undone, and how many by another chain than predicted."""
+    model = df.sparkSession.sparkContext.broadcast(classifier(df, key, text, rows))
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
-        for b in batches:
-            at, got = [], []
-            for i, x in enumerate(b.column(1).to_pylist()):
-                if r := repair(w, x):
-                    at.append(i)
-                    got.append(r)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(at, pa.int64())),
-                    pa.array([g[0] for g in got], pa.string()),
-                    pa.array([g[1] for g in got], pa.list_(pa.string())),
-                    pa.array([g[2].encode("utf-8", "replace").decode() for g in got], pa.string()),
-                ],
-                [key, "case_kind", "chains", "restored"],
-            )
+        m = model.value
+        for whole in batches:
+            for b in slices(whole, 1):
+                texts = b.column(1).to_pylist()
+                got = [(i, r) for i in suspects(m, texts) if (r := repair(m, texts[i]))]
+                found = [r for _, r in got]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(pa.array([i for i, _ in got], pa.int64())),
+                        pa.array([r.case for r in found], pa.string()),
+                        pa.array([r.chains for r in found], pa.list_(pa.string())),
+                        pa.array([r.text.encode("utf-8", "replace").decode() for r in found], pa.string()),
+                        pa.array([r.parts for r in found], pa.int32()),
+                        pa.array([r.fallbacks for r in found], pa.int32()),
+                    ],
+                    [key, "case_kind", "chains", "restored", "parts", "fallbacks"],
+                )
 
     rows_ = df.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return rows_.mapInArrow(run, f"{key} {kind}, case_kind string, chains array<string>, restored string").dropDuplicates([key])
-
-
+    return rows_.mapInArrow(run, f"{key} {kind}, case_kind string, chains array<string>, restored string, parts int, fallbacks int").dropDuplicates([key])

@@ -35,26 +35,26 @@ CHAINS = {c.name: c for c in M.CHAINS}
 def test_round_trip(weights, name, make):
     for _ in range(10):
         x = make()
-        case, _, back = M.repair(weights, CHAINS[name].garble(x))
-        assert (case, back) == ("restorable", x)
+        got = M.repair(weights, CHAINS[name].garble(x))
+        assert (got.case, got.text) == ("restorable", x)
         # only a passage of it
         p = len(x) // 2
         y = korean() + "\n" + CHAINS[name].garble(x[p:])
-        case, _, back = M.repair(weights, y)
-        assert case == "restorable" and back.endswith(x[p:])
+        got = M.repair(weights, y)
+        assert got.case == "restorable" and got.text.endswith(x[p:])
 
 
 def test_clean_marks_beside_a_run(weights):
     x = korean()
     for name in ("utf8>cp1252", "cp949>cp1252"):
-        case, _, back = M.repair(weights, "“그는 갔다.”" + CHAINS[name].garble(x))
-        assert (case, back) == ("restorable", "“그는 갔다.”" + x)
+        got = M.repair(weights, "“그는 갔다.”" + CHAINS[name].garble(x))
+        assert (got.case, got.text) == ("restorable", "“그는 갔다.”" + x)
 
 
 @pytest.mark.parametrize("name,make", [("utf8>cp949", korean), ("cp949>utf8", korean), ("any>?", korean), ("utf8>ascii", chinese)])
 def test_lossy(weights, name, make):
     for _ in range(10):
-        assert M.repair(weights, CHAINS[name].garble(make()))[0] == "lossy"
+        assert M.repair(weights, CHAINS[name].garble(make())).case == "lossy"
 
 
 def test_clean_text_stays(weights):
@@ -62,6 +62,31 @@ def test_clean_text_stays(weights):
         assert M.repair(weights, x) is None
 
 
+def test_the_predicted_chain_is_undone(weights):
+    """Over all chains that can be undone: the chain is the one that garbled the text (or its twin in Latin-1), and other chains are hardly needed."""
+    parts = strange = right = n = 0
+    for name, make in [(c, f) for c in CHAINS for f in (korean, french, chinese)]:
+        for _ in range(4):
+            x = make()
+            y = CHAINS[name].garble(x)
+            if y is None or y == x or CHAINS[name].undo(y) != x:
+                continue
+            got = M.repair(weights, korean() + "\n" + y)
+            n += 1
+            if got and got.text.endswith(x):
+                right += 1
+                parts, strange = parts + got.parts, strange + got.fallbacks
+    assert n > 60 and right >= 0.95 * n and strange <= 0.05 * parts
+
+
+def test_runs_of_hangul_or_marks_are_scored(weights):
+    """A garbled run without any character that is rare in clean text."""
+    x = "他们从海南村带回船只费用达到三亿古老的灯塔变成了巨大的样子" * 2
+    y = CHAINS["gbk>cp949"].garble(x)
+    assert M.suspects(weights, [korean(), y]) == [1]
+    assert M.repair(weights, "정말 ㅠㅠ 그랬다 ㅠㅠ") is None
+
+
 def test_frames(spark):
     rows = [(i, f()) for i, f in enumerate([korean, french, chinese] * 60)]
     bad = [(1000 + i, CHAINS["utf8>cp1252"].garble(korean())) for i in range(5)]
