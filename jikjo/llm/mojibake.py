@@ -266,15 +266,26 @@ def _suspicious(x: str) -> bool:
     return len(re.findall("[¡-ÿ]", x)) > 0.3 * len(x)
 
 
-def suspects(model: Model, texts: list[str]) -> list[int]:
-    """The texts of a batch that hold a unit which some chain explains better than clean text; each different unit is scored once."""
+def suspects(model: Model, texts: list[str]) -> list[tuple[int, np.ndarray]]:
+    """The texts of a batch that hold a unit which some chain explains better than clean text, and the likelihoods of their units.
+
+    Each different unit is scored once.
+    """
     every = [_UNIT.findall(x) for x in texts]
-    words = list(dict.fromkeys(w for u in every for w in u))
-    if not words:
+    number: dict[str, int] = {}
+    for u in every:
+        for w in u:
+            number.setdefault(w, len(number))
+    if not number:
         return []
-    ll = model.scores(words)
-    hot = {words[i] for i in np.flatnonzero((ll[:, 1:] - ll[:, :1]).max(1) >= HINT)}
-    return [i for i, u in enumerate(every) if not hot.isdisjoint(u)]
+    ll = model.scores(list(number))
+    hot = (ll[:, 1:] - ll[:, :1]).max(1) >= HINT
+    out = []
+    for i, u in enumerate(every):
+        at = np.fromiter(map(number.__getitem__, u), np.int64, len(u))
+        if hot[at].any():
+            out.append((i, ll[at]))
+    return out
 
 
 @dataclass
@@ -287,30 +298,22 @@ class Run:
     ranked: list[Chain]
 
 
-def runs(model: Model, x: str) -> list[Run]:
+def runs(model: Model, x: str, ll: np.ndarray | None = None) -> list[Run]:
     """The garbled runs of a text: the best path of families over its units, and for each family of the text its likeliest chain."""
     at = units(x)
     if not at:
         return []
-    ll = model.scores([x[a:b] for a, b in at])
+    if ll is None:
+        ll = model.scores([x[a:b] for a, b in at])
     each = ll[:, 1:] - ll[:, :1]
     if each.max(initial=0.0) < HINT:
         return []
     odds = np.stack([np.zeros(len(at), np.float32)] + [each[:, m].max(1) for m in MEMBERS], 1)
-    n, m = odds.shape
-    best, back = odds[0].copy(), np.zeros((n, m), np.int8)
-    best[1:] -= SWITCH
-    for i in range(1, n):
-        top = int(best.argmax())
-        stay = best >= best[top] - SWITCH
-        back[i] = np.where(stay, np.arange(m), top)
-        best = np.where(stay, best, best[top] - SWITCH) + odds[i]
-    path, c = np.zeros(n, int), int(best.argmax())
-    for i in range(n - 1, -1, -1):
-        path[i] = c
-        c = int(back[i, c])
+    path = np.zeros(len(at), int)
+    for lo, hi in _stretches(odds):
+        path[lo:hi] = _best_path(odds[lo:hi])
     exact = {int(f): _member(x, at, path == f, MEMBERS[f - 1], each) for f in np.unique(path) if f}
-    out, i = [], 0
+    out, i, n = [], 0, len(at)
     while i < n:
         j = i
         while j < n and path[j] == path[i]:
@@ -332,6 +335,36 @@ def runs(model: Model, x: str) -> list[Run]:
     return out
 
 
+def _stretches(odds: np.ndarray) -> list[tuple[int, int]]:
+    """Where the best path may leave clean text.  It crosses no stretch that loses more than two changes of chain cost, and gains one at least."""
+    top = odds[:, 1:].max(1)
+    some = np.flatnonzero(top > 0)
+    if not len(some):
+        return []
+    total = np.cumsum(np.minimum(top, 0))
+    cut = np.flatnonzero(np.diff(total[some]) < -2 * SWITCH) + 1
+    parts = np.split(some, cut)
+    return [(int(p[0]), int(p[-1]) + 1) for p in parts if top[p].sum() > SWITCH]
+
+
+def _best_path(odds: np.ndarray) -> np.ndarray:
+    n, m = odds.shape
+    best, back = odds[0].copy(), np.zeros((n, m), np.int8)
+    best[1:] -= SWITCH
+    same = np.arange(m)
+    for i in range(1, n):
+        top = int(best.argmax())
+        least = best[top] - SWITCH
+        back[i] = np.where(best >= least, same, top)
+        best = np.maximum(best, least) + odds[i]
+    best[1:] -= SWITCH
+    path, c = np.zeros(n, int), int(best.argmax())
+    for i in range(n - 1, -1, -1):
+        path[i] = c
+        c = int(back[i, c])
+    return path
+
+
 def _member(x: str, at: list[tuple[int, int]], mine: np.ndarray, members: list[int], each: np.ndarray) -> int:
     """The chain of a family by which the units came about: the likeliest of those that can have produced most of their characters."""
     if len(members) == 1:
@@ -371,13 +404,13 @@ class Repair:
     fallbacks: int
 
 
-def repair(model: Model, x: str) -> Repair | None:
-    """None for a clean text."""
+def repair(model: Model, x: str, ll: np.ndarray | None = None) -> Repair | None:
+    """None for a clean text.  ``ll``: the likelihoods of its units, if they are known."""
     text, names, lossy, done, parts, fallbacks = x, [], False, False, 0, 0
     seen = {x}
     while True:  # a chain may have been applied on top of another
         out, last = [], 0
-        for r in runs(model, text):
+        for r in runs(model, text, ll):
             wide = _grown(text, r.start, r.end, r.chain)
             for a, b in dict.fromkeys([(max(last, wide[0]), wide[1]), (max(last, r.start), r.end)]):
                 s = text[a:b]
@@ -398,7 +431,7 @@ def repair(model: Model, x: str) -> Repair | None:
             out += [text[last:a], y]
             last = b
             done = True
-        text = "".join(out) + text[last:]
+        text, ll = "".join(out) + text[last:], None
         if text in seen:
             break
         seen.add(text)
@@ -498,7 +531,7 @@ def garbled(df: DataFrame, key: str, text: str, rows: int = TRAIN) -> DataFrame:
         for whole in batches:
             for b in slices(whole, 1):
                 texts = b.column(1).to_pylist()
-                got = [(i, r) for i in suspects(m, texts) if (r := repair(m, texts[i]))]
+                got = [(i, r) for i, ll in suspects(m, texts) if (r := repair(m, texts[i], ll))]
                 found = [r for _, r in got]
                 yield pa.RecordBatch.from_arrays(
                     [

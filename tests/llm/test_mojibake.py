@@ -83,7 +83,7 @@ def test_runs_of_hangul_or_marks_are_scored(weights):
     """A garbled run without any character that is rare in clean text."""
     x = "他们从海南村带回船只费用达到三亿古老的灯塔变成了巨大的样子" * 2
     y = CHAINS["gbk>cp949"].garble(x)
-    assert M.suspects(weights, [korean(), y]) == [1]
+    assert [i for i, _ in M.suspects(weights, [korean(), y])] == [1]
     assert M.repair(weights, "정말 ㅠㅠ 그랬다 ㅠㅠ") is None
 
 
