@@ -121,8 +121,7 @@ def _typed(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    found = quality.text_types(_typed(spark, d), with_statistics=False).where("text_type is not null and prose_share < 0.5")
-    return found.select("rec_table", "rec_id").distinct()
+    return p6_statistics(spark, d).where("text_type is not null and prose_share < 0.5").select("rec_table", "rec_id")
 
 
 def p6_statistics(spark: SparkSession, d: str) -> DataFrame:

@@ -35,7 +35,8 @@ def test_in_linear_time(name, weights):
     began = time.process_time()
     assert all(0 <= a < b <= len(x) for a, b in sentences.direct(x))
     assert splitting.plan(x)[-1][1] == len(x)
-    assert sum(c for _, c in quality.lines(x)) <= len(x)
+    rows = quality.split(x)
+    assert sum(quality.look(rows, [3.0] * len(rows)).chars) <= len(x)
     mojibake.repair(weights, x)
     list(contamination._post(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([x])], ["row_id", "text"])])))
     neardup._shingled([x], 5, 0, False)

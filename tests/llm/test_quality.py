@@ -25,19 +25,56 @@ def test_types(spark):
 
 
 def test_statistics():
-    n, mean, symbols, stops, common = Q.statistics("The cat sat.\nOn a mat, it is")
-    assert (n, stops) == (8, 0.5) and abs(mean - 21 / 8) < 1e-9 and symbols == 2 / 28 and common == 5 / 8
+    t = Q.look(Q.split("The cat sat.\nOn a mat, it is"), [3.0, 3.0])
+    assert (t.words, t.stop_share) == (8, 0.5) and abs(t.word_length - 21 / 8) < 1e-9 and t.symbol_ratio == 2 / 27 and t.common_share == 5 / 8
+
+
+def test_thresholds_on_statistics():
+    def says(text, bits=3.0):
+        (p,) = Q.look([text], [bits]).patterns
+        return {name for k, (_, name) in enumerate(Q.FUNCTIONS) if p >> k & 1}
+
+    assert {"ends in punctuation", "common words 1/3"} <= says("The cat sat on the mat and looked at the other one.")
+    assert "symbols 2/5" in says("== ** -- ++ // a b") and "digits 3/10, or a name and a value" in says("12,300 4,560 7 88 a b c d")
+    assert {"7 bits of surprise", "6 bits of surprise, no common word"} <= says("푸니경 랄두쿠 상비쿠 구저잘 방바알", 7.5)
+    assert "words said again and again" in says("sale now " * 8) and "3 words at most in a text whose lines end without marks" in says("a b")
+
+
+def test_noise_surprises_and_prose_does_not():
+    r = np.random.default_rng(4)
+    prose = [PROSE.split("\n")[i % 2] for i in range(400)]
+    noise = ["".join(chr(c) for c in r.integers(0xAC00, 0xAC00 + 300, 60)) for _ in range(40)]
+    rows = prose + noise
+    pair, one, _ = Q._pairs(rows)
+    counts = np.concatenate([np.bincount(pair, minlength=Q.BUCKETS), np.bincount(one, minlength=Q.BUCKETS)])
+    bits = Q.surprises(counts, rows)
+    assert bits[:400].max() < bits[400:].min()
+
+
+def votes_of(r, truth, rates):
+    vote = r.random((len(truth), len(Q.LABELS))) < rates[:, truth].T
+    return (vote << np.arange(len(Q.LABELS), dtype=np.int64)).sum(1)
 
 
 def test_em_learns_accuracies_from_agreement():
+    """Functions of very different accuracy: what EM learns beats the start values, and by far where votes are scarce."""
     r = np.random.default_rng(1)
-    truth = r.choice(4, 4000, p=[0.7, 0.1, 0.1, 0.1])
-    k = len(Q.LABELS)
-    rate = np.where(np.array(Q.LABELS)[None, :] == truth[:, None], 0.7, 0.02)
-    patterns = ((r.random((4000, k)) < rate) << np.arange(k)).sum(1)
+    truth = r.choice(4, 20_000, p=[0.6, 0.15, 0.15, 0.1])
+    kinds = np.array(Q.LABELS)
+    own = kinds[:, None] == np.arange(4)
+    good = np.arange(len(kinds)) % 3 == 0
+    rates = np.where(own, np.where(good, 0.75, 0.12)[:, None], np.where(good, 0.01, 0.1)[:, None])
+    patterns = votes_of(r, truth, rates)
     p, n = np.unique(patterns, return_counts=True)
-    post = Q.learn(p, n)
-    assert (post.argmax(1)[np.searchsorted(p, patterns)] == truth).mean() > 0.97
+    right = [(Q.learn(p, n, rounds).argmax(1)[np.searchsorted(p, patterns)] == truth).mean() for rounds in (0, 200)]
+    assert right[1] > 0.95 and right[1] > right[0] + 0.02
+
+
+def test_types_that_hardly_occur_stay(spark):
+    """With a thousandth of lines that aren't prose no type is taken over by a kind of prose."""
+    rows = [(i, PROSE) for i in range(3000)] + [(5000, LIST), (5001, TABLE)]
+    got = {r.rec_id: r.text_type for r in Q.text_types([("x", spark.createDataFrame(rows, "k long, t string"), "k", "t")]).collect()}
+    assert got[5000] == "list" and got[5001] == "table" and {got[i] for i in range(3000)} == {"prose"}
 
 
 def test_empty(spark):
