@@ -158,7 +158,7 @@ def votes(x: Line, surprise: float, near_prose: bool, before_open: bool, unmarke
     spam = len(words) >= 12 and not stop and len(set(words)) <= 0.6 * len(words) and garbled < 0.2 * n
     odd = foreign >= 0.5 * n or garbled >= 0.2 * n
     long_word = sum(map(len, words)) >= 25 * len(words) and n >= 25 and x.digits >= 2 and x.letters + x.digits >= 0.9 * n and s.isascii()
-    reads = x.letters + garbled >= 0.6 * n and surprise < 7 and not (noise or repeat or long_word or menu or spam or code)
+    reads = x.letters + garbled >= 0.6 * n and (surprise < 7 or garbled >= 0.2 * n) and not (noise or repeat or long_word or menu or spam or code)
     pattern = 0
     for bit, yes in enumerate(
         (
