@@ -5,16 +5,16 @@ into events: end marks that do end a sentence, openings and closings of quotatio
 with what follows them, line breaks, sentence endings without a mark, other text.
 A table over (state, event) gives the next state and whether a sentence ends.
 
-A document of up to ``CHUNK`` characters is run from the first state.  A longer one
-is cut into chunks that are shuffled; each chunk becomes a function from every
-entry state to its exit state (with where the sentence open at its end began), the
-functions are composed by a parallel prefix scan (log2 of the chunk count rounds of
-joins on the chunk number), and then every chunk is run from its own entry state.
-No task sees a whole long document, and the result equals the direct run.
+Documents are cut into chunks of about ``CHUNK`` characters, between events.  Of a
+document of one chunk the entry state is known, and it is run at once.  Else each chunk
+becomes a function from every entry state to its exit state (with where the sentence
+open at its end began), the functions are composed by a parallel prefix scan (log2 of
+the chunk count rounds of joins on the chunk number), and then every chunk is run from
+its own entry state.  The result doesn't depend on where chunks end.
 
 Positions count code points; [start, end) holds no white space at its ends.  Null
-and blank texts give no rows, repeated rows give the same rows once; other columns
-are ignored.
+and blank texts give no rows, repeated rows give the same rows once; of texts that
+differ under one key the one with the smallest hash is cut.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jikjo.storage import stored
 
-CHUNK, HALO = 50_000, 64
+CHUNK, HALO = 2_000, 64
 
 # --- fixed values ------------------------------------------------------------------
 #: Quotation marks and brackets: opening, closing.
@@ -226,10 +226,10 @@ def run(x: str, lo: int = 0, hi: int | None = None, state: int = 0, start: int =
     return out
 
 
-def function(x: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The chunk as a function of its entry state: exit state, start of the sentence then open (-1: it came in), end of visible text (-1: none)."""
-    state = np.arange(len(STATES))
-    start = np.full(len(STATES), -1, np.int64)
+def function(x: str, lo: int, hi: int, begins: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """The chunk as a function of its entry state (of the first one alone, if the text begins with it): exit state, start of the sentence then open (-1: it came in), end of visible text (-1: none)."""
+    state = np.zeros(1, np.int64) if begins else np.arange(len(STATES))
+    start = np.full(len(state), -1, np.int64)
     seen = -1
     for symbol, a, b in events(x, lo, hi):
         if symbol[0] not in ("nl", "soft"):
@@ -239,22 +239,38 @@ def function(x: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, int]:
     return state, start, seen
 
 
-def cuts(x: str, chunk: int) -> list[tuple[int, int]]:
-    """Chunks of about that length whose borders lie in no event: after a space and before a word, or inside a word not in Hangul."""
+def _safe(x: str, h: int) -> bool:
+    """Whether no event of x reaches over the border before x[h]."""
+    a, b = x[h - 1], x[h]
+    if a == " ":  # a space may belong to what follows an ending, and to more space
+        return not b.isspace() and b not in "ㅋㅎㅠㅜ" and b < "\U0001f300"
+    if not (a.isalnum() and b.isalnum()):
+        return False
+    # an ending has three syllables at most, and white space or a sign after it
+    return not "가" <= a <= "힣" or not "가" <= b <= "힣" or (len(x) > h + 3 and all("가" <= c <= "힣" for c in x[h + 1 : h + 4]))
 
-    def whole(h: int) -> bool:
-        a, b = x[h - 1], x[h]
-        return b.isalnum() and (a == " " or (a.isalnum() and not "가" <= a <= "힣" and not "가" <= b <= "힣"))
 
+def cuts(x: str, chunk: int) -> list[tuple[int, int]]:
+    """Chunks of at least that length whose borders lie in no event; a stretch without such a border stays whole."""
     out, lo = [], 0
     while lo < len(x):
-        hi = min(len(x), lo + chunk)
-        hi = next((h for h in range(hi, min(len(x), hi + 10_000)) if whole(h)), hi if hi + 10_000 < len(x) else len(x))
+        hi = lo + chunk
+        while hi < len(x) and not _safe(x, hi):
+            hi += 1
+        hi = min(hi, len(x))
         out.append((lo, hi))
         lo = hi
     return out
 
 
+def _seen(x: str, hi: int) -> int:
+    """Where the part that is read ends: the halo, and on to the next visible character, as that tells what an end mark is."""
+    hi = min(len(x), hi + HALO)
+    while hi < len(x) and x[hi - 1].isspace():
+        hi += 1
+    return hi
+
+
 def direct(text: str | None) -> list[tuple[int, int]]:
     return run(text) if text else []
 
@@ -264,21 +280,25 @@ def direct(text: str | None) -> list[tuple[int, int]]:
 
 def sentences(df: DataFrame, table: str, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
     """rec_table, rec_id, start_pos, end_pos: one row for each sentence of each record."""
-    rows = df.select(F.col(key).cast("long").alias("rec_id"), F.col(text).alias("text")).where("rec_id is not null and text is not null")
-    short = rows.where(F.length("text") <= chunk).mapInArrow(_short, "rec_id long, start_pos long, end_pos long")
-    long = _long(rows.where(F.length("text") > chunk).dropDuplicates(["rec_id"]), chunk)
-    return short.union(long).dropDuplicates(["rec_id", "start_pos"]).select(F.lit(table).alias("rec_table"), "*")
+    rows = df.select(F.col(key).cast("long").alias("rec_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("rec_id is not null and text is not null")
+    longer = F.length("text") > chunk
+    short = rows.where(~longer).mapInArrow(_short, "rec_id long, h long, start_pos long, end_pos long")
+    found = short.union(_long(rows.where(longer), chunk))
+    # a record's sentences are those of one of its texts, each once; the window's partitioning serves both
+    one = found.withColumn("one", F.min("h").over(Window.partitionBy("rec_id"))).where("h = one").dropDuplicates(["rec_id", "start_pos"])
+    return one.select(F.lit(table).alias("rec_table"), "rec_id", "start_pos", "end_pos")
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, a, e = [], [], []
-        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        ids, hs, a, e = [], [], [], []
+        for i, h, x in zip(*(c.to_pylist() for c in b.columns)):
             for p, q in direct(x):
                 ids.append(i)
+                hs.append(h)
                 a.append(p)
                 e.append(q)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, a, e)], ["rec_id", "start_pos", "end_pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, hs, a, e)], ["rec_id", "h", "start_pos", "end_pos"])
 
 
 def _long(rows: DataFrame, chunk: int) -> DataFrame:
@@ -286,19 +306,20 @@ def _long(rows: DataFrame, chunk: int) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for i, x in zip(f.rec_id, f.text):
+            out = []
+            for i, h, x in zip(f.rec_id, f.h, f.text):
                 for n, (lo, hi) in enumerate(cuts(x, chunk)):
                     begin = max(0, lo - HALO)
-                    yield pd.DataFrame(
-                        {"rec_id": [i], "n": [n], "base": [begin], "lo": [lo - begin], "hi": [hi - begin], "last": [hi == len(x)], "part": [x[begin : hi + HALO]]}
-                    )
+                    out.append((i, h, n, begin, lo - begin, hi - begin, hi == len(x), x[begin : _seen(x, hi)]))
+            yield pd.DataFrame(out, columns=["rec_id", "h", "n", "base", "lo", "hi", "last", "part"])
 
     def functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = [function(x, lo, hi) for x, lo, hi in zip(f.part, f.lo, f.hi)]
+            made = [function(x, lo, hi, n == 0) for x, lo, hi, n in zip(f.part, f.lo, f.hi, f.n)]
             yield pd.DataFrame(
                 {
                     "rec_id": f.rec_id,
+                    "h": f.h,
                     "n": f.n,
                     "to": [m[0].tolist() for m in made],
                     "start": [np.where(m[1] >= 0, m[1] + b, -1).tolist() for m, b in zip(made, f.base)],
@@ -313,23 +334,24 @@ def _long(rows: DataFrame, chunk: int) -> DataFrame:
                 state = 0 if r.n == 0 else int(r.to[0])
                 start = -1 if r.n == 0 else int(r.start[0])
                 got = run(r.part, r.lo, r.hi, state, start, 0 if r.n == 0 else int(r.seen), r.last, r.base)
-                out += [(r.rec_id, a, b) for a, b in got]
-            yield pd.DataFrame(out, columns=["rec_id", "start_pos", "end_pos"])
+                out += [(r.rec_id, r.h, a, b) for a, b in got]
+            yield pd.DataFrame(out, columns=["rec_id", "h", "start_pos", "end_pos"])
 
-    parts = rows.mapInPandas(cut, "rec_id long, n long, base long, lo long, hi long, last boolean, part string")
-    parts = stored(parts.repartition("rec_id", "n"), "sentence-chunks")
-    scan = stored(parts.mapInPandas(functions, "rec_id long, n long, to array<long>, start array<long>, seen long"), "sentence-functions")
+    parts = rows.mapInPandas(cut, "rec_id long, h long, n long, base long, lo long, hi long, last boolean, part string")
+    parts = stored(parts.repartition("rec_id", "h", "n").dropDuplicates(["rec_id", "h", "n"]), "sentence-chunks")
+    scan = stored(parts.mapInPandas(functions, "rec_id long, h long, n long, to array<long>, start array<long>, seen long"), "sentence-functions")
     most = parts.agg(F.max("n")).first()[0] or 0
     stride = 1
     while stride <= most:  # after each round a row is the composition of its last 2 * stride chunks
-        one = scan.select("rec_id", (F.col("n") + stride).alias("n"), F.col("to").alias("t0"), F.col("start").alias("s0"), F.col("seen").alias("v0"))
-        both = scan.join(one, ["rec_id", "n"], "left")
+        one = scan.select("rec_id", "h", (F.col("n") + stride).alias("n"), F.col("to").alias("t0"), F.col("start").alias("s0"), F.col("seen").alias("v0"))
+        both = scan.join(one, ["rec_id", "h", "n"], "left")
         then = F.transform("t0", lambda s: F.get("to", s.cast("int")))
         begun = F.transform(F.arrays_zip("t0", "s0"), lambda z: F.when(F.get("start", z["t0"].cast("int")) >= 0, F.get("start", z["t0"].cast("int"))).otherwise(z["s0"]))
         known = F.col("t0").isNotNull()
         scan = stored(
             both.select(
                 "rec_id",
+                "h",
                 "n",
                 F.when(known, then).otherwise(F.col("to")).alias("to"),
                 F.when(known, begun).otherwise(F.col("start")).alias("start"),
@@ -338,5 +360,5 @@ def _long(rows: DataFrame, chunk: int) -> DataFrame:
             "sentence-scan",
         )
         stride *= 2
-    entry = scan.select("rec_id", (F.col("n") + 1).alias("n"), "to", "start", "seen")
-    return parts.join(entry, ["rec_id", "n"], "left").mapInPandas(emit, "rec_id long, start_pos long, end_pos long")
+    entry = scan.select("rec_id", "h", (F.col("n") + 1).alias("n"), "to", "start", "seen")
+    return parts.join(entry, ["rec_id", "h", "n"], "left").mapInPandas(emit, "rec_id long, h long, start_pos long, end_pos long")

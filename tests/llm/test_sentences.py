@@ -28,7 +28,7 @@ def test_cases(text, want):
 
 
 def test_chunks_compose_to_the_direct_run(spark, data):
-    texts = [t for t, _ in CASES] + [" ".join(t for t, _ in CASES) * 3, "가" * 5000, "? " * 4000, " " * 3000 + "끝.", "“" + "말이다. " * 900]
+    texts = [t for t, _ in CASES] + [" ".join(t for t, _ in CASES) * 3, "가" * 5000, "? " * 4000, " " * 3000 + "끝.", "“" + "말이다. " * 900, "끝." + " " * 300 + "다음 말", ("했다" + " " * 80 + "ㅋㅋ ") * 60, "!?" * 2000, "가나다라마바사아" * 500 + "했다. 끝"]
     texts += [r.text for r in spark.read.parquet(f"{data}/raw_text.parquet").where("text is not null").collect()]
     df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
     for chunk in (150, 1000):
@@ -39,6 +39,19 @@ def test_chunks_compose_to_the_direct_run(spark, data):
             assert sorted(got.get(i, [])) == S.direct(t), (chunk, i, t[:80])
 
 
+def test_deliveries_that_differ_are_not_mixed(spark):
+    rows = [(1, "하나다. 둘이다. 셋이다."), (1, "넷. 다섯이다. " * 200), (1, "하나다. 둘이다. 셋이다.")]
+    got = sorted((r.start_pos, r.end_pos) for r in S.sentences(spark.createDataFrame(rows, "k long, t string"), "x", "k", "t", chunk=100).collect())
+    assert got in (S.direct(rows[0][1]), S.direct(rows[1][1]))
+
+
+def test_a_text_of_a_million_characters(spark):
+    text = ("그는 “간다. 온다.”라고 말했다. 값은 3.14배다. (앞서 정했다.) " * 30_000).strip()
+    df = spark.createDataFrame([(1, text)], "k long, t string")
+    got = [sorted((r.start_pos, r.end_pos) for r in S.sentences(df, "x", "k", "t", chunk=n).collect()) for n in (20_000, 200_000)]
+    assert got[0] == got[1] == S.direct(text)
+
+
 def test_odd_rows(spark):
     rows = [(1, "하나. 둘."), (1, "하나. 둘."), (2, None), (3, "  \n "), (None, "셋."), (4, "")]
     df = spark.createDataFrame([(k, t, 0, "x") for k, t in rows], "k long, t string, start_pos int, text string")
