@@ -6,11 +6,14 @@ total.  A source's quota ends at what ``max_repeats`` passes over it hold; the
 blocks it can't take go on by the same rule.  The quotients' order is found by
 bisection on the divisor, so a quota of a billion blocks costs no more than of ten.
 
-A source's quota is apportioned again to its shards (records by a hash of their
-key) by their tokens.  In a shard the records of a source stand in a seeded order,
-laid end to end: whole passes first, then the blocks up to the quota; a record is
-in the mixture as often as its middle is passed.  Sums per shard and source are the
-only thing the driver sees, and at most ``SHARDS`` of each source.
+A source's quota is apportioned again, to groups of shards and within a group to its
+shards (records by a hash of their key), by their tokens.  There are as many shards as
+the data need for ``SHARD_TOKENS`` each, and as many groups as a group has shards: the
+driver sees a row for each group, about the square root of the shards, a task those of
+one group, and the shards' quotas are a table.  In a shard the records of a source
+stand in a seeded order, laid end to end and cut into blocks; a record belongs to the
+block in which its middle lies.  A quota is whole passes over the shard, and for the
+rest blocks in a seeded order until their tokens reach it.
 
 Records without a source, of a source without a target or without tokens are in no
 mixture.  Repeated rows of a key count once; other columns are ignored.  Targets are
@@ -19,12 +22,14 @@ normalised to sum to 1; a null or negative one is 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jikjo.storage import stored
 
-BLOCK, SHARD_TOKENS, SHARDS = 1_024, 16_000_000, 4_096
+BLOCK, SHARD_TOKENS = 1_024, 16_000_000
 
 
 def apportion(weights: dict[str, float], caps: dict[str, int], seats: int) -> dict[str, int]:
@@ -56,6 +61,11 @@ def apportion(weights: dict[str, float], caps: dict[str, int], seats: int) -> di
     return got
 
 
+def _lookup(values: dict[str, int], kind: str) -> Column:
+    """Of ``source`` its value, null for other sources."""
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("source")].cast(kind) if values else F.lit(None).cast(kind)
+
+
 def mix(sized: DataFrame, key: str, targets: DataFrame, total: int | None = None, block: int = BLOCK, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(mixture: key, source, n_tokens, copies; report: a row for each target).
 
@@ -68,25 +78,37 @@ def mix(sized: DataFrame, key: str, targets: DataFrame, total: int | None = None
     rows = sized.where(F.col("source").isin(list(want)) & (F.col("n_tokens") > 0)).groupBy(key).agg(F.max(F.struct("n_tokens", "source")).alias("m"))
     rows = stored(rows.select(key, "m.source", "m.n_tokens"), "mix-sizes")
     everything = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, min(SHARDS, everything // SHARD_TOKENS))
+    shards = max(1, everything // SHARD_TOKENS)
+    groups = max(1, round(shards**0.5))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(shards)))
-    have: dict[str, dict[str, int]] = {s: {} for s in want}
-    for r in rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():  # at most SHARDS rows for each target
-        have[r.source][f"{r.shard:08d}"] = r.n
-    caps = {s: {k: n * want[s][1] // block for k, n in have[s].items()} for s in want}
+    sums = rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.col("shard") % groups)
+    sums = stored(sums.withColumn("cap", F.floor(F.col("n") * _lookup({s: m for s, (_, m) in want.items()}, "int") / block)), "mix-shards")
+    have: dict[str, dict[str, tuple[int, int]]] = {s: {} for s in want}
+    for r in sums.groupBy("source", "group").agg(F.sum("n").alias("n"), F.sum("cap").alias("cap")).collect():  # one row for each target and group
+        have[r.source][f"{r.group:08d}"] = r.n, r.cap
+    caps = {s: {k: c for k, (_, c) in have[s].items()} for s in want}
     blocks = apportion({s: w / whole for s, (w, _) in want.items()}, {s: sum(caps[s].values()) for s in want}, (everything if total is None else total) // block)
-    plan = []
-    for s in want:
-        for k, b in apportion({k: float(n) for k, n in have[s].items()}, caps[s], blocks[s]).items():
-            n = have[s][k]
-            plan.append((s, int(k), b * block // n, b * block % n))
-    quotas = spark.createDataFrame(plan, "source string, shard long, passes long, rest long")
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), key), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("end", F.sum("n_tokens").over(order)).join(F.broadcast(quotas), ["source", "shard"])
-    mixture = placed.withColumn("copies", F.col("passes") + (F.col("end") - F.col("n_tokens") / 2 < F.col("rest")).cast("long"))
+    plan = [(s, int(k), b) for s in want for k, b in apportion({k: float(n) for k, (n, _) in have[s].items()}, caps[s], blocks[s]).items()]
+    seats = spark.createDataFrame(plan, "source string, group long, seats long")
+
+    def divide(frame: pd.DataFrame) -> pd.DataFrame:
+        names = [f"{k:012d}" for k in frame["shard"]]
+        got = apportion(dict(zip(names, frame.n.astype(float))), dict(zip(names, frame.cap.astype(int))), int(frame.seats.iloc[0]))
+        tokens = np.array([got[n] for n in names], np.int64) * block
+        return pd.DataFrame({"source": frame.source, "shard": frame["shard"], "passes": tokens // frame.n, "rest": tokens % frame.n})
+
+    quotas = sums.join(F.broadcast(seats), ["source", "group"]).groupBy("source", "group").applyInPandas(divide, "source string, shard long, passes long, rest long")
+    quotas = stored(quotas.where("passes > 0 or rest > 0"), "mix-quotas")
+    here = Window.partitionBy("source", "shard")
+    laid = here.orderBy(F.xxhash64(F.lit(seed), key), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.join(quotas, ["source", "shard"]).withColumn("block", F.floor((F.sum("n_tokens").over(laid) - F.col("n_tokens") / 2) / block))
+    placed = placed.withColumn("turn", F.xxhash64(F.lit(seed), "source", "shard", "block"))
+    drawn = F.sum("n_tokens").over(here.orderBy("turn", "block").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = placed.withColumn("drawn", drawn).withColumn("own", F.sum("n_tokens").over(Window.partitionBy("source", "shard", "turn", "block")))
+    mixture = placed.withColumn("copies", F.col("passes") + (F.col("drawn") - F.col("own") / 2 < F.col("rest")).cast("long"))
     mixture = mixture.where("copies > 0").select(key, "source", "n_tokens", "copies")
     sizes = spark.createDataFrame(
-        [(s, w / whole, m, sum(have[s].values()), blocks[s], block) for s, (w, m) in want.items()],
+        [(s, w / whole, m, sum(n for n, _ in have[s].values()), blocks[s], block) for s, (w, m) in want.items()],
         "source string, target_share double, max_repeats int, available_tokens long, quota_blocks long, block_tokens int",
     )
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))

@@ -1,9 +1,12 @@
 """Filling containers of fixed capacity: vector best-fit.
 
 A container has a residual capacity in three resources: tokens, number of
-documents, and attention cost (the sum of squared lengths).  An item goes to the
-open container that can take it under every constraint and whose weighted residual
-norm is then smallest; if none can, a new one is opened.  Items come largest first.
+documents, and attention cost (the sum of squared lengths, as documents of one
+container don't attend to each other).  An item goes to the open container that can
+take it under every constraint and whose weighted residual norm is then smallest; if
+none can, a new one is opened.  Items come largest first.  The attention capacity is
+below that of one item that fills a container, so it keeps long items from company; an
+item alone is always admitted.
 
 A record longer than the capacity fills containers of its own; only its rest, like
 every record that fits, is an item and is never split.  Items are spread by a hash
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 SHARD = 2_000
 #: Most documents in one container; attention cost that one may hold, as a share of capacity squared; weights of the three residuals.
-MOST_DOCUMENTS, ATTENTION, WEIGHTS = 256, 1.0, (1.0, 0.02, 0.05)
+MOST_DOCUMENTS, ATTENTION, WEIGHTS = 32, 0.97, (1.0, 0.02, 0.05)
 
 
 def best_fit(sizes: np.ndarray, capacity: int, documents: int = MOST_DOCUMENTS, attention: float = ATTENTION, weights: tuple = WEIGHTS) -> np.ndarray:
@@ -49,7 +52,7 @@ def best_fit(sizes: np.ndarray, capacity: int, documents: int = MOST_DOCUMENTS,
             open_ = np.append(open_, k)
         rest[k] -= need
         out[i] = k
-        if rest[k, 0] < least or rest[k, 1] < 1 or rest[k, 2] < least * least:
+        if rest[k, 0] < least or rest[k, 1] < 1 or rest[k, 2] < float(least) * least:
             open_ = open_[open_ != k]
     return out
 
@@ -87,11 +90,29 @@ def pack(sized: DataFrame, key: str, capacities: DataFrame, **limits: float) ->
     return items.groupBy("seq_len", "shard").applyInPandas(fit, ddl).unionByName(full).unionByName(none)
 
 
+def containers(packed: DataFrame, documents: int = MOST_DOCUMENTS, attention: float = ATTENTION) -> DataFrame:
+    """One row for each container: what it holds, and what is left of each capacity (of attention less than nothing where one long item is alone)."""
+    size = F.col("n_tokens").cast("double")
+    each = packed.where("container_id is not null").groupBy("seq_len", "container_id")
+    each = each.agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("tokens"), F.sum(size * size).alias("attention"))
+    return (
+        each.withColumn("rest_tokens", F.col("seq_len") - F.col("tokens"))
+        .withColumn("rest_documents", F.lit(documents) - F.col("n_documents"))
+        .withColumn("rest_attention", F.lit(attention) * F.col("seq_len").cast("double") * F.col("seq_len") - F.col("attention"))
+    )
+
+
 def fill(packed: DataFrame) -> DataFrame:
-    """For each capacity: containers, tokens, and the share of room used."""
+    """For each capacity: containers, tokens, the share of room used, and the shares of document and attention capacity used."""
+    c = containers(packed)
     return (
-        packed.where("container_id is not null")
-        .groupBy("seq_len")
-        .agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
+        c.groupBy("seq_len")
+        .agg(
+            F.count("*").alias("containers"),
+            F.sum("tokens").alias("tokens"),
+            F.max("n_documents").alias("most_documents"),
+            F.avg(F.col("n_documents") / F.lit(MOST_DOCUMENTS)).alias("documents_used"),
+            F.avg(F.col("attention") / (F.col("attention") + F.col("rest_attention"))).alias("attention_used"),
+        )
         .withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("seq_len")))
     )

@@ -133,6 +133,10 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(stored(sized, "pack-sizes"), "doc_id", table(spark, d, "seq_budgets"))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(p7_pack(spark, d))
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_pack(spark, d))
 
@@ -171,6 +175,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_statistics": p6_statistics,
     "p7_pack": p7_pack,
+    "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,

@@ -43,6 +43,28 @@ def test_mix(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_many_shards(spark, monkeypatch):
+    """Over many shards and groups: quotas are kept, whole passes and seeded blocks, another seed draws others."""
+    r = random.Random(3)
+    rows = [(i, r.choices(["a", "b", "c"], [60, 30, 10])[0], r.randint(1, 900)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 3), ("c", 0.3, 2)], "source string, target_share double, max_repeats int")
+    total = sum(n for _, _, n in rows)
+    monkeypatch.setattr(M, "SHARD_TOKENS", total // 23)
+    drawn = []
+    for seed in (7, 8):
+        mixture, report = M.mix(df, "doc_id", targets, total=1_500_000, seed=seed)
+        got, rep = mixture.collect(), {x.source: x for x in report.collect()}
+        assert len({x.doc_id for x in got}) == len(got)
+        for s, cap in (("a", 1), ("b", 3), ("c", 2)):
+            assert rep[s].most_copies <= cap
+            want = rep[s].quota_blocks * rep[s].block_tokens
+            assert abs(rep[s].tokens - want) <= 23 * 1_500 and abs(rep[s].tokens - want) < 0.05 * want
+        drawn.append({x.doc_id for x in got if x.source == "a"})
+    chance = len(drawn[0]) / sum(s == "a" for _, s, _ in rows)
+    assert abs(len(drawn[0] & drawn[1]) / len(drawn[0]) - chance) < 0.1
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
