@@ -8,15 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jikjo.llm import contamination, mixing, mojibake, neardup, packing, quality, sampling, sentences, splitting, tokens
-from jikjo.operators.ordering import spread
 from jikjo.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(df) if name in ("raw_text", "documents", "translated_news", "qa_context", "naver_news") else df
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 #: Where the texts are that problem 1 splits.
@@ -76,7 +74,7 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     streams = table(spark, d, "dataset_source").where("is_streaming").select(F.col("name").alias("source_name"))
-    rows = table(spark, d, "raw_text").join(F.broadcast(streams), "source_name", "left_semi")
+    rows = table(spark, d, "raw_text").join(streams, "source_name", "left_semi")
     got = sampling.sample(rows, "row_id", k=SAMPLE, earliest=["arrived_at", "piece_no"])
     return got.select("row_id", "source_name", "text")
 

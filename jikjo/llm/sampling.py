@@ -2,8 +2,9 @@
 
 Every distinct key has a random key, a hash of the record's key and a seed, 128 bits
 as hexadecimal digits.  The random keys of each piece are appended to a stored table
-(``append_keys``; late and repeated deliveries bring no new key).  The sample is the
-k records of the smallest random keys.  The k-th smallest is found exactly by a radix
+(``append_keys``); what late and repeated deliveries append again counts once, as
+``threshold`` takes the distinct keys.  The sample is the k records of the smallest
+random keys.  The k-th smallest is found exactly by a radix
 histogram: counts of the first digits over all keys, combined in each task; the bin
 that holds the k-th; then the next digits within that bin, until the bin is settled.
 A filter at that key gives the sample.  There is no global sort and no heap, and the
@@ -34,7 +35,8 @@ def append_keys(piece: DataFrame, key: str, seed: int, path: str) -> None:
 
 
 def threshold(keys: DataFrame, k: int) -> str | None:
-    """The k-th smallest of the distinct random keys ``h``, None if there are no more than k."""
+    """The k-th smallest of the distinct random keys ``h``, None if there are no more than k.  ``keys`` may hold a key more than once."""
+    keys = stored(keys.select("h").distinct(), "sample-keys")
     prefix, left = "", k
     if k <= 0:
         return ""
@@ -58,8 +60,7 @@ def threshold(keys: DataFrame, k: int) -> str | None:
 def sample(df: DataFrame, key: str, k: int, seed: int = 42, earliest: list[str] = ()) -> DataFrame:
     """k distinct records of ``df``, each distinct key having the same chance; one delivery of each."""
     rows = df.where(F.col(key).isNotNull()).withColumn("__h", random_key(key, seed))
-    keys = stored(rows.select(F.col("__h").alias("h")).distinct(), "sample-keys")
-    top = threshold(keys, k)
+    top = threshold(rows.select(F.col("__h").alias("h")), k)
     chosen = rows if top is None else rows.where(F.col("__h") < F.lit(top))
     cols = [c for c in df.columns if c != key]
     first = F.min_by(F.struct(*cols), F.struct(*earliest, *[F.xxhash64(c) for c in cols[:1]]))

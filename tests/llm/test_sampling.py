@@ -42,6 +42,7 @@ def test_pieces_appended_by_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = stream.writeStream.foreachBatch(lambda b, _: S.append_keys(b, "k", 42, path)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    top = S.threshold(spark.read.parquet(path).distinct(), 50)
+    S.append_keys(df, "k", 42, path)  # all of it once more
+    top = S.threshold(spark.read.parquet(path), 50)
     got = {r.k for r in df.where(S.random_key("k", 42) < top).select("k").distinct().collect()}
     assert got == {r.k for r in S.sample(df, "k", 50).collect()}
