@@ -37,13 +37,3 @@ def heads(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
     """The first n rows of each group.  Spark keeps n of each group before the shuffle, so a hot group costs n rows a task."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
-
-
-def spread(df: DataFrame, least: int = 2 << 20) -> DataFrame:
-    """A small input over all cores: repartitioned if it has under ``least`` bytes for each, else as it is.
-
-    A small file is one row group, and so one task however small its splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < least * cores else df

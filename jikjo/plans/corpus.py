@@ -9,7 +9,7 @@ from jikjo.functions import lexicon as L
 from jikjo.functions import text as T
 from jikjo.operators import chunking, quality
 from jikjo.operators import vocabulary as V
-from jikjo.operators.ordering import numbered, spread
+from jikjo.operators.ordering import numbered
 from jikjo.plans import registry as R
 from jikjo.plans.registry import query, table
 from jikjo.sources import catalog as C
@@ -19,7 +19,7 @@ TEXT = "from documents where text is not null"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").where("text is not null"))
+    return table(spark, d, "documents").where("text is not null")
 
 
 # --- A, J9: scans ------------------------------------------------------------------
@@ -440,7 +440,7 @@ def _of_kind(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     news = table(spark, d, "naver_news").where("split = 'train'").select(F.col("article_id").alias("id"), C.news_text().alias("text"))
     wiki = table(spark, d, "raw_text").where("source_name = 'wiki_ko'").select(F.col("row_id").alias("id"), "text")
     mrc = table(spark, d, "qa_context").where("source_name = 'klue_mrc'").select(F.col("row_id").alias("id"), F.col("context").alias("text"))
-    return {k: spread(x.where("id is not null and text is not null").distinct()) for k, x in (("naver", news), ("wiki", wiki), ("klue", mrc))}
+    return {k: x.where("id is not null and text is not null").distinct() for k, x in (("naver", news), ("wiki", wiki), ("klue", mrc))}
 
 
 def _chunks_of(kind: str, target: int):

@@ -2,7 +2,8 @@
 
 Lineage is cut by writing a table, never by localCheckpoint: a lost executor
 then costs a re-read and not the query.  The folder is the session's
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) one is made.
+``spark.checkpoint.dir``.  Where that is unset, a session on one machine gets a folder
+of its own; on a cluster it is an error, as executors share no local folder.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a trailing slash."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="jikjo-")
         _own.append(where[len("file://") :])
         spark.conf.set("spark.checkpoint.dir", where)
@@ -48,6 +51,13 @@ def release(spark: SparkSession) -> int:
 
 @atexit.register
 def _clean() -> None:
+    """At the end of the process: its stored tables, wherever they are, as long as the session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            release(spark)
+        except Exception:  # the JVM may be gone already
+            pass
     for d in _own + [p.removeprefix("file://") for p in _stored if p.startswith("file:")]:
         shutil.rmtree(d, ignore_errors=True)
 
