@@ -12,6 +12,7 @@ profile in ``lexicon``; another tagger can stand in wherever tokens are expected
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
@@ -59,29 +60,66 @@ _WORD, _PARTICLE, _NAME, _VERB = map(re.compile, (WORD, PARTICLE, NAME, VERB))
 _PRONOUNS, _ADVERBS = frozenset(L.TAGGER_PRONOUNS), frozenset(L.TAGGER_ADVERBS)
 
 
+@functools.lru_cache(200_000)
+def word(w: str) -> tuple[str, str]:
+    """(form, tag) of a word; words come again and again, so a worker keeps those it has met."""
+    s = _PARTICLE.sub("", w)
+    if w in _PRONOUNS or s in _PRONOUNS:
+        t = "NP"
+    elif w[0] <= "9":
+        t = "SN"
+    elif w in _ADVERBS:
+        t = "MAG"
+    elif _NAME.search(s):
+        t = "NNP"
+    elif _VERB.search(w):
+        t = "VV"
+    else:
+        t = "NNG"
+    return (w if t in ("VV", "SN", "MAG") or not s or w in _PRONOUNS else s), t
+
+
 def tagged(text: str) -> list[tuple[str, str, int, int]]:
     """(form, tag, start, length of the form) of each word; one running scan, linear in the text."""
     out = []
     for m in _WORD.finditer(text):
-        w = m[0]
-        s = _PARTICLE.sub("", w)
-        if w in _PRONOUNS or s in _PRONOUNS:
-            t = "NP"
-        elif w[0] <= "9":
-            t = "SN"
-        elif w in _ADVERBS:
-            t = "MAG"
-        elif _NAME.search(s):
-            t = "NNP"
-        elif _VERB.search(w):
-            t = "VV"
-        else:
-            t = "NNG"
-        f = w if t in ("VV", "SN", "MAG") or not s or w in _PRONOUNS else s
+        f, t = word(m[0])
         out.append((f, t, m.start(), len(f)))
     return out
 
 
+#: What ``counts`` gives for a text.
+COUNTS = ("pronoun_count", "entity_count", "verb_count", "total_words", "unique_pronouns", "unique_entities", "name_count")
+_MEANINGFUL, _NOUNS = frozenset(("NP", "NNG", "NNP", "NNB", "VV", "VA", "VX", "MAG")), frozenset(("NNG", "NNP", "NNB"))
+_VERBS = frozenset(("VV", "VA", "VX"))
+
+
+def _counts(texts: pa.Array) -> pa.Array:
+    rows = []
+    for x in texts.to_pylist():
+        pronouns: list[str] = []
+        entities: list[str] = []
+        verbs = words = names = 0
+        for w in _WORD.findall(x or ""):
+            f, t = word(w)
+            words += t in _MEANINGFUL
+            if t == "NP":
+                pronouns.append(f)
+            elif t in _NOUNS:
+                names += t == "NNP"
+                if len(f) > 1:
+                    entities.append(f)
+            elif t in _VERBS:
+                verbs += 1
+        rows.append((len(pronouns), len(entities), verbs, words, len(set(pronouns)), len(set(entities)), names))
+    return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(COUNTS), list(COUNTS))
+
+
+def counts(text: Column) -> Column:
+    """The counts that quality vectors are made of, in one pass: a struct of COUNTS, zeros for a null.  Nondeterministic as ``tokens`` is."""
+    return F.arrow_udf(_counts, f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>").asNondeterministic()(text)
+
+
 def _tokens(texts: pa.Array) -> pa.Array:
     forms, tags, at = [], [], [0]
     for x in texts.to_pylist():

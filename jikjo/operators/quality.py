@@ -1,4 +1,4 @@
-"""Quality vectors of documents and their gates, as array functions over a tagger's tokens: one Arrow pass for the tokens, no shuffle."""
+"""Quality vectors of documents and their gates, from a tagger's counts: one Arrow pass, no shuffle."""
 
 from __future__ import annotations
 
@@ -7,42 +7,29 @@ from pyspark.sql import functions as F
 
 from jikjo.functions import lexicon as L
 from jikjo.functions import text as T
-from jikjo.functions.tagger import tokens
+from jikjo.functions.tagger import counts, tokens
 
 
 def _n(test) -> Column:
     return F.size(F.filter("__t", test)).cast("long")
 
 
-def _unique(test) -> Column:
-    return F.size(F.array_distinct(F.transform(F.filter("__t", test), lambda t: t["form"]))).cast("long")
-
-
 def _is(*tags: str):
     return lambda t: t["tag"].isin(*tags)
 
 
-def _entity(t: Column) -> Column:
-    return t["tag"].isin("NNG", "NNP", "NNB") & (F.length(t["form"]) > 1)
-
-
 def with_tokens(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("__t", tokens(text))
 
 
-def vector(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
-    """key and 13 fields: counts, densities by meaningful words, and the scores made of them.  A text without words scores 0.2.  ``more``: further columns made of the tokens."""
-    c = with_tokens(df.where(F.col(text).isNotNull()), F.col(text)).select(
-        key,
-        _n(_is("NP")).alias("pronoun_count"),
-        _n(_entity).alias("entity_count"),
-        _n(_is("VV", "VA", "VX")).alias("verb_count"),
-        _n(_is("NP", "NNG", "NNP", "NNB", "VV", "VA", "VX", "MAG")).alias("total_words"),
-        _unique(_is("NP")).alias("unique_pronouns"),
-        _unique(_entity).alias("unique_entities"),
-        *more,
-    )
-    return scored(c)
+def counted(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The kept columns and the tagger's counts of a text."""
+    return df.withColumn("__c", counts(text)).select(*keep, "__c.*")
+
+
+def vector(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and 14 fields: counts, densities by meaningful words, and the scores made of them.  A text without words scores 0.2."""
+    return scored(counted(df.where(F.col(text).isNotNull()), F.col(text), key))
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -59,15 +46,7 @@ def scored(counts: DataFrame) -> DataFrame:
 
 def worker_vector(df: DataFrame, key: str, text: str, prefix: int = 1500) -> DataFrame:
     """The reduced vector over the first ``prefix`` characters, the profile's own limit; nothing for a text under 50 characters or without words."""
-    c = with_tokens(df.where(F.length(text) >= 50), F.left(F.col(text), F.lit(prefix))).select(
-        key,
-        _n(_is("NP")).alias("pronoun_count"),
-        _n(_entity).alias("entity_count"),
-        _n(_is("VV", "VA")).alias("verb_count"),
-        _n(_is("NP", "NNG", "NNP", "NNB", "VV", "VA", "MAG")).alias("total_words"),
-        _unique(_is("NP")).alias("unique_pronouns"),
-        _unique(_entity).alias("unique_entities"),
-    )
+    c = counted(df.where(F.length(text) >= 50), F.left(F.col(text), F.lit(prefix)), key).drop("name_count")
     words = F.greatest(F.lit(1), F.col("total_words"))  # a later filter may be computed before this one
     c = c.where("total_words > 0").withColumn("pronoun_density", F.col("pronoun_count") / words).withColumn("entity_density", F.col("entity_count") / words)
     return c.withColumn("pronoun_entity_ratio", F.col("pronoun_count") / F.greatest(F.lit(1), F.col("entity_count")))

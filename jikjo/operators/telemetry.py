@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jikjo.operators.ordering import heads
+from jikjo.storage import stored
+
 
 def _micros(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp"))
@@ -43,10 +46,22 @@ def trailing_mean(events: DataFrame, by: str, order: list[str], value: str, size
 
 
 def rate(events: DataFrame, by: str, order: list[str], ts: str, per: int) -> DataFrame:
-    """Events a second from the time since the event ``per`` rows before."""
-    w = Window.partitionBy(by).orderBy(*order)
+    """Events a second from the time since the event ``per`` rows before.
+
+    A kind may hold most rows, so no window spans a kind: rows are partitioned by
+    ranges of (kind, order), and each partition gets the last ``per`` rows of its kind
+    before it, which stand among the last ``per`` of the partitions before.
+    """
+    spread = stored(events.repartitionByRange(by, *order).withColumn("__p", F.spark_partition_id()), "rated")
+    cols = list(dict.fromkeys([by, *order, ts]))
+    tails = heads(spread.select(*cols, "__p"), [by, "__p"], [F.col(c).desc() for c in order], per)
+    tails = tails.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order)))  # per rows of each partition
+    begins = tails.groupBy(by, "__p").agg(F.min("__r").alias("__m"))
+    carried = begins.select(by, "__p", F.explode(F.sequence(F.col("__m") - per, F.col("__m") - 1)).alias("__r")).join(tails.drop("__p"), [by, "__r"])
+    rows = spread.withColumn("__own", F.lit(True)).unionByName(carried.drop("__r").withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(by, "__p").orderBy(*order)
     span = (_micros(F.col(ts)) - _micros(F.lag(ts, per).over(w))) / 1e6
-    return events.withColumn("per_second", F.when(span > 0, per / span))
+    return rows.withColumn("per_second", F.when(span > 0, per / span)).where("__own").drop("__p", "__own")
 
 
 def since_reset(events: DataFrame, by: str, order: list[str], reset: Column) -> DataFrame:

@@ -467,8 +467,7 @@ def n8_two_targets(spark, d):
         both = F.array(*[F.struct(F.lit(n).alias("target"), _chunks_of(kind, n).alias("chunks")) for n in (32, 64)])
         x = rows.select(F.lit(kind).alias("source"), F.explode(both).alias("z")).select("source", "z.target", F.explode("z.chunks").alias("chunk"))
         least, p, e = TRIPLE_GATES[kind]
-        names = quality._n(quality._is("NNP")).alias("names")
-        v = quality.vector(x.withColumn("row", F.struct("source", "target")), "row", "chunk", names)
+        v = quality.vector(x.withColumn("row", F.struct("source", "target")), "row", "chunk").withColumnRenamed("name_count", "names")
         good = v.where((F.col("pronoun_count") >= least) & (F.col("pronoun_density") >= p) & (F.col("entity_density") >= e)).select("row.*", "names")
         found = good if found is None else found.union(good)
     return found.groupBy("target", "source").agg(F.count("*").alias("chunks"), F.sum("names").alias("names"))

@@ -42,7 +42,7 @@ _SCORES = ["coref_score", "complexity_score", "balance_score", "quality_score"]
 )
 def g1_quality_vector(spark, d):
     """Thirteen fields for each document."""
-    v = quality.vector(docs(spark, d), "doc_id", "text")
+    v = quality.vector(docs(spark, d), "doc_id", "text").drop("name_count")
     return v.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in v.dtypes])
 
 
@@ -50,15 +50,7 @@ def g1_quality_vector(spark, d):
 def g1_quality_by_source(spark, d):
     """The flagship: quality of every document, gated and summed by source."""
     rows = docs(spark, d)
-    v = quality.scored(
-        quality.with_tokens(rows, F.col("text")).select(
-            "source",
-            *[c.alias(n) for n, c in (
-                ("pronoun_count", quality._n(quality._is("NP"))), ("entity_count", quality._n(quality._entity)), ("verb_count", quality._n(quality._is("VV", "VA", "VX"))),
-                ("total_words", quality._n(quality._is("NP", "NNG", "NNP", "NNB", "VV", "VA", "VX", "MAG"))),
-            )],
-        )
-    )
+    v = quality.scored(quality.counted(rows, F.col("text"), "source"))
     ok = F.count_if(F.col("quality_score") >= 0.6)
     return v.groupBy("source").agg(
         F.count("*").alias("n"), ok.alias("passed"), F.round(F.avg("quality_score"), 6).alias("mean_score"), F.round(ok * 100.0 / F.count("*"), 6).alias("pass_percent")
