@@ -69,13 +69,50 @@ def g24_eta(spark, d):
     return e.select("event_type", "n", F.round("m", 6).alias("mean"), F.round(F.col("m") * F.greatest(F.lit(0), 3000 - F.col("n")), 6).alias("eta"), "users", "failed")
 
 
+_EMA = "sum(value * case when i = 1 then 0.9e0 ** (n - 1) else 0.1e0 * 0.9e0 ** (n - i) end)"
+
+
 @query(
-    f"""select cast(user_id as varchar) as key, count(*) as n_events, arg_max(value, (ts, event_id)) filter (value is not null) as last_value from {EV} group by user_id"""
+    f"""select key, n_events, last_value, round(ema, 6) as ema from (select cast(user_id as varchar) as key, count(*) as n_events, arg_max(value, (ts, event_id)) filter (value is not null) as last_value from {EV} group by user_id)
+  left join (select cast(user_id as varchar) as key, {_EMA} as ema from (
+    select user_id, value, row_number() over (partition by user_id order by ts, event_id) as i, count(*) over (partition by user_id) as n from {EV} where value is not null) group by user_id) using (key)"""
 )
 def k4_stream_state(spark, d):
     """The same state kept by a stream over the files, drained; held against the batch twin."""
     files = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/events.parquet*")
-    return stream.drained(stream.last_values(files, "user_id"), "events-state").select("key", "n_events", "last_value")
+    return stream.drained(stream.last_values(files, "user_id"), "events-state").select("key", "n_events", "last_value", F.round("ema", 6).alias("ema"))
+
+
+_RUN = "(select *, (ts, event_id) as o from events where user_id is not null)"
+
+
+@query(
+    f"""with e as {_RUN}, r as (select user_id, max(o) filter (event_type = 'error') as r from e group by user_id),
+  v as (select user_id, {_EMA} as ema from (select user_id, value, row_number() over (partition by user_id order by o) as i, count(*) over (partition by user_id) as n from e where event_type = 'view' and value is not null) group by user_id),
+  p as (select user_id, o, event_type, case when event_type = 'purchase' and lag(event_type) over w = 'signup' then greatest(0.0e0, (epoch_us(ts) - epoch_us(lag(ts) over w)) / 1e6) end as s from e where event_type in ('signup', 'purchase') window w as (partition by user_id order by o)),
+  q as (select user_id, count(*) filter (event_type = 'signup') as begun, count(*) filter (event_type = 'purchase') as finished, coalesce(sum(s), 0) as seconds from p join r using (user_id) where r is null or o > r group by user_id),
+  l as (select user_id, count(*) as n_events, arg_max(event_id % 500, o) filter (event_type = 'view') as step, arg_max(value, o) filter (event_type = 'click' and value is not null) as samples_per_s from e group by user_id)
+select cast(user_id as varchar) as key, n_events, cast(step as int) as step, round(samples_per_s, 6) as samples_per_s, round(ema, 6) as ema, round(nullif(ema, 0) * greatest(0, 1000 - step), 6) as eta,
+  coalesce(begun, 0) as trials_begun, coalesce(finished, 0) as trials_finished, round(coalesce(seconds, 0), 3) as trial_seconds from l left join v using (user_id) left join q using (user_id)"""
+)
+def k3_boards(spark, d):
+    """K3 to K8: router, progress with moving average and ETA, throughput, trials and resets in one stateful processor.
+
+    The events stand in for a bus: a view is progress, a click throughput, signup and purchase begin and end a trial, an error begins a sweep.
+    """
+    files = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/events.parquet*")
+    kind, seconds = F.col("event_type"), F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    when = lambda k, v: F.when(kind == k, v)
+    bus = files.select(
+        "user_id", "event_id", seconds.alias("ts"),
+        when("view", F.lit("progress")).when(kind == "click", "throughput").alias("section"),
+        when("signup", F.lit("trial_begin")).when(kind == "purchase", "trial_end").when(kind == "error", "sweep_begin").alias("event"),
+        when("view", (F.col("event_id") % 500).cast("int")).alias("step"), when("view", F.lit(1000)).alias("total_steps"),
+        when("view", F.col("value")).alias("step_time"), when("click", F.col("value")).alias("samples_per_s"),
+    )
+    b = stream.drained(stream.boards(bus, "user_id", "event_id"), "boards")
+    rounded = [F.round(c, 6).alias(c) for c in ("samples_per_s", "ema", "eta")]
+    return b.select("key", "n_events", "step", *rounded, "trials_begun", "trials_finished", F.round("trial_seconds", 3).alias("trial_seconds"))
 
 
 @query(

@@ -95,6 +95,43 @@ def test_stream_state_equals_batch(spark, data, tmp_path):
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
 
 
+def test_boards_of_a_bus(spark, tmp_path):
+    """Lines over three files: bad ones passed over, fields kept, pairs, resets, sequence length."""
+    bus = [
+        {"ts": 1.0, "event": "sweep_begin", "total_jobs": 4},
+        {"ts": 2.0, "event": "trial_begin", "study_trials_total": 9},
+        {"ts": 3.0, "section": "progress", "event": "trial_end", "model": "m", "step": 10, "total_steps": 110, "step_time": 2.0, "loss": 0.5, "hp": {"seq_len": "256", "x": "y"}},
+        {"ts": 4.0, "section": "throughput", "step_time": 1.0, "tokens_per_s": 7.0},
+        {"ts": 5.5, "event": "trial_end"},
+        {"ts": 6.0, "event": "trial_end"},
+        {"ts": 7.0, "event": "sweep_job_begin"},
+        {"ts": 6.5, "event": "unknown"},
+        {"ts": 8.0, "event": "trial_begin"},
+        {"ts": 9.0, "section": "progress", "step": 20, "hp": {"max_length": "512", "seq_len": "1"}},
+    ]
+    for k, part in enumerate((bus[:4], bus[4:7], bus[7:])):
+        (tmp_path / f"in{k}.json").write_text("\n".join(json.dumps(x | {"stage": "r"}) for x in part) + "\nnot json\n\n")
+    lines = telemetry.tail(spark, str(tmp_path), files_a_batch=1).withColumn("run", F.col("stage"))
+    (b,) = telemetry.drained(telemetry.boards(lines, "run"), "b").collect()
+    assert (b.n_events, b.model, b.step, b.total_steps, b.loss, b.tokens_per_s, b.seq_len, b.hp) == (10, "m", 20, 110, 0.5, 7.0, 512, {"max_length": "512", "seq_len": "1"})
+    assert abs(b.ema - 1.9) < 1e-9 and abs(b.eta - 1.9 * 90) < 1e-9
+    assert (b.trials_begun, b.trials_finished, b.trial_seconds, b.trials_total) == (2, 2, 3.5, 9)
+    assert (b.jobs_begun, b.jobs_finished, b.jobs_total) == (1, 0, 4)
+    reset = telemetry.Board()
+    for e in (*bus, {"ts": 10.0, "event": "sweep_begin"}, {"ts": 11.0, "event": "trial_end"}):
+        reset.take(e)
+    c = reset.v["counts"]
+    assert (c["trial_begun"], c["trial_finished"], c["trial_seconds"]) == (0, 1, 3.0) and "job_total" not in c
+
+
+def test_shown_in_a_memory_sink(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"ts": 1.0, "event": "trial_begin", "stage": "r"}\n')
+    q = telemetry.shown(telemetry.boards(telemetry.tail(spark, str(tmp_path)), "stage"), "0 seconds", "board_now")
+    q.processAllAvailable()
+    q.stop()
+    assert [r.trials_begun for r in spark.table("board_now").collect()] == [1]
+
+
 def test_windowed_stream(spark, data, tmp_path):
     e = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.write.parquet(str(tmp_path / "in"))
