@@ -73,10 +73,10 @@ def masked(rows: DataFrame, texts: DataFrame, key: str, text: str, mask: str = M
 
 def evaluation_set(df: DataFrame, key: str, source: str, text: str, per_text: int = 3, quota: int = 800) -> DataFrame:
     """Second occurrences of repeated nouns in texts without pronouns: at most so many of a text, then of a source."""
-    found = repetitions(df.where(F.length(text) >= 100), key, text, ("NNP", "NNG"), [], True)
-    picked = found.where(F.col("entity_order") < per_text).select(key, "entity", "entity_order", F.col("positions")[1].alias("coref_pos"))
-    tied = picked.join(df.select(key, source), key)
-    return heads(tied, [source], [F.col(key), F.col("entity_order")], quota)
+    tied = df.where(F.length(text) >= 100).select(F.struct(key, source).alias("row"), text)
+    found = repetitions(tied, "row", text, ("NNP", "NNG"), [], True)
+    picked = found.where(F.col("entity_order") < per_text).select("row.*", "entity", "entity_order", F.col("positions")[1].alias("coref_pos"))
+    return heads(picked, [source], [F.col(key), F.col("entity_order")], quota)
 
 
 def first_pronoun(df: DataFrame, key: str, text: str, mask: str = MASK) -> DataFrame:

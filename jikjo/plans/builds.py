@@ -83,8 +83,8 @@ def domain_texts(spark: SparkSession, d: str, length: int = 512, most: int = DOM
 
 @query()
 def n3_domain_texts(spark, d):
-    """C7, D1, D4, F3 and I8 in one build."""
-    return domain_texts(spark, d)
+    """C7, D1, D4, F3 and I8 in one build, at a length of 128 words."""
+    return domain_texts(spark, d, 128)
 
 
 # --- N6: rows whose decoded head passes a gate -----------------------------------------

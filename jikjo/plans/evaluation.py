@@ -225,7 +225,7 @@ def g9_corpus_profile(spark, d):
 )
 def g11_before_after(spark, d):
     """What a gate keeps and gains, by source."""
-    v = quality.vector(docs(spark, d), "doc_id", "text").select("doc_id", "pronoun_count", "coref_score").join(docs(spark, d).select("doc_id", "source"), "doc_id")
+    v = quality.vector(docs(spark, d), "source", "text").select("source", "pronoun_count", "coref_score")
     ok = F.col("pronoun_count") >= 2
     g = v.groupBy("source").agg(F.count("*").alias("before_rows"), F.count_if(ok).alias("after_rows"), F.avg("coref_score").alias("b"), F.avg(F.when(ok, F.col("coref_score"))).alias("a"))
     return g.select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,39 @@ def folders(spark: SparkSession, base: str, name: str = "checkpoint-(\\d+)", mar
     return files.select(F.regexp_replace("path", "/" + marker.replace(".", "\\.") + "$", "").alias("folder"), number.alias("number")).where("number is not null").orderBy("number")
 
 
+def resolved(spark: SparkSession, base: str, length: int, name: str = "", marker: str = "dataset_info.json") -> str | None:
+    """The data set below ``base``: the file itself; else the folder's ``name``_``length``_coref_optimized.arrow, the
+    folder if it holds the marker, or its first child (by name) that does and has the length in its name; None if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    below = lambda p, n: spark._jvm.org.apache.hadoop.fs.Path(p, n)
+    if not system.exists(at):
+        return None
+    if not system.getFileStatus(at).isDirectory():
+        return base
+    exact = below(at, f"{name.replace('/', '_')}_{length}_coref_optimized.arrow")
+    if name and system.exists(exact):
+        return exact.toString()
+    if system.exists(below(at, marker)):
+        return base
+    children = sorted((s.getPath() for s in system.listStatus(at) if s.isDirectory()), key=lambda p: p.getName())
+    return next((p.toString() for p in children if str(length) in p.getName() and system.exists(below(p, marker))), None)
+
+
+def available(spark: SparkSession, parts: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(union by name of the sources that can be read, why the others can't): a source that fails is left out, not the load."""
+    out, failed = None, {}
+    for name, read in parts.items():
+        try:
+            df = read()
+        except (AnalysisException, PySparkException, ValueError) as e:
+            failed[name] = str(e).splitlines()[0]
+            continue
+        df = df.withColumn("source", F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out, failed
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED").csv(path)
 
@@ -81,4 +117,4 @@ def arrow_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
                     for part in parts:
                         yield part.select(names)
 
-    return files.repartition(max(1, files.count()), "path").mapInArrow(read, schema)
+    return files.repartition("path").mapInArrow(read, schema)

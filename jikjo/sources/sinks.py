@@ -30,6 +30,17 @@ def results_json(df: DataFrame, path: str, best: DataFrame) -> None:
     rows.join(F.broadcast(tops)).select(F.to_json(F.struct("best", "results")).alias("value")).coalesce(1).write.text(path)
 
 
+def summary(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Rows by group as one JSON file: what a build has made."""
+    rows.groupBy(*by).agg(F.count("*").alias("rows")).orderBy(*by).coalesce(1).write.json(path)
+
+
+def sweep(jobs: DataFrame, path: str, failed: str = "rc <> 0") -> None:
+    """The jobs of a sweep as JSON lines in the order of their number, and beside them (``path``-summary) how many ran and failed, and their seconds."""
+    jobs.orderBy("job_id").coalesce(1).write.json(path)
+    jobs.agg(F.count("*").alias("jobs"), F.count_if(F.expr(failed)).alias("failed"), F.sum("seconds").alias("seconds")).coalesce(1).write.json(f"{path}-summary")
+
+
 def results_csv(df: DataFrame, path: str, digits: int = 4) -> None:
     """CSV with a header; doubles with so many digits."""
     shown = [fixed(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]

@@ -27,6 +27,14 @@ SECTIONS = ("progress", "throughput", "system", "eval_stream", "dataset_progress
 EVENTS = ("trial_begin", "trial_end", "sweep_begin", "sweep_job_begin", "sweep_job_end")
 
 
+def bus_folder(spark: SparkSession, option: str = "jikjo.bus") -> str:
+    """The folder of the bus: the session's setting, blank counting as none, else ``bus`` in the shared folder; made if it isn't there."""
+    where = (spark.conf.get(option, "") or "").strip() or f"{shared_dir(spark)}/bus"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return where
+
+
 def tail(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
     """New lines of the folder's files, as they arrive."""
     lines = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_a_batch).option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,7 @@ def test_boards_of_a_bus(spark, tmp_path):
     ]
     for k, part in enumerate((bus[:4], bus[4:7], bus[7:])):
         (tmp_path / f"in{k}.json").write_text("\n".join(json.dumps(x | {"stage": "r"}) for x in part) + "\nnot json\n\n")
+        os.utime(tmp_path / f"in{k}.json", (1000 + k, 1000 + k))  # files are taken in this order
     lines = telemetry.tail(spark, str(tmp_path), files_a_batch=1).withColumn("run", F.col("stage"))
     (b,) = telemetry.drained(telemetry.boards(lines, "run"), "b").collect()
     assert (b.n_events, b.model, b.step, b.total_steps, b.loss, b.tokens_per_s, b.seq_len, b.hp) == (10, "m", 20, 110, 0.5, 7.0, 512, {"max_length": "512", "seq_len": "1"})
@@ -163,3 +165,54 @@ def test_stored_tables_are_released(spark):
     path = storage._stored[-1].removeprefix("file://")
     assert Path(path).exists()
     assert storage.release(spark) > 0 and not Path(path).exists()
+
+
+def test_resolved_paths(spark, tmp_path):
+    at = str(tmp_path / "base")
+    assert readers.resolved(spark, at, 1024) is None
+    (tmp_path / "base/run_1024").mkdir(parents=True)
+    assert readers.resolved(spark, at, 1024) is None
+    (tmp_path / "base/run_1024/dataset_info.json").write_text("{}")
+    assert readers.resolved(spark, at, 1024).endswith("/run_1024") and readers.resolved(spark, at, 2048) is None
+    (tmp_path / "base/dataset_info.json").write_text("{}")
+    assert readers.resolved(spark, at, 2048) == at
+    (tmp_path / "base/a_b_2048_coref_optimized.arrow").mkdir()
+    assert readers.resolved(spark, at, 2048, "a/b").endswith("a_b_2048_coref_optimized.arrow")
+    assert readers.resolved(spark, f"{at}/dataset_info.json", 1) == f"{at}/dataset_info.json"
+
+
+def test_sources_that_fail_are_left_out(spark, data, tmp_path):
+    good = lambda: spark.read.parquet(f"{data}/lambada.parquet").select("item_id")
+    lacking = lambda: readers.stored_table(spark, f"{data}/lambada.parquet", ["nothing"])
+    df, failed = readers.available(spark, {"a": good, "gone": lambda: spark.read.parquet(str(tmp_path / "gone")), "lacking": lacking, "b": good})
+    assert {r.source: r["count"] for r in df.groupBy("source").count().collect()} == {"a": 300, "b": 300} and set(failed) == {"gone", "lacking"}
+    assert readers.available(spark, {"gone": lambda: spark.read.parquet(str(tmp_path / "gone"))})[0] is None
+
+
+def test_summaries(spark, tmp_path):
+    sinks.summary(spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "source string, target int"), str(tmp_path / "s"), ["source", "target"])
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "s")).select("source", "target", "rows").orderBy("source").collect()] == [("a", 1, 2), ("b", 2, 1)]
+    sinks.sweep(spark.createDataFrame([(2, 1, 3.0), (1, 0, 2.0)], "job_id int, rc int, seconds double"), str(tmp_path / "w"))
+    assert tuple(spark.read.json(str(tmp_path / "w-summary")).select("jobs", "failed", "seconds").first()) == (2, 1, 5.0)
+
+
+def test_bus_folder(spark, tmp_path):
+    from pathlib import Path
+
+    spark.conf.set("jikjo.bus", "  ")
+    assert telemetry.bus_folder(spark).endswith("/bus")
+    spark.conf.set("jikjo.bus", f"file://{tmp_path}/x/bus")
+    assert telemetry.bus_folder(spark) == f"file://{tmp_path}/x/bus" and Path(tmp_path, "x/bus").is_dir()
+    spark.conf.unset("jikjo.bus")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from jikjo import storage
+
+    lacking = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        storage.shared_dir(lacking)
