@@ -1,9 +1,12 @@
 """Sentence boundaries across languages and scripts, by a finite transducer.
 
-A lexer with a bounded context (``HALO`` characters on either side) turns a text
-into events: end marks that do end a sentence, openings and closings of quotations
-with what follows them, line breaks, sentence endings without a mark, other text.
-A table over (state, event) gives the next state and whether a sentence ends.
+Boundary rules are data: ``MARK_RULES`` say by what stands before and after which marks
+end a sentence (abbreviations, decimals, dates, initials), ``FOLLOW_RULES`` what a
+closing mark is followed by.  They are compiled into one automaton each, with a bounded
+context (``HALO`` characters on either side), and turn a text into events: end marks
+that do end a sentence, openings and closings of quotations with what follows them,
+line breaks, sentence endings without a mark, other text.  A table over (state, event),
+compiled from ``step``, gives the next state and whether a sentence ends.
 
 Documents are cut into chunks of about ``CHUNK`` characters, between events.  Of a
 document of one chunk the entry state is known, and it is run at once.  Else each chunk
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,66 +62,64 @@ _LEX = re.compile(
     rf"|(?P<ko>(?<=[가-힣])(?:{'|'.join(KOREAN_ENDINGS)})(?:[~♡♥^]++|[ ]?[ㅋㅎㅠㅜ]{{2,}}+|[ ]?[\U0001F300-\U0001FAFF])*+(?=\s))"
     r"|(?P<th>(?<=[฀-๿])[^\S\n\r]+)"
 )
-_SPACES = re.compile(r"[^\S\n\r\v\f\x1c-\x1e\x85\u2028\u2029]*")
-_PARTICLE = re.compile(r"(?:이?라(?:고|는|며|던|면|니)|(?:고|며|은|는|이|가|을|를|에|에서|의|와|과|도|로|으로|란|하고|하며)(?=\s))")
-_DATE_BEFORE = re.compile(r"(?:^|\D)\d{4}\.\s?\d{1,2}(?:\.\s?\d{1,2})?$")
-_DATE_AFTER = re.compile(r"\s?\d{1,2}\.")
-_MONTH_AFTER = re.compile(rf"\s(?:{MONTHS})")
-_WORD_BEFORE = re.compile(r"[^\W\d_]+$|[ऀ-ॿ]+$")
-_NUMBER_BEFORE = re.compile(r"\d+$")
-
-
-def _ends(x: str, a: int, b: int) -> bool:
-    """Whether the marks x[a:b] end a sentence, by their surroundings."""
-    marks = x[a:b]
-    rest = _SPACES.match(x, b).end()
-    after = x[rest] if rest < len(x) else ""
-    if not after or re.match(_LINE, after):
-        return True
-    lower = after.isascii() and after.islower() and rest > b
-    if marks != ".":
-        return not (lower and marks[0] in ".…")
-    before, nxt = x[a - 1] if a else "", x[b] if b < len(x) else ""
-    if nxt.isalnum():
-        if before.isascii() or nxt == "." or not before:
-            return False
-        return not before.isdigit() and not "ऀ" <= before <= "ॿ"
-    if nxt in ",;:-/%" and nxt:
-        return False
-    if "ऀ" <= before <= "ॿ" or lower:
-        return False
-    near = x[max(0, a - 24) : a]
-    if m := _NUMBER_BEFORE.search(near):
-        n = m[0]
-        if _DATE_BEFORE.search(near) and not (after.isascii() and after.isupper()):
-            return False
-        if len(n) == 4 and _DATE_AFTER.match(x, b):
-            return False
-        return not (len(n) <= 2 and _MONTH_AFTER.match(x, b))
-    if m := _WORD_BEFORE.search(near):
-        w = m[0]
-        if w in ABBREVIATIONS or (len(w) == 1 and w.isascii() and w.isupper()):
-            return False
-        # letters of an abbreviation with inner stops
-        return not re.search(r"(?:^|\W)(?:[A-Za-z]\.)+[A-Za-z]$", near)
-    return True
+# --- the rules, compiled ----------------------------------------------------------
+
+_S = r"[^\S\n\r\v\f\x1c-\x1e\x85\u2028\u2029]"  # space within a line
+_M = "[.!?。！？…।॥｡]"
+_ABBREVIATED = "|".join(sorted((w for w in ABBREVIATIONS if w.isascii()), key=lambda w: (-len(w), w)))
+_PARTICLE = r"이?라(?:고|는|며|던|면|니)|(?:고|며|은|는|이|가|을|를|에|에서|의|와|과|도|로|으로|란|하고|하며)(?=\s)"
+
+#: What end marks do, the first rule that holds deciding: name, what stands before, the marks, what stands after, the event.
+MARK_RULES = [
+    ("end of line", "", f"{_M}++", rf"{_S}*+(?:\Z|{_LINE})", "end"),
+    ("dots in a sentence", "", rf"(?:\.{_M}++|…{_M}*+)", rf"{_S}+[a-z]", "text"),
+    ("other marks", "", rf"(?!\.(?!{_M})){_M}++", "", "end"),
+    ("inside an ASCII word or number", r"(?:\A|[\x00-\x7f])", r"\.", r"[\p{L}\p{N}]", "text"),
+    ("inside another word or number", r"[\p{N}ऀ-ॿ]", r"\.", r"[\p{L}\p{N}]", "text"),
+    ("joined to the next sentence", "", r"\.", r"[\p{L}\p{N}]", "end"),
+    ("before another mark", "", r"\.", "[,;:/%-]", "text"),
+    ("Devanagari abbreviation", "[ऀ-ॿ]", r"\.", "", "text"),
+    ("before a small letter", "", r"\.", f"{_S}+[a-z]", "text"),
+    ("end of a date", r"(?:\A|\D)\d{4}\.\s?\d{1,2}(?:\.\s?\d{1,2})?", r"\.", f"(?!{_S}*[A-Z])", "text"),
+    ("year of a date", r"(?<!\d)\d{4}", r"\.", r"\s?\d{1,2}\.", "text"),
+    ("day of a month", r"(?<!\d)\d{1,2}", r"\.", rf"\s(?:{MONTHS})", "text"),
+    ("after a number", r"\d", r"\.", "", "end"),
+    ("abbreviation", rf"(?<![^\W\d_])(?:{_ABBREVIATED})", r"\.", "", "text"),
+    ("initial", r"(?<![^\W\d_])[A-Z]", r"\.", "", "text"),
+    ("letters with stops", r"(?:\A|\W)(?:[A-Za-z]\.)+[A-Za-z]", r"\.", "", "text"),
+    ("full stop", "", r"\.", "", "end"),
+]
+#: What stands after a closing mark: what follows it (further closing marks passed over), the class.
+FOLLOW_RULES = [
+    (rf"{_S}*+(?:\Z|{_LINE})", "eol"),
+    (_PARTICLE, "joined"),
+    (r"[가-힣]|\d|[A-Z]|[" + re.escape("".join(PAIRS)) + "]", "apart"),
+    (r"\S", "joined"),
+    (f"{_S}+[a-zऀ-ॿ,;:]", "joined"),
+    (f"{_S}+[A-Z]", "upper"),
+    ("", "apart"),
+]
+
+
+def _compiled_rules(parts: list[str]) -> regex.Pattern:
+    """One automaton for all rules; the group that matched names the rule."""
+    return regex.compile("|".join(f"(?P<r{k}>{p})" for k, p in enumerate(parts)))
+
+
+_ENDS = _compiled_rules([(f"(?<={before})" if before else "") + marks + (f"(?={after})" if after else "") for _, before, marks, after, _ in MARK_RULES])
+_FOLLOWS = _compiled_rules([f"[{re.escape(_CLOSERS)}]*+(?:{after})" if after else "" for after, _ in FOLLOW_RULES])
+_MARK_EVENT = {f"r{k}": r[-1] == "end" for k, r in enumerate(MARK_RULES)}
+_FOLLOW_CLASS = {f"r{k}": c for k, (_, c) in enumerate(FOLLOW_RULES)}
+
+
+def _ends(x: str, a: int) -> bool:
+    """Whether the marks that begin at x[a] end a sentence."""
+    return _MARK_EVENT[_ENDS.match(x, a).lastgroup]
 
 
 def _follow(x: str, b: int) -> str:
-    """What stands after a closing mark: a line's end, an uppercase or lowercase word, a word apart, text attached."""
-    while b < len(x) and x[b] in _CLOSERS:
-        b += 1
-    rest = _SPACES.match(x, b).end()
-    if rest >= len(x) or re.match(_LINE, x[rest]):
-        return "eol"
-    c = x[rest]
-    if rest == b:
-        if "가" <= c <= "힣":
-            return "joined" if _PARTICLE.match(x, b) else "apart"
-        return "apart" if c in PAIRS or c.isdigit() or (c.isascii() and c.isupper()) else "joined"
-    if (c.isascii() and c.islower()) or "ऀ" <= c <= "ॿ" or c in ",;:":
-        return "joined"
-    return "upper" if c.isascii() and c.isupper() else "apart"
+    """What stands after a closing mark that ends at b: a line's end, an uppercase or lowercase word, a word apart, text attached."""
+    return _FOLLOW_CLASS[_FOLLOWS.match(x, b).lastgroup]
 
 
 Symbol = tuple[str, str, str]
@@ -180,7 +182,7 @@ def events(x: str, lo: int, hi: int) -> Iterator[tuple[Symbol, int, int]]:
         if what == "nl":
             yield _NL, a, a
         elif what == "end":
-            if _ends(x, a, b):
+            if _ends(x, a):
                 e = b
                 while e < len(x) and x[e] in _CLOSERS:
                     e += 1
