@@ -187,4 +187,24 @@ P1_SQL = " union ".join(
   then ['oversized', 'no_boundary'] else ['oversized'] end) as case_kind from {name} where length({text}) > 2000 and {key} is not null"""
     for name, key, text in LONG
 )
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p4_sample": P4_SQL}
+#: What NFKC does to the characters that occur beyond NFC: the full-width forms, and a few letters.
+_ALNUM = "".join(chr(k) for k in range(0x21, 0x7F) if chr(k).isalnum())
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _ALNUM) + "ⓒำ", _ALNUM + "cา"
+_KEPT = r"regexp_replace(lower(translate(nfc_normalize({}), '%s', '%s')), '[^\p{{L}}\p{{N}}]', '', 'g')" % _WIDE
+_NEAR = f"""kept as materialized ({" union all ".join(f"select '{name}' as rec_table, {key} as id, {_KEPT.format(text)} as k from (select distinct {key}, {text} from {name} where {key} is not null)" for name, key, text in COPIED)}),
+  texts as materialized (select rec_table, k, min(id) as rep, list(id) as ids from kept where length(k) >= 200 group by all),
+  grams as materialized (select distinct rec_table, rep, hash(substr(k, i, 5)) as g from (select rec_table, rep, k, unnest(range(1, length(k) - 3)) as i from texts)),
+  sizes as (select rec_table, rep, count(*) as n from grams group by all),
+  common as (select a.rec_table, a.rep as a, b.rep as b, count(*) as m from grams a join grams b on a.rec_table = b.rec_table and a.g = b.g and a.rep < b.rep group by all),
+  links as materialized (select m.rec_table, m.a, m.b from common m join sizes x on x.rec_table = m.rec_table and x.rep = m.a join sizes y on y.rec_table = m.rec_table and y.rep = m.b where m.m >= 0.6 * (x.n + y.n - m.m))"""
+P3_SQL = f"""with {_NEAR}, each as (select rec_table, rep, unnest(ids) as i from texts), pairs as (select * from links union all select rec_table, rep, rep from texts)
+select distinct l.rec_table, least(x.i, y.i) as id_a, greatest(x.i, y.i) as id_b from pairs l
+join each x on x.rec_table = l.rec_table and x.rep = l.a join each y on y.rec_table = l.rec_table and y.rep = l.b where x.i <> y.i"""
+P3_CLASSES_SQL = f"""with recursive {_NEAR}, ways as (select rec_table, a, b from links union all select rec_table, b, a from links),
+  reach as (select rec_table, rep, rep as other from texts union select r.rec_table, r.rep, w.b from reach r join ways w on w.rec_table = r.rec_table and w.a = r.other),
+  classes as (select rec_table, rep, min(other) as class_id from reach group by all),
+  degree as (select w.rec_table, w.a as rep, sum(len(t.ids)) as n from ways w join texts t on t.rec_table = w.rec_table and t.rep = w.b group by all)
+select t.rec_table, unnest(t.ids) as id, c.class_id, cast(len(t.ids) - 1 + coalesce(d.n, 0) as bigint) as n_links from texts t join classes c using (rec_table, rep) left join degree d using (rec_table, rep)
+union all select rec_table, unnest(ids), least_id, cast(len(ids) - 1 as bigint) from (select rec_table, list(id) as ids, min(id) as least_id from kept where length(k) between 1 and 199 group by rec_table, k)
+union all select rec_table, id, id, 0 from kept where coalesce(k, '') = ''"""
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_classes": P3_CLASSES_SQL, "p4_sample": P4_SQL}
