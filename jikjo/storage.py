@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` written once as Parquet under the shared folder, and read back."""
+def stored(df: DataFrame, name: str, codec: str = "snappy", **options: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder, and read back.  ``options``: the writer's."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     _stored.append(path)
-    df.write.parquet(path, compression=codec)
+    df.write.options(**options).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
