@@ -249,8 +249,8 @@ def _search(items: Items, share: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                shard = Shard(*row)
+            for k in range(b.num_rows):
+                shard = Shard(*(c[k].as_py() for c in b.columns))
                 out: list[tuple] = []
                 for d, i in zip(*(x.tolist() for x in shard.candidates(items))):
                     mine = slice(begin[i], begin[i + 1])
