@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jikjo.plans import builds, corpus, evaluation, mining, telemetry  # noqa: F401
+from jikjo.plans import builds, corpus, evaluation, mining, telemetry, variants  # noqa: F401
 from jikjo.plans.registry import QUERIES, SQL
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]
