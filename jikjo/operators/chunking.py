@@ -1,4 +1,8 @@
-"""Chunks of texts: every fold is an aggregate() over an array in the JVM; its state holds finished chunks and the open one.
+"""Chunks of texts: every fold is an aggregate() over an array in the JVM.
+
+A fold sees the sizes of the units only.  Its state is where the open chunk begins, how
+large it is, and the bounds of the finished ones: numbers, so that no text is copied
+from step to step.  The texts of the chunks are slices of the units.
 
 Sizes are in words unless the array holds something else: ``units`` says how a text
 is cut into the units that are counted.
@@ -16,6 +20,34 @@ def _size(x: Column) -> Column:
     return F.size(T.words(x))
 
 
+def _packed(sizes: Column, step, last) -> Column:
+    """Bounds (a, b) of chunks of units a .. b - 1.
+
+    ``step(s, n)`` is the struct that follows state ``s`` (cuts, a, i, n) when unit
+    ``s.i`` of size ``n`` comes, ``last(s)`` whether the chunk open at the end is given.
+    """
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(none.alias("cuts"), F.lit(0).alias("a"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+    return F.aggregate(sizes, start, step, lambda s: F.when(last(s), F.concat(s["cuts"], _cut(s["a"], s["i"]))).otherwise(s["cuts"]))
+
+
+def _cut(a: Column, b: Column) -> Column:
+    return F.array(F.struct(a.alias("a"), b.alias("b")))
+
+
+def _state(cuts: Column, a: Column, i: Column, n: Column) -> Column:
+    return F.struct(cuts.alias("cuts"), a.alias("a"), (i + 1).alias("i"), n.alias("n"))
+
+
+def _over(units: Column, size, step, last, text) -> Column:
+    """The texts of chunks: ``text(units, a, b)`` for each pair of bounds; the units are computed once."""
+    return _once(units, lambda u: F.transform(_packed(F.transform(u, size), step, last), lambda c: text(u, c["a"], c["b"])))
+
+
+def _joined(u: Column, a: Column, b: Column, by: str = " ") -> Column:
+    return F.array_join(F.slice(u, a + 1, b - a), by)
+
+
 def greedy(sentences: Column, limit: int, least: float = 0.3) -> Column:
     """Sentences packed up to ``limit`` words: array<string>.
 
@@ -24,36 +56,35 @@ def greedy(sentences: Column, limit: int, least: float = 0.3) -> Column:
     """
     floor = F.lit(least * limit)
 
-    def add(s: Column, x: Column) -> Column:
-        n = _size(x)
-        done, cur, size = s["done"], s["cur"], s["size"]
-        flushed = F.when((cur != "") & (size > floor), F.concat(done, F.array(T.strip(cur)))).otherwise(done)
-        cut = F.array_join(F.slice(T.words(x), 1, limit), " ")
-        long = F.struct(F.concat(flushed, F.array(cut)).alias("done"), F.lit("").alias("cur"), F.lit(0).alias("size"))
-        new = F.struct(flushed.alias("done"), x.alias("cur"), n.alias("size"))
-        more = F.struct(done.alias("done"), F.concat(cur, F.lit(" "), x).alias("cur"), (size + n).alias("size"))
-        return F.when(n > limit, long).when((size + n > limit) & (cur != ""), new).otherwise(more)
+    def given(s: Column) -> Column:
+        return (s["a"] < s["i"]) & (s["n"] > floor)
+
+    def step(s: Column, n: Column) -> Column:
+        i = s["i"]
+        flushed = F.when(given(s), F.concat(s["cuts"], _cut(s["a"], i))).otherwise(s["cuts"])
+        long = _state(F.concat(flushed, _cut(i, i + 1)), i + 1, i, F.lit(0))
+        return F.when(n > limit, long).when((s["n"] + n > limit) & (s["a"] < i), _state(flushed, i, i, n)).otherwise(_state(s["cuts"], s["a"], i, s["n"] + n))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("size"))
-    end = lambda s: F.when((s["cur"] != "") & (s["size"] > floor), F.concat(s["done"], F.array(T.strip(s["cur"])))).otherwise(s["done"])
-    return F.aggregate(sentences, start, add, end)
+    def text(u: Column, a: Column, b: Column) -> Column:
+        w = T.words(F.get(u, a))
+        return F.when((b - a == 1) & (F.size(w) > limit), F.array_join(F.slice(w, 1, limit), " ")).otherwise(T.strip(_joined(u, a, b)))
+
+    return _over(sentences, _size, step, given, text)
 
 
 def loose(sentences: Column, limit: int, least: float = 0.6) -> Column:
     """As ``greedy`` but a long sentence isn't cut: a chunk may pass the limit."""
     floor = F.lit(least * limit)
 
-    def add(s: Column, x: Column) -> Column:
-        n = _size(x)
-        done, cur, size = s["done"], s["cur"], s["size"]
-        flushed = F.when(size >= floor, F.concat(done, F.array(T.strip(cur)))).otherwise(done)
-        new = F.struct(flushed.alias("done"), x.alias("cur"), n.alias("size"))
-        more = F.struct(done.alias("done"), F.concat(cur, F.lit(" "), x).alias("cur"), (size + n).alias("size"))
-        return F.when((size + n > limit) & (cur != ""), new).otherwise(more)
+    def given(s: Column) -> Column:
+        return (s["a"] < s["i"]) & (s["n"] >= floor)
+
+    def step(s: Column, n: Column) -> Column:
+        i = s["i"]
+        flushed = F.when(given(s), F.concat(s["cuts"], _cut(s["a"], i))).otherwise(s["cuts"])
+        return F.when((s["n"] + n > limit) & (s["a"] < i), _state(flushed, i, i, n)).otherwise(_state(s["cuts"], s["a"], i, s["n"] + n))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("size"))
-    end = lambda s: F.when((s["cur"] != "") & (s["size"] >= floor), F.concat(s["done"], F.array(T.strip(s["cur"])))).otherwise(s["done"])
-    return F.aggregate(sentences, start, add, end)
+    return _over(sentences, _size, step, given, lambda u, a, b: T.strip(_joined(u, a, b)))
 
 
 def windows(units: Column, size: int, overlap: int, least: float = 0.7) -> Column:
@@ -82,34 +113,28 @@ def segments(parts: Column, target: int, least: float = 0.7) -> Column:
     """Segments packed whole: a chunk ends before the segment that would pass the target, and is cut to it: array<string>."""
     floor = int(least * target)
 
-    def first(x: Column) -> Column:
-        return F.array_join(F.slice(T.words(x), 1, target), " ")
+    def given(s: Column) -> Column:
+        return (s["n"] > 0) & (s["n"] >= floor)
 
-    def add(s: Column, x: Column) -> Column:
-        n = _size(x)
-        flushed = F.when(s["size"] >= floor, F.concat(s["done"], F.array(first(s["cur"])))).otherwise(s["done"])
-        new = F.struct(flushed.alias("done"), x.alias("cur"), n.alias("size"))
-        more = F.struct(s["done"].alias("done"), F.when(s["size"] == 0, x).otherwise(F.concat(s["cur"], F.lit(" "), x)).alias("cur"), (s["size"] + n).alias("size"))
-        return F.when((s["size"] > 0) & (s["size"] + n > target), new).otherwise(more)
+    def step(s: Column, n: Column) -> Column:
+        i = s["i"]
+        flushed = F.when(given(s), F.concat(s["cuts"], _cut(s["a"], i))).otherwise(s["cuts"])
+        more = _state(s["cuts"], F.when(s["n"] == 0, i).otherwise(s["a"]), i, s["n"] + n)
+        return F.when((s["n"] > 0) & (s["n"] + n > target), _state(flushed, i, i, n)).otherwise(more)
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("size"))
-    end = lambda s: F.when((s["size"] > 0) & (s["size"] >= floor), F.concat(s["done"], F.array(first(s["cur"])))).otherwise(s["done"])
-    return F.aggregate(parts, start, add, end)
+    return _over(parts, _size, step, given, lambda u, a, b: F.array_join(F.slice(T.words(_joined(u, a, b)), 1, target), " "))
 
 
 def merged_paragraphs(parts: Column, least: int, most: int, joiner: str = "\n\n") -> Column:
     """Short paragraphs joined to the next until ``least`` characters; those over ``most`` dropped; the last needs both bounds."""
 
-    def add(s: Column, x: Column) -> Column:
-        done, cur = s["done"], s["cur"]
-        kept = F.when(F.length(cur) <= most, F.concat(done, F.array(cur))).otherwise(done)
-        begin = F.struct(done.alias("done"), x.alias("cur"))
-        join = F.struct(done.alias("done"), F.concat(cur, F.lit(joiner), x).alias("cur"))
-        return F.when(cur == "", begin).when(F.length(cur) < least, join).otherwise(F.struct(kept.alias("done"), x.alias("cur")))
+    def step(s: Column, n: Column) -> Column:
+        i = s["i"]
+        kept = F.when(s["n"] <= most, F.concat(s["cuts"], _cut(s["a"], i))).otherwise(s["cuts"])
+        joined = _state(s["cuts"], s["a"], i, s["n"] + len(joiner) + n)
+        return F.when(s["n"] == 0, _state(s["cuts"], i, i, n)).when(s["n"] < least, joined).otherwise(_state(kept, i, i, n))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-    end = lambda s: F.when(F.length(s["cur"]).between(least, most), F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"])
-    return F.aggregate(parts, start, add, end)
+    return _over(parts, F.length, step, lambda s: s["n"].between(least, most), lambda u, a, b: _joined(u, a, b, joiner))
 
 
 def routed(text: Column, limit: int, truncate: float = 1.5, least: float = 0.3) -> Column:

@@ -202,3 +202,15 @@ def test_d8_number_format(spark):
     assert one(spark, T.fixed(F.col("v"), 4), v=1234.56785) == "%.4f" % 1234.56785
 
 
+
+
+def test_chunkers_of_a_long_text(spark):
+    """Some hundred thousand words: the folds hold numbers only, so it takes seconds."""
+    import time
+
+    text = "한 문장이 여기에 있다고 그는 말했다. " * 40_000
+    df = spark.createDataFrame([(text,)], "text string")
+    s = T.scan_sentences(F.col("text"))
+    began = time.time()
+    r = df.select(F.size(chunking.greedy(s, 64)).alias("a"), F.size(chunking.loose(s, 64)).alias("b"), F.size(chunking.segments(s, 64)).alias("c")).first()
+    assert r.a == r.b == 4000 and r.c == 4000 and time.time() - began < 60
