@@ -9,7 +9,7 @@ text's units gives runs of one chain.
 
 A run is undone by the inverse of the chain predicted for it.  Only where that isn't
 strictly decodable, or doesn't read better to the classifier than before, the other
-chains follow in the order of their likelihood; ``fallbacks`` counts the parts of a
+chains of UTF-8 and those that the run is evidence for follow in the order of their likelihood; ``fallbacks`` counts the parts of a
 record for which that was needed.  Rounds go on until nothing changes, as one chain may
 stand on top of another.  A chain that can't be undone has no such proof: replaced
 marks count as evidence once for each different unit.
@@ -39,10 +39,10 @@ from jikjo.functions.codepoints import slices
 TRAIN, TRAIN_CHARS = 1_500, 300
 BUCKETS = 1 << 14
 UNIT = 24
-#: Log odds that a change of chain between neighbouring units must make up for, and that a run must bring in all.
-SWITCH, MARGIN = 9.0, 20.0
+#: Log odds that a run must make up for to be entered, and that it must bring in all.
+ENTER, MARGIN = 18.0, 20.0
 #: The same for UTF-8 read otherwise: that it decodes strictly is nearly a proof.
-MARGIN_UTF8 = 9.0
+ENTER_UTF8, MARGIN_UTF8 = 16.0, 9.0
 #: Log odds of a unit for its text to be looked at further.
 HINT = 5.0
 #: Without such a proof each different unit counts once, at most so much for each different character of it; a unit of question marks so much.
@@ -164,6 +164,8 @@ def _families() -> tuple[np.ndarray, list[list[int]]]:
 
 
 FAMILY, MEMBERS = _families()
+#: What it costs to enter a family's run; clean text (0) is entered freely.
+_COST = np.array([0.0] + [ENTER_UTF8 if CHAINS[m[0]].steps[0][0] == "utf-8" else ENTER for m in MEMBERS], np.float32)
 
 #: For the choice of clean training samples only: characters that hint at a chain.
 _TRACE = re.compile(
@@ -290,7 +292,7 @@ def suspects(model: Model, texts: list[str]) -> list[tuple[int, np.ndarray]]:
 
 @dataclass
 class Run:
-    """A garbled run of a text, its chain, and all chains by their likelihood there."""
+    """A garbled run of a text, its chain, and the chains that may take its place, by their likelihood: those of UTF-8, whose decoding is a proof, and those there is evidence for."""
 
     start: int
     end: int
@@ -329,35 +331,34 @@ def runs(model: Model, x: str, ll: np.ndarray | None = None) -> list[Run]:
                 most = {u: np.inf if "�" in u else CAP_MARKS if marks else CAP_CHAR * len(set(u)) for u in once}
                 enough = sum(min(o, most[u]) for u, o in once.items()) >= MARGIN
             if enough:
-                order = np.argsort(-each[i:j].sum(0), kind="stable")
-                out.append(Run(at[i][0], at[j - 1][1], chain, [CHAINS[k] for k in order]))
+                whole = each[i:j].sum(0)
+                able = [k for k in np.argsort(-whole, kind="stable") if CHAINS[k].steps[0][0] == "utf-8" or whole[k] >= MARGIN]
+                out.append(Run(at[i][0], at[j - 1][1], chain, [CHAINS[k] for k in able]))
         i = j
     return out
 
 
 def _stretches(odds: np.ndarray) -> list[tuple[int, int]]:
-    """Where the best path may leave clean text.  It crosses no stretch that loses more than two changes of chain cost, and gains one at least."""
+    """Where the best path may leave clean text.  It crosses no stretch that loses more than it costs to enter again, and gains at least what it costs once."""
     top = odds[:, 1:].max(1)
     some = np.flatnonzero(top > 0)
     if not len(some):
         return []
     total = np.cumsum(np.minimum(top, 0))
-    cut = np.flatnonzero(np.diff(total[some]) < -2 * SWITCH) + 1
+    cut = np.flatnonzero(np.diff(total[some]) < -ENTER) + 1
     parts = np.split(some, cut)
-    return [(int(p[0]), int(p[-1]) + 1) for p in parts if top[p].sum() > SWITCH]
+    return [(int(p[0]), int(p[-1]) + 1) for p in parts if top[p].sum() > ENTER_UTF8]
 
 
 def _best_path(odds: np.ndarray) -> np.ndarray:
     n, m = odds.shape
-    best, back = odds[0].copy(), np.zeros((n, m), np.int8)
-    best[1:] -= SWITCH
+    best, back = odds[0] - _COST, np.zeros((n, m), np.int8)
     same = np.arange(m)
     for i in range(1, n):
         top = int(best.argmax())
-        least = best[top] - SWITCH
+        least = best[top] - _COST
         back[i] = np.where(best >= least, same, top)
         best = np.maximum(best, least) + odds[i]
-    best[1:] -= SWITCH
     path, c = np.zeros(n, int), int(best.argmax())
     for i in range(n - 1, -1, -1):
         path[i] = c
