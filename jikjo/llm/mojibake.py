@@ -45,7 +45,7 @@ ENTER, MARGIN = 18.0, 20.0
 ENTER_UTF8, MARGIN_UTF8 = 16.0, 9.0
 #: Log odds of a unit for its text to be looked at further.
 HINT = 5.0
-#: Without such a proof each different unit counts once, at most so much for each different character of it; a unit of question marks so much.
+#: Without such a proof each different unit counts once, and all at most so much for each different character beyond ASCII; a unit of question marks so much.
 CAP_CHAR, CAP_MARKS = 4.0, 8.0
 
 
@@ -290,6 +290,11 @@ def suspects(model: Model, texts: list[str]) -> list[tuple[int, np.ndarray]]:
     return out
 
 
+def _proved(chain: Chain) -> bool:
+    """That it decodes strictly is nearly a proof: only of UTF-8."""
+    return chain.steps[0][0] == "utf-8"
+
+
 @dataclass
 class Run:
     """A garbled run of a text, its chain, and the chains that may take its place, by their likelihood: those of UTF-8, whose decoding is a proof, and those there is evidence for."""
@@ -298,6 +303,7 @@ class Run:
     end: int
     chain: Chain
     ranked: list[Chain]
+    weak: bool  # ``chain`` isn't the predicted one, which there is too little evidence for
 
 
 def runs(model: Model, x: str, ll: np.ndarray | None = None) -> list[Run]:
@@ -321,19 +327,24 @@ def runs(model: Model, x: str, ll: np.ndarray | None = None) -> list[Run]:
         while j < n and path[j] == path[i]:
             j += 1
         if path[i]:
-            chain = CHAINS[exact[int(path[i])]]
-            mine = odds[i:j, path[i]]
-            if chain.steps[0][0] == "utf-8":
+            chain, weak = CHAINS[exact[int(path[i])]], False
+            mine, whole = odds[i:j, path[i]], each[i:j].sum(0)
+            if _proved(chain):
                 enough = mine.sum() >= MARGIN_UTF8
             else:
                 once = {x[a:b]: float(o) for (a, b), o in zip(at[i:j], mine)}
                 marks = chain.steps[0][1] == "?"
-                most = {u: np.inf if "�" in u else CAP_MARKS if marks else CAP_CHAR * len(set(u)) for u in once}
-                enough = sum(min(o, most[u]) for u, o in once.items()) >= MARGIN
+                seen = {c for u in once for c in u if c > "\x7f"}
+                most = np.inf if marks or "�" in seen else CAP_CHAR * len(seen)
+                gain = sum(min(o, CAP_MARKS) if marks else o for o in once.values())
+                enough, weak = gain >= MARGIN, gain >= MARGIN > most
+            order = [int(k) for k in np.argsort(-whole, kind="stable")]
+            if weak:  # too few different characters for a chain without proof: only one with proof may take its place
+                order = [k for k in order if _proved(CHAINS[k])]
+                chain = CHAINS[order[0]]
             if enough:
-                whole = each[i:j].sum(0)
-                able = [k for k in np.argsort(-whole, kind="stable") if CHAINS[k].steps[0][0] == "utf-8" or whole[k] >= MARGIN]
-                out.append(Run(at[i][0], at[j - 1][1], chain, [CHAINS[k] for k in able]))
+                able = [CHAINS[k] for k in order if _proved(CHAINS[k]) or whole[k] >= MARGIN]
+                out.append(Run(at[i][0], at[j - 1][1], chain, able, weak))
         i = j
     return out
 
@@ -472,6 +483,7 @@ def _undone(model: Model, r: Run, s: str) -> tuple[str, list[str], int]:
                     break
         elif got is not None:
             used.append(r.chain.name)
+            strange += r.weak
         out.append(part if got is None else got)
     return "".join(out), used, strange
 
