@@ -94,7 +94,8 @@ _MEANINGFUL, _NOUNS = frozenset(("NP", "NNG", "NNP", "NNB", "VV", "VA", "VX", "M
 _VERBS = frozenset(("VV", "VA", "VX"))
 
 
-def _counts(texts: pa.Array) -> pa.Array:
+def counts(texts: pa.Array) -> pa.Array:
+    """The counts that quality vectors are made of, in one pass over a batch: a struct of COUNTS for each text, zeros for a null."""
     rows = []
     for x in texts.to_pylist():
         pronouns: list[str] = []
@@ -115,11 +116,6 @@ def _counts(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(COUNTS), list(COUNTS))
 
 
-def counts(text: Column) -> Column:
-    """The counts that quality vectors are made of, in one pass: a struct of COUNTS, zeros for a null.  Nondeterministic as ``tokens`` is."""
-    return F.arrow_udf(_counts, f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>").asNondeterministic()(text)
-
-
 def _tokens(texts: pa.Array) -> pa.Array:
     forms, tags, at = [], [], [0]
     for x in texts.to_pylist():

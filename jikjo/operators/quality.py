@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jikjo.functions import lexicon as L
 from jikjo.functions import text as T
-from jikjo.functions.tagger import counts, tokens
+from jikjo.functions.tagger import COUNTS, tokens
+from jikjo.functions.tagger import counts as tagger_counts
 
 
 def _n(test) -> Column:
@@ -23,8 +27,16 @@ def with_tokens(df: DataFrame, text: Column) -> DataFrame:
 
 
 def counted(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """The kept columns and the tagger's counts of a text."""
-    return df.withColumn("__c", counts(text)).select(*keep, "__c.*")
+    """The kept columns and the tagger's counts of a text, in an Arrow pass that holds no rows back."""
+    rows = df.select(*keep, text.alias("__text"))
+    ddl = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + [f"{c} long" for c in COUNTS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = tagger_counts(b.column(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *n.flatten()], [*b.schema.names[:-1], *COUNTS])
+
+    return rows.mapInArrow(run, ddl)
 
 
 def vector(df: DataFrame, key: str, text: str) -> DataFrame:
