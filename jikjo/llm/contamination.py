@@ -4,11 +4,13 @@
 a stored index for any table of items, so the text is scanned once however many items
 or searches there are.
 
-The index is partitioned by document.  A row is a shard: the terms of its documents
-in order, and for each the sorted list of the positions at which it stands.  A term is
-a run of ``WIDTH`` letters or digits of the text in NFKC and lower case, so that
-spacing, punctuation, letter form and markup don't matter, and a replaced word breaks
-only the terms that touch it.  Every position of every document is posted.
+The index is partitioned by document.  A row group is a shard: the terms of its documents
+in order, and for each the sorted list of the positions at which it stands.  Its rows are
+``PIECES`` equal parts of those bytes, so that the JVM copies small rows and buffers one
+shard at a time.  A term is a run of ``WIDTH`` letters or digits of the text in NFKC and
+lower case, so that spacing, punctuation, letter form and markup don't matter, and a
+replaced word breaks only the terms that touch it.  Every position of every document is
+posted.
 
 Search, in each shard:
 
@@ -81,7 +83,7 @@ def _planes(a: np.ndarray) -> bytes:
     return bytes([n]) + np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :n].T).tobytes()
 
 
-def _numbers(b: bytes, kind: type) -> np.ndarray:
+def _numbers(b: memoryview, kind: type) -> np.ndarray:
     n, size = b[0], np.dtype(kind).itemsize
     out = np.zeros(((len(b) - 1) // n, size), np.uint8)
     out[:, :n] = np.frombuffer(b, np.uint8, offset=1).reshape(n, -1).T
@@ -90,7 +92,38 @@ def _numbers(b: bytes, kind: type) -> np.ndarray:
 
 # --- the index ---------------------------------------------------------------------
 
-SHARD = "row_ids binary, ends binary, terms binary, counts binary, places binary"
+#: Parts of a shard: row ids, ends, terms, counts, places; and the pieces in which they are stored.
+PARTS, PIECES = 5, 16
+INDEX = "piece int, data binary"
+#: Row groups of one shard, pages of one piece, and no dictionary of pieces: shards are read and written one at a time, and none is parted.
+LAYOUT = {"parquet.block.row.count.limit": str(PIECES), "parquet.page.size": "100000", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
+
+def _cut(parts: list[bytes]) -> pa.RecordBatch:
+    """The rows of a shard: the sizes of its parts and the parts, cut into pieces."""
+    data = np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts)
+    size = -(-len(data) // PIECES)
+    cut = [data[k : k + size] for k in range(0, PIECES * size, size)]
+    return pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(cut, pa.binary())], ["piece", "data"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[memoryview]]:
+    """The parts of each shard, of rows as they were stored; a batch may end within a shard."""
+    got: list[bytes] = []
+    for b in batches:
+        for k in range(b.num_rows):
+            if b.column(0)[k].as_py() != len(got):
+                raise ValueError("the pieces of a shard of the index are parted")
+            got.append(b.column(1)[k].as_py())
+            if len(got) == PIECES:
+                data = memoryview(b"".join(got))
+                got = []
+                ends = np.cumsum(np.append(8 * PARTS, np.frombuffer(data[: 8 * PARTS], np.int64))).tolist()
+                if ends[-1] != len(data):
+                    raise ValueError("a shard of the index isn't whole")
+                yield [data[a:z] for a, z in zip(ends, ends[1:])]
+    if got:
+        raise ValueError("the pieces of a shard of the index are parted")
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,20 +136,20 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(h, kind="stable")
             h = h[order]
             first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-            row = [
+            parts = [
                 b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(),
                 at[1:].astype(np.int64).tobytes(),
                 _planes(np.diff(h[first], prepend=np.uint64(0))),
                 _planes(np.diff(np.append(first, len(h))).astype(np.uint32)),
                 _planes(place[order].astype(np.uint32)),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [c.split()[0] for c in SHARD.split(", ")])
+            yield _cut(parts)
 
 
 def build_index(corpus: DataFrame, key: str, text: str) -> DataFrame:
     """The positional index of all rows that have a key and a text, stored in the shared folder."""
     rows = corpus.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).where("row_id is not null and text is not null")
-    return stored(rows.mapInArrow(_post, SHARD), "leak-index", codec="zstd")
+    return stored(rows.mapInArrow(_post, INDEX), "leak-index", codec="zstd", **LAYOUT)
 
 
 # --- the items ---------------------------------------------------------------------
@@ -196,9 +229,9 @@ def passage(size: int, place: np.ndarray, at: np.ndarray) -> tuple[int, int, int
 
 
 class Shard:
-    """One row of the index."""
+    """One shard of the index."""
 
-    def __init__(self, row_ids: bytes, ends: bytes, terms: bytes, counts: bytes, places: bytes) -> None:
+    def __init__(self, row_ids: memoryview, ends: memoryview, terms: memoryview, counts: memoryview, places: memoryview) -> None:
         self.row_ids, self.ends = np.frombuffer(row_ids, np.int64), np.frombuffer(ends, np.int64)
         self.begins = np.concatenate(([0], self.ends[:-1]))
         self.terms = np.cumsum(_numbers(terms, np.uint64), dtype=np.uint64)
@@ -248,18 +281,17 @@ def _search(items: Items, share: float):
     begin = np.searchsorted(items.item, np.arange(len(items.sizes) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                shard = Shard(*(c[k].as_py() for c in b.columns))
-                out: list[tuple] = []
-                for d, i in zip(*(x.tolist() for x in shard.candidates(items))):
-                    mine = slice(begin[i], begin[i + 1])
-                    which, at = shard.hits(*shard.lists(items.terms[mine]), d)
-                    size = int(items.sizes[i])
-                    covered, first, last, start = passage(size, items.place[mine][which], at)
-                    if covered >= share * size:
-                        out.append((*items.names[i], int(shard.row_ids[d]), covered, size, first, last, start, covered == size))
-                yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r)) for r in out], SCHEMA)
+        for parts in _whole(batches):
+            shard = Shard(*parts)
+            out: list[tuple] = []
+            for d, i in zip(*(x.tolist() for x in shard.candidates(items))):
+                mine = slice(begin[i], begin[i + 1])
+                which, at = shard.hits(*shard.lists(items.terms[mine]), d)
+                size = int(items.sizes[i])
+                covered, first, last, start = passage(size, items.place[mine][which], at)
+                if covered >= share * size:
+                    out.append((*items.names[i], int(shard.row_ids[d]), covered, size, first, last, start, covered == size))
+            yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r)) for r in out], SCHEMA)
 
     return run
 

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from jikjo.llm import contamination as C
 
@@ -61,6 +63,33 @@ def test_blocks_of_items_and_shards_change_nothing(spark, monkeypatch):
     assert {tuple(r.values())[:3] for b in C._search(block, 0.45)(iter(parts)) for r in b.to_pylist()} == want
 
 
+def test_index_is_read_and_written_by_shards(spark):
+    """However many shards a task has, no row and no row group is large."""
+    docs = [(k, words(12_000) + (ITEMS[k][2] if k < 20 else "") + words(10)) for k in range(60)]
+    index = C.build_index(spark.createDataFrame(docs, "id long, body string").coalesce(1), "id", "body")
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in index.inputFiles()]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.metadata.num_row_groups)]
+    assert len(groups) >= 4 and max(g.total_byte_size for g in groups) < 6_000_000
+    assert max(len(x.as_py()) for f in files for c in f.read().columns if pa.types.is_binary(c.type) for x in c) < 512_000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # tasks begin and end between shards
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # batches within one
+    try:
+        got = C.leaks(index, items(spark), 0.45).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.item_id, r.row_id) for r in got if r.exact_phrase} == {(k, k) for k in range(20)}
+
+
+def test_a_parted_shard_is_an_error():
+    (rows,) = C._post(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([ITEMS[0][2]])], ["row_id", "text"])]))
+    block = C.Items.of(ITEMS, 0.45)
+    assert [r["row_id"] for b in C._search(block, 0.45)(iter([rows.slice(0, 5), rows.slice(5)])) for r in b.to_pylist()] == [1]
+    for part in (rows.slice(1), rows.slice(0, rows.num_rows - 1)):
+        with pytest.raises(ValueError):
+            list(C._search(block, 0.45)(iter([part])))
+
+
 def test_half_of_short_items(spark):
     """A clean half of items from 12 characters on, at any place, among text made of the same words; each of its hits is also found by brute force."""
     r = random.Random(9)
